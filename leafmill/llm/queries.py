@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from leafmill.llm import bpe, decontam, quality, warc
+from leafmill.llm import bpe, decontam, quality, substring, warc
 from leafmill.llm.oracles import ORACLES
 from leafmill.session import table
 
@@ -23,10 +23,14 @@ def op4_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_substring_dedup(spark, sf_dir):
+    return substring.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_decontamination(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op4_warc, op7_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op4_warc, op5_substring_dedup, op7_decontamination)}
 
 __all__ = ["ORACLES", "QUERIES"]
