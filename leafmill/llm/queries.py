@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from leafmill.llm import bpe, decontam, quality, substring, warc
+from leafmill.llm import bpe, decontam, quality, substring, suffix, warc
 from leafmill.llm.oracles import ORACLES
 from leafmill.session import table
 
@@ -31,6 +31,10 @@ def op7_decontamination(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op4_warc, op5_substring_dedup, op7_decontamination)}
+def op10_suffix_dedup(spark, sf_dir):
+    return suffix.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op4_warc, op5_substring_dedup, op7_decontamination, op10_suffix_dedup)}
 
 __all__ = ["ORACLES", "QUERIES"]
