@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from leafmill.llm import bpe, decontam, ngram_join, quality, substring, suffix, warc
+from leafmill.llm import bpe, decontam, lm, ngram_join, quality, substring, suffix, warc
 from leafmill.llm.oracles import ORACLES
 from leafmill.session import table
 
@@ -35,10 +35,14 @@ def op7_decontamination(spark, sf_dir):
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op8_lm_scoring(spark, sf_dir):
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark, sf_dir):
     return suffix.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op4_warc, op5_substring_dedup, op6_ngram_jaccard, op7_decontamination, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op4_warc, op5_substring_dedup, op6_ngram_jaccard, op7_decontamination, op8_lm_scoring, op10_suffix_dedup)}
 
 __all__ = ["ORACLES", "QUERIES"]
