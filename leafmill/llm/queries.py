@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from leafmill.llm import bpe, decontam, lm, ngram_join, quality, substring, suffix, warc
+from leafmill.llm import bpe, decontam, html, license, lm, ngram_join, quality, substring, suffix, warc
 from leafmill.llm.oracles import ORACLES
 from leafmill.session import table
 
@@ -19,6 +19,10 @@ def op2_byte_bpe(spark, sf_dir):
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
 
 
+def op3_html_extraction(spark, sf_dir):
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 def op4_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -39,10 +43,28 @@ def op8_lm_scoring(spark, sf_dir):
     return lm.scores(table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark, sf_dir):
+    return license.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark, sf_dir):
     return suffix.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op4_warc, op5_substring_dedup, op6_ngram_jaccard, op7_decontamination, op8_lm_scoring, op10_suffix_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_quality_rules,
+        op2_byte_bpe,
+        op3_html_extraction,
+        op4_warc,
+        op5_substring_dedup,
+        op6_ngram_jaccard,
+        op7_decontamination,
+        op8_lm_scoring,
+        op9_license_scan,
+        op10_suffix_dedup,
+    )
+}
 
 __all__ = ["ORACLES", "QUERIES"]
