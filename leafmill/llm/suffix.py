@@ -37,6 +37,8 @@ GRAM = 64
 #: Contexts of an anchor, above which its windows are counted by hash.
 CROWDED = 4000
 BUCKET_ENTRIES = 100_000
+#: Bytes of contexts whose suffixes are sorted at once.
+PART_BYTES = 1_000_000
 #: States of an anchor.
 ALONE, COVERED, MIXED, HOT = range(4)
 OWN = -1
@@ -307,10 +309,14 @@ def removed_bytes(chunked: Chunked, length: int, gram: int, crowded: int, out, s
         hashes, before, span, more = (np.concatenate(x) for x in zip(*(_planes(b, k) for b, k in zip(blobs, counts, strict=True)), strict=True))
         data = np.frombuffer(b"".join([*(b[4 + 13 * k :] for b, k in zip(blobs, counts, strict=True)), b"\0"]), np.uint8)
         size = span + length
-        covered = repeated_windows(hashes, before, span, more.astype(bool), data, np.cumsum(size) - size, length)
-        full = np.zeros((len(covered), most + 1), bool)
-        full[:, : covered.shape[1]] = covered
-        rows = np.packbits(full, axis=1)
+        start, more = np.cumsum(size) - size, more.astype(bool)
+        rows = np.zeros((len(hashes), (most + 8) // 8), np.uint8)
+        for part in whole_anchors(hashes, size):
+            body = data[ragged(start[part], size[part])]
+            covered = repeated_windows(hashes[part], before[part], span[part], more[part], body, np.cumsum(size[part]) - size[part], length)
+            full = np.zeros((len(part), most + 1), bool)
+            full[:, : covered.shape[1]] = covered
+            rows[part] = np.packbits(full, axis=1)
         stop = np.cumsum(counts).tolist()
         return packed.answers(chunks, [bucket] * len(chunks), [rows[b - k : b].tobytes() for b, k in zip(stop, counts, strict=True)])
 
@@ -350,6 +356,14 @@ def removed_bytes(chunked: Chunked, length: int, gram: int, crowded: int, out, s
     return packed.tell(chunked.rows, packed.answer(second, compared), remove, schema)
 
 
+def whole_anchors(hashes: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """The contexts in parts of about ``PART_BYTES`` that hold all contexts of their anchors."""
+    order = np.argsort(hashes, kind="stable")
+    head = np.flatnonzero(np.append(True, hashes[order[1:]] != hashes[order[:-1]]))
+    part = (np.cumsum(size[order]) // PART_BYTES)[head]
+    return np.split(order, head[np.flatnonzero(np.diff(part)) + 1])
+
+
 def span_of(a: Anchors, which: np.ndarray) -> np.ndarray:
     return a.hi[which] - a.lo[which]
 
