@@ -161,19 +161,19 @@ def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     Texts without a repeat stay as they are; n_chars, if there, follows the text.
     """
     chunked = Chunked(docs)
-    names, schema = chunked.columns, chunked.schema
+    names, text, schema = chunked.columns, chunked.text, chunked.schema
 
     def out(t: pa.Table, x: Texts, gone: np.ndarray) -> pa.Table:
         lost, n = per_text(gone, x.w_first), np.diff(x.w_first)
         columns = packed.column_arrays(t, len(names))
-        texts = columns[chunked.text].to_pylist()
+        texts = columns[text].to_pylist()
         for i in np.flatnonzero(lost).tolist():
             a, b = x.w_first[i], x.w_first[i + 1]
             edge = a + np.flatnonzero(np.diff(gone[a:b].view(np.int8), prepend=0, append=0))
             cut = np.stack([x.w_start[edge[0::2]], x.w_end[edge[1::2] - 1]], 1).ravel().tolist()
             parts = zip([x.starts[i], *cut[1::2]], [*cut[0::2], x.ends[i]], strict=True)
             texts[i] = b"".join(x.data[p:q].tobytes() for p, q in parts).decode()
-        columns[chunked.text] = pa.array(texts, pa.string())
+        columns[text] = pa.array(texts, pa.string())
         if "n_chars" in names:
             k = names.index("n_chars")
             columns[k] = pa.array([None if s is None else len(s) for s in texts], columns[k].type)
