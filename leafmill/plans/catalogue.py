@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leafmill.plans.reads import ORACLES as READ_ORACLES
-from leafmill.plans.reads import QUERIES as READS
+from leafmill.plans import reads, texts
 
-QUERIES = {**READS}
-ORACLES = {**READ_ORACLES}
+PARTS = (reads, texts)
+QUERIES = {k: q for p in PARTS for k, q in p.QUERIES.items()}
+ORACLES = {k: q for p in PARTS for k, q in p.ORACLES.items()}
