@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from leafmill.session import stored
 
+#: Edges in a file, about.
+FILE_EDGES = 500_000
+
 
 def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The stars of each batch of edges."""
@@ -43,6 +46,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     e = edges.select("a", "b").filter("a <> b").mapInArrow(_local, "a string, b string").filter("a <> b").distinct()
     e, before = stored(e, "stars"), None
+    files = e.count() // FILE_EDGES + 1
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -50,7 +54,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.filter("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
-        e = stored(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b")).filter("a <> b").distinct(), "stars")
+        e = stored(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.withColumnRenamed("m", "b")).filter("a <> b").distinct().coalesce(files), "stars")
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before:
             return e

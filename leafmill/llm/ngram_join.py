@@ -8,8 +8,8 @@ of one set are one class. A partner of a set of n shingles shares at least T = c
 2. The others, with their shingles from rare to frequent: of any n - T + 1 shingles a partner has one.
    Classes that share one of their rarest ones are brought together; what can link is together then.
 3. Inside such a family, T-occurrence search with inverted lists: the n - T + 1 shortest lists are
-   merged, candidates are probed by binary search in the long ones (DivideSkip) and kept at the
-   overlap that the similarity asks for. Documents linked to a group leave the index: copies by the
+   merged, each holding the documents for which its shingle is rare too; candidates are probed by
+   binary search in all the others (DivideSkip) and kept at the overlap that the similarity asks for. Documents linked to a group leave the index: copies by the
    thousand are linked once each, not pair by pair, and no link between groups is lost.
 
 A family of more than ``FAMILY`` shingles is searched in pairs of blocks, so that no task holds it whole.
@@ -174,48 +174,46 @@ class Index:
         _, self.token = np.unique(tokens, return_inverse=True)
         self.n_tokens = int(self.token.max(initial=-1)) + 1
         self.first = np.append(0, np.cumsum(self.size))
-        # each document's tokens, those of short lists first
+        # each document's tokens, those of short lists first; its own rarest ones are enough to find it by
         often = np.bincount(self.token, minlength=self.n_tokens)
         self.own = self.token[np.lexsort((self.token, often[self.token], self.doc))]
+        self.rare = np.arange(len(self.own)) - self.first[self.doc] < (self.size - needed(self.size) + 1)[self.doc]
         self.alive = np.ones(len(sets), bool)
         self.build()
 
     def build(self) -> None:
         live = self.alive[self.doc]
-        token, doc = self.token[live], self.doc[live]
-        order = np.argsort(token, kind="stable")
-        self.post = doc[order]
-        self.probe = token[order] * len(self.alive) + self.post  # sorted
+        self.probe = np.sort(self.token[live] * len(self.alive) + self.doc[live])
+        live &= self.rare
+        token, doc = self.own[live], self.doc[live]
+        self.post = doc[np.argsort(token, kind="stable")]
         self.count = np.bincount(token, minlength=self.n_tokens)
         self.start = np.cumsum(self.count) - self.count
         self.built = int(self.alive.sum())
 
-    def merged(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Live documents on the lists, and on how many of them."""
+    def merged(self, lists: np.ndarray) -> np.ndarray:
+        """Live documents on the lists."""
         n = self.count[lists]
         if n.sum() <= HEAP:
             post, runs = self.post, [(a, a + k) for a, k in zip(self.start[lists].tolist(), n.tolist(), strict=True) if k]
             docs = np.fromiter(heapq.merge(*(post[a:b].tolist() for a, b in runs)), np.int64)
         else:
             docs = self.post[ragged(self.start[lists], n)]
-        return np.unique(docs[self.alive[docs]], return_counts=True)
+        return np.unique(docs[self.alive[docs]])
 
     def partners(self, r: int) -> np.ndarray:
         """Live documents that link with r."""
         n, own = int(self.size[r]), self.own[self.first[r] : self.first[r + 1]]
         short = n - int(needed(np.int64(n))) + 1
-        docs, overlap = self.merged(own[:short])
+        docs = self.merged(own[:short])
         m = self.size[docs]
-        fits = (5 * m >= 4 * n) & (5 * n >= 4 * m)
-        docs, overlap = docs[fits], overlap[fits]
-        long = own[short:]
-        if len(long) and len(docs):
-            overlap = overlap.copy()
-            step = max(1, 400_000 // len(long))
-            for a in range(0, len(docs), step):
-                want = long[None, :] * len(self.alive) + docs[a : a + step, None]
-                at = np.minimum(np.searchsorted(self.probe, want), len(self.probe) - 1)
-                overlap[a : a + step] += (self.probe[at] == want).sum(1)
+        docs = docs[(5 * m >= 4 * n) & (5 * n >= 4 * m)]
+        overlap = np.zeros(len(docs), np.int64)
+        step = max(1, 400_000 // n)
+        for a in range(0, len(docs), step):
+            want = own[None, :] * len(self.alive) + docs[a : a + step, None]
+            at = np.minimum(np.searchsorted(self.probe, want), len(self.probe) - 1)
+            overlap[a : a + step] = (self.probe[at] == want).sum(1)
         return docs[100 * overlap >= 80 * (n + self.size[docs] - overlap)]
 
 
@@ -255,7 +253,7 @@ def links(found: DataFrame, family: int = FAMILY) -> DataFrame:
     named = families.select(F.col("a").alias("key"), F.col("b").alias("family")).unionByName(families.select(F.col("b").alias("key"), F.col("b").alias("family")).distinct())
     sized = named.join(found.select("key", "n"), "key")
     size = sized.groupBy("family").agg(F.sum("n").alias("size")).withColumn("blocks", F.ceil(F.col("size") / (family // 2)).cast("int"))
-    size = stored(size.withColumn("blocks", F.when(F.col("size") <= family, 1).otherwise(F.greatest("blocks", F.lit(2)))), "families")
+    size = size.withColumn("blocks", F.when(F.col("size") <= family, 1).otherwise(F.greatest("blocks", F.lit(2))))
     total, most = size.agg(F.sum("size"), F.max("blocks")).first()
     batches = (total or 0) // BATCH + 1
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
