@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leafmill.plans import library, reads, texts
+from leafmill.plans import library, reads, structures, texts
 
-PARTS = (reads, texts, library)
+PARTS = (reads, texts, library, structures)
 QUERIES = {k: q for p in PARTS for k, q in p.QUERIES.items()}
 ORACLES = {k: q for p in PARTS for k, q in p.ORACLES.items()}
