@@ -73,7 +73,7 @@ def contexts(texts: Texts, length: int, gram: int) -> tuple[np.ndarray, np.ndarr
     end[:-1] &= (least[1:] != least[:-1]) | ~ok[1:]
     lo, hi = np.flatnonzero(new), np.flatnonzero(end)
     a = least[lo]
-    return lo, hi, a, h[a], sums
+    return lo, hi, a, mixed(h[a]), sums  # mixed anew: the least hashes crowd the low end
 
 
 class Anchors:
