@@ -6,7 +6,7 @@ shuffle by doc serves all steps.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import path_title, word_count
@@ -17,8 +17,10 @@ PREFACE = "Начало"
 #: Tokens: deepen the cut above, make it shallow below, and size of parts without headings.
 DEEPEN, SHALLOW, PART = 12000, 500, 6000
 
-BY_DOC = Window.partitionBy("doc").orderBy("pos")
-SO_FAR = BY_DOC.rowsBetween(Window.unboundedPreceding, 0)
+
+def so_far() -> WindowSpec:
+    """A document's blocks up to this one."""
+    return Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def ranked(blocks: DataFrame) -> DataFrame:
@@ -35,7 +37,7 @@ def with_preface(blocks: DataFrame) -> DataFrame:
 
 
 def _last(level: int) -> Column:
-    return F.max(F.when((F.col("kind") == "heading") & (F.col("level") == level), F.struct("pos", "text"))).over(SO_FAR)
+    return F.max(F.when((F.col("kind") == "heading") & (F.col("level") == level), F.struct("pos", "text"))).over(so_far())
 
 
 def with_paths(blocks: DataFrame) -> DataFrame:
@@ -56,7 +58,7 @@ def chapters(blocks: DataFrame, cut: Column) -> DataFrame:
     blocks of its own is no chapter. Headings inside a chapter count as its blocks.
     """
     begins = (F.col("kind") == "heading") & (F.col("parent") < cut)
-    d = blocks.withColumn("cut", cut).withColumn("begins", begins).withColumn("start", F.max(F.when(begins, F.col("pos"))).over(SO_FAR))
+    d = blocks.withColumn("cut", cut).withColumn("begins", begins).withColumn("start", F.max(F.when(begins, F.col("pos"))).over(so_far()))
     own = ~F.col("begins")
     out = d.groupBy("doc", "start").agg(
         F.max(F.when(F.col("begins"), path_title(F.col("path")))).alias("title"),

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leafmill.plans import library, reads, searches, structures, texts
+from leafmill.plans import inputs, library, pages, reads, searches, structures, texts
 
-PARTS = (reads, texts, library, structures, searches)
+PARTS = (reads, texts, library, structures, searches, pages, inputs)
 QUERIES = {k: q for p in PARTS for k, q in p.QUERIES.items()}
 ORACLES = {k: q for p in PARTS for k, q in p.ORACLES.items()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,18 +49,18 @@ CASES = Inline(
 )
 
 
-def over_documents(name: str, spark_cols: dict[str, Column], duck: str) -> None:
+def over_documents(name: str, spark_cols: Callable[[], dict[str, Column]], duck: str) -> None:
     """A query of doc_id and columns of ``documents``; ``duck`` holds the same columns as SQL."""
-    QUERIES[name] = lambda spark, d, cols=spark_cols: table(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in cols.items()])
+    QUERIES[name] = lambda spark, d, cols=spark_cols: table(spark, d, "documents").select("doc_id", *[c.alias(k) for k, c in cols().items()])
     ORACLES[name] = f"SELECT doc_id, {duck} FROM documents"
 
 
-def over_cases(name: str, spark_cols: dict[str, Column], duck: str) -> None:
+def over_cases(name: str, spark_cols: Callable[[], dict[str, Column]], duck: str) -> None:
     """The same over documents and the inline cases, told apart by ``src``."""
 
-    def query(spark: SparkSession, d: str, cols: dict[str, Column] = spark_cols) -> DataFrame:
+    def query(spark: SparkSession, d: str, cols: Callable[[], dict[str, Column]] = spark_cols) -> DataFrame:
         docs = table(spark, d, "documents").select(F.lit("doc").alias("src"), F.col("doc_id").alias("id"), "text")
-        return docs.unionByName(CASES.df(spark).select(F.lit("case").alias("src"), F.col("id").cast("bigint").alias("id"), "text")).select("src", "id", *[c.alias(k) for k, c in cols.items()])
+        return docs.unionByName(CASES.df(spark).select(F.lit("case").alias("src"), F.col("id").cast("bigint").alias("id"), "text")).select("src", "id", *[c.alias(k) for k, c in cols().items()])
 
     QUERIES[name] = query
     ORACLES[name] = f"WITH t AS (SELECT 'doc' AS src, doc_id AS id, text FROM documents UNION ALL SELECT 'case', CAST(id AS BIGINT), text FROM {CASES.sql}) SELECT src, id, {duck} FROM t"
@@ -86,20 +88,26 @@ def count_sql(x: str, pattern: str) -> str:
     return f"CAST(len(regexp_extract_all({x}, '{pattern}')) AS BIGINT)"
 
 
-text = F.col("text")
-title = F.substring("text", 1, 90)
-over_cases("f01_slug", {"slug": T.slug(title, 60), "short": T.slug(title, 50)}, f"{slug_sql('left(text, 90)', 60)} AS slug, {slug_sql('left(text, 90)', 50)} AS short")
+def text() -> Column:
+    return F.col("text")
+
+
+def title() -> Column:
+    return F.substring("text", 1, 90)
+
+
+over_cases("f01_slug", lambda: {"slug": T.slug(title(), 60), "short": T.slug(title(), 50)}, f"{slug_sql('left(text, 90)', 60)} AS slug, {slug_sql('left(text, 90)', 50)} AS short")
 over_documents(
     "f02_make_id",
-    {"with_author": T.book_id(title, F.col("source"), F.lit("stem")), "title_only": T.book_id(title, F.lit(None).cast("string"), F.lit("stem")), "stem_only": T.book_id(F.lit(""), F.lit(""), F.concat(F.lit("file "), F.col("doc_id").cast("string")))},
+    lambda: {"with_author": T.book_id(title(), F.col("source"), F.lit("stem")), "title_only": T.book_id(title(), F.lit(None).cast("string"), F.lit("stem")), "stem_only": T.book_id(F.lit(""), F.lit(""), F.concat(F.lit("file "), F.col("doc_id").cast("string")))},
     f"{slug_sql(chr(39) + chr(39) + ' || source || ' + chr(39) + ' ' + chr(39) + ' || left(text, 90)', 60)} AS with_author, {slug_sql('left(text, 90)', 60)} AS title_only, 'file-' || CAST(doc_id AS VARCHAR) AS stem_only",
 )
-over_cases("f03_unicode_clean", {"clean": T.unicode_clean(text)}, r"regexp_replace(regexp_replace(text, '[\x{00AD}\x{200B}\x{200C}\x{200D}\x{FEFF}]', '', 'g'), '\r\n?', chr(10), 'g') AS clean")
+over_cases("f03_unicode_clean", lambda: {"clean": T.unicode_clean(text())}, r"regexp_replace(regexp_replace(text, '[\x{00AD}\x{200B}\x{200C}\x{200D}\x{FEFF}]', '', 'g'), '\r\n?', chr(10), 'g') AS clean")
 WS_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '[ \t]+\n', chr(10), 'g'), '[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')"
-over_cases("f04_whitespace", {"clean": T.whitespace(text)}, f"{WS_SQL} AS clean")
+over_cases("f04_whitespace", lambda: {"clean": T.whitespace(text())}, f"{WS_SQL} AS clean")
 CONTROL_SQL = r"[\x00-\x08\x0B\x0C\x0D\x0E-\x1F\x7F\x{0080}-\x{009F}]"
-over_cases("f05_control_strip", {"clean": T.control_strip(text), "removed": T.control_count(text)}, f"regexp_replace(text, '{CONTROL_SQL}', '', 'g') AS clean, {count_sql('text', CONTROL_SQL)} AS removed")
-QUERIES["f06_line_merge"] = lambda spark, d: CASES.df(spark).select("id", T.line_merge(text).alias("merged")).unionByName(table(spark, d, "documents").select(F.col("doc_id").cast("int").alias("id"), T.line_merge(text).alias("merged")))
+over_cases("f05_control_strip", lambda: {"clean": T.control_strip(text()), "removed": T.control_count(text())}, f"regexp_replace(text, '{CONTROL_SQL}', '', 'g') AS clean, {count_sql('text', CONTROL_SQL)} AS removed")
+QUERIES["f06_line_merge"] = lambda spark, d: CASES.df(spark).select("id", T.line_merge(text()).alias("merged")).unionByName(table(spark, d, "documents").select(F.col("doc_id").cast("int").alias("id"), T.line_merge(text()).alias("merged")))
 _merge = r"regexp_replace(text, '[ \t]*\n[ \t]*', chr(10), 'g')"
 _merge = rf"regexp_replace({_merge}, '(?i)([а-яё])-\n({'|'.join(T.PARTICLES)})([^\p{{L}}]|$)', '\1-\2\3', 'g')"
 for one, two in (("А-Яа-яЁё", "а-яё"), ("A-Za-z", "a-z")):
@@ -122,47 +130,57 @@ LINES_SQL = "(SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FRO
 QUERIES["f07_heading_rank"] = _ranked
 ORACLES["f07_heading_rank"] = f"WITH t AS (SELECT * FROM {LINES_SQL} UNION ALL SELECT -CAST(id AS BIGINT), 0, text FROM {CASES.sql}) SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST({RANK_SQL} AS BIGINT) AS rank FROM t WHERE ({RANK_SQL}) IS NOT NULL"
 placeholder_sql = f"({slug_sql('left(text, 90)', 80)} IN ({', '.join(repr(p) for p in T.PLACEHOLDERS)}) OR length(trim(left(text, 90))) < 2)"
-over_cases("f09_placeholder", {"placeholder": T.is_placeholder(title)}, f"{placeholder_sql} AS placeholder")
+over_cases("f09_placeholder", lambda: {"placeholder": T.is_placeholder(title())}, f"{placeholder_sql} AS placeholder")
 over_cases(
     "f10_metadata_repair",
-    {"title": T.repaired_title(title), "repaired": (F.trim(title) != "") & T.is_placeholder(title)},
+    lambda: {"title": T.repaired_title(title()), "repaired": (F.trim(title()) != "") & T.is_placeholder(title())},
     f"CASE WHEN trim(left(text, 90)) <> '' AND {placeholder_sql} THEN NULL ELSE left(text, 90) END AS title, trim(left(text, 90)) <> '' AND {placeholder_sql} AS repaired",
 )
 _core = "regexp_replace(text, '^[^0-9A-Za-z]+|[^0-9A-Za-z]+$', '', 'g')"
-over_cases("f11_page_number", {"is_number": T.is_page_number(text)}, f"({_core} <> '' AND length({_core}) <= 4 AND regexp_matches({_core}, '^([0-9]+|[ivxlcdmIVXLCDM]+)$')) AS is_number")
-over_cases("f12_signature", {"signature": T.header_signature(text)}, f"{fold_sql(collapse_sql('regexp_replace(text, ' + repr('[0-9]+') + ', ' + repr('#') + ', ' + repr('g') + ')'))} AS signature")
-over_cases("f13_canon_key", {"canon": T.canon_key(text)}, f"{fold_sql(collapse_sql('text'))} AS canon")
+over_cases("f11_page_number", lambda: {"is_number": T.is_page_number(text())}, f"({_core} <> '' AND length({_core}) <= 4 AND regexp_matches({_core}, '^([0-9]+|[ivxlcdmIVXLCDM]+)$')) AS is_number")
+over_cases("f12_signature", lambda: {"signature": T.header_signature(text())}, f"{fold_sql(collapse_sql('regexp_replace(text, ' + repr('[0-9]+') + ', ' + repr('#') + ', ' + repr('g') + ')'))} AS signature")
+over_cases("f13_canon_key", lambda: {"canon": T.canon_key(text())}, f"{fold_sql(collapse_sql('text'))} AS canon")
 QUERIES["f14_path_title"] = lambda spark, d: table(spark, d, "documents").select("doc_id", T.path_title(F.array(F.col("lang"), F.col("lang"), F.col("source"), F.lit("tail"), F.lit("tail"))).alias("title"))
 ORACLES["f14_path_title"] = "SELECT doc_id, lang || ' · ' || source || ' · tail' AS title FROM documents"
 _head = f"left({collapse_sql('text')}, 300)"
-over_cases("f15_summary", {"summary": T.cut_300(text)}, f"CASE WHEN length({collapse_sql('text')}) <= 300 THEN {collapse_sql('text')} ELSE (CASE WHEN strpos({_head}, ' ') > 0 THEN regexp_replace({_head}, ' [^ ]*$', '') ELSE {_head} END) || '…' END AS summary")
+over_cases("f15_summary", lambda: {"summary": T.cut_300(text())}, f"CASE WHEN length({collapse_sql('text')}) <= 300 THEN {collapse_sql('text')} ELSE (CASE WHEN strpos({_head}, ' ') > 0 THEN regexp_replace({_head}, ' [^ ]*$', '') ELSE {_head} END) || '…' END AS summary")
 _n, _c, _l = (count_sql("text", p) for p in (r"\p{L}", "[А-Яа-яЁё]", "[A-Za-z]"))
-over_cases("f16_lang", {"language": T.language(text)}, f"CASE WHEN {_n} = 0 THEN NULL WHEN 2 * {_c} >= {_n} THEN 'ru' WHEN 2 * {_l} >= {_n} THEN 'en' END AS language")
-over_cases("f17_sentences", {"n": F.size(T.sentences(text)).cast("bigint"), "first": T.sentences(text)[0]}, r"CAST(len(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS BIGINT) AS n, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1] AS first")
+over_cases("f16_lang", lambda: {"language": T.language(text())}, f"CASE WHEN {_n} = 0 THEN NULL WHEN 2 * {_c} >= {_n} THEN 'ru' WHEN 2 * {_l} >= {_n} THEN 'en' END AS language")
+over_cases("f17_sentences", lambda: {"n": F.size(T.sentences(text())).cast("bigint"), "first": T.sentences(text())[0]}, r"CAST(len(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS BIGINT) AS n, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))[1] AS first")
 ORACLES["f17_sentences"] = ORACLES["f17_sentences"].replace("chr(1)", "chr(57344)")
-over_cases("f18_md_inline", {"plain": T.md_inline(text)}, r"regexp_replace(regexp_replace(regexp_replace(text, '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '<(https?://[^>\s]+)>', '\1', 'g') AS plain")
+over_cases("f18_md_inline", lambda: {"plain": T.md_inline(text())}, r"regexp_replace(regexp_replace(regexp_replace(text, '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '<(https?://[^>\s]+)>', '\1', 'g') AS plain")
 TOKENS_SQL = r"regexp_extract_all(text, '[\p{L}\p{N}''’‘′‐‑−-]+')"
 CANON_SQL = f"translate({fold_sql('x')}, 'ё’‘′‐‑−', 'е''''''---')"
-over_cases("f22_tokens", {"n": F.size(T.tokens(text)).cast("bigint"), "tokens": F.array_join(T.tokens(text), "|")}, f"CAST(len({TOKENS_SQL}) AS BIGINT) AS n, array_to_string({TOKENS_SQL}, '|') AS tokens")
-_canon = F.filter(F.transform(T.tokens(text), T.token_canon), lambda x: x.isNotNull())
+over_cases("f22_tokens", lambda: {"n": F.size(T.tokens(text())).cast("bigint"), "tokens": F.array_join(T.tokens(text()), "|")}, f"CAST(len({TOKENS_SQL}) AS BIGINT) AS n, array_to_string({TOKENS_SQL}, '|') AS tokens")
+
+
+def canon() -> Column:
+    return F.filter(F.transform(T.tokens(text()), T.token_canon), lambda x: x.isNotNull())
+
+
 CANON_LIST_SQL = rf"list_filter(list_transform({TOKENS_SQL}, lambda x: {CANON_SQL}), lambda x: regexp_matches(x, '[\p{{L}}\p{{N}}]'))"
-over_cases("f21_token_canon", {"canon": F.array_join(_canon, " ")}, f"array_to_string({CANON_LIST_SQL}, ' ') AS canon")
-over_cases("f23_marker_strip", {"plain": T.marker_strip(text)}, r"regexp_replace(text, '^(> |- |[0-9]+\. )+', '') AS plain")
-over_cases("f24_footnote_markers", {"plain": T.footnote_strip(text), "n": F.regexp_count(text, F.lit(r"\[[0-9]+\]")).cast("bigint")}, rf"regexp_replace(text, '\[[0-9]+\]', '', 'g') AS plain, {count_sql('text', chr(92) + '[[0-9]+' + chr(92) + ']')} AS n")
-over_documents("f26_basename", {"base": F.substring_index(F.concat(F.lit("OEBPS/Text/"), "source", F.lit(".xhtml#"), "lang"), "/", -1), "fragment": F.substring_index(F.concat("source", F.lit(".xhtml#"), "lang"), "#", -1)}, "source || '.xhtml#' || lang AS base, lang AS fragment")
+over_cases("f21_token_canon", lambda: {"canon": F.array_join(canon(), " ")}, f"array_to_string({CANON_LIST_SQL}, ' ') AS canon")
+over_cases("f23_marker_strip", lambda: {"plain": T.marker_strip(text())}, r"regexp_replace(text, '^(> |- |[0-9]+\. )+', '') AS plain")
+over_cases("f24_footnote_markers", lambda: {"plain": T.footnote_strip(text()), "n": F.regexp_count(text(), F.lit(r"\[[0-9]+\]")).cast("bigint")}, rf"regexp_replace(text, '\[[0-9]+\]', '', 'g') AS plain, {count_sql('text', chr(92) + '[[0-9]+' + chr(92) + ']')} AS n")
+over_documents("f26_basename", lambda: {"base": F.substring_index(F.concat(F.lit("OEBPS/Text/"), "source", F.lit(".xhtml#"), "lang"), "/", -1), "fragment": F.substring_index(F.concat("source", F.lit(".xhtml#"), "lang"), "#", -1)}, "source || '.xhtml#' || lang AS base, lang AS fragment")
 _v, _k = count_sql("text", "[аеёиоуыэюяАЕЁИОУЫЭЮЯ]"), count_sql("text", "[бвгджзйклмнпрстфхцчшщъьБВГДЖЗЙКЛМНПРСТФХЦЧШЩЪЬ]")
-over_cases("f27_vowel_score", {"score": F.round(T.vowel_score(text), 9)}, f"round(CASE WHEN {_v} + {_k} = 0 THEN CAST(0 AS DOUBLE) ELSE 1 - abs(CAST({_v} AS DOUBLE) / ({_v} + {_k}) - 0.40) END, 9) AS score")
+over_cases("f27_vowel_score", lambda: {"score": F.round(T.vowel_score(text()), 9)}, f"round(CASE WHEN {_v} + {_k} = 0 THEN CAST(0 AS DOUBLE) ELSE 1 - abs(CAST({_v} AS DOUBLE) / ({_v} + {_k}) - 0.40) END, 9) AS score")
 STOP_SQL = ", ".join(f"'{w}'" for w in sorted(T.STOP_WORDS))
-over_cases("v02_significant", {"n": F.size(T.significant(_canon)).cast("bigint"), "words": F.array_join(T.significant(_canon), " ")}, f"CAST(len(list_filter({CANON_LIST_SQL}, lambda x: x NOT IN ({STOP_SQL}))) AS BIGINT) AS n, array_to_string(list_filter({CANON_LIST_SQL}, lambda x: x NOT IN ({STOP_SQL})), ' ') AS words")
-_x = F.col("n_chars").cast("double") / 5000
-over_documents("m01_ramp", {"y": F.round(T.down(_x, 0.2, 1.5), 9)}, "round(CASE WHEN n_chars / CAST(5000 AS DOUBLE) <= 0.2 THEN 1.0 WHEN n_chars / CAST(5000 AS DOUBLE) >= 1.5 THEN 0.0 ELSE (1.5 - n_chars / CAST(5000 AS DOUBLE)) / CAST(1.3 AS DOUBLE) END, 9) AS y")
+over_cases("v02_significant", lambda: {"n": F.size(T.significant(canon())).cast("bigint"), "words": F.array_join(T.significant(canon()), " ")}, f"CAST(len(list_filter({CANON_LIST_SQL}, lambda x: x NOT IN ({STOP_SQL}))) AS BIGINT) AS n, array_to_string(list_filter({CANON_LIST_SQL}, lambda x: x NOT IN ({STOP_SQL})), ' ') AS words")
+
+
+def ratio() -> Column:
+    return F.col("n_chars").cast("double") / 5000
+
+
+over_documents("m01_ramp", lambda: {"y": F.round(T.down(ratio(), 0.2, 1.5), 9)}, "round(CASE WHEN n_chars / CAST(5000 AS DOUBLE) <= 0.2 THEN 1.0 WHEN n_chars / CAST(5000 AS DOUBLE) >= 1.5 THEN 0.0 ELSE (1.5 - n_chars / CAST(5000 AS DOUBLE)) / CAST(1.3 AS DOUBLE) END, 9) AS y")
 ORACLES["m01_ramp"] = "SELECT doc_id, round(CAST(CASE WHEN x <= 0.2 THEN 1.0 WHEN x >= 1.5 THEN 0.0 ELSE (CAST(1.5 AS DOUBLE) - x) / CAST(1.3 AS DOUBLE) END AS DOUBLE), 9) AS y FROM (SELECT doc_id, CAST(n_chars AS DOUBLE) / 5000 AS x FROM documents)"
 POINTS = (0.40, 0.70, 1.02, 1.15)
-over_documents("m02_trapezoid", {"y": F.round(T.trapezoid(_x, POINTS), 9)}, "")
+over_documents("m02_trapezoid", lambda: {"y": F.round(T.trapezoid(ratio(), POINTS), 9)}, "")
 ORACLES["m02_trapezoid"] = "SELECT doc_id, round(CAST(CASE WHEN x BETWEEN 0.70 AND 1.02 THEN 1.0 WHEN x <= 0.40 OR x >= 1.15 THEN 0.0 WHEN x < 0.70 THEN (x - CAST(0.40 AS DOUBLE)) / (CAST(0.70 AS DOUBLE) - CAST(0.40 AS DOUBLE)) ELSE (CAST(1.15 AS DOUBLE) - x) / (CAST(1.15 AS DOUBLE) - CAST(1.02 AS DOUBLE)) END AS DOUBLE), 9) AS y FROM (SELECT doc_id, CAST(n_chars AS DOUBLE) / 5000 AS x FROM documents)"
-over_documents("m03_round", {"r": F.round(F.col("n_chars").cast("double") / 7919, 4)}, "round(CAST(n_chars AS DOUBLE) / 7919, 4) AS r")
-over_documents("m05_half_point", {"size": T.half_point(F.col("n_chars").cast("double") / 100)}, "round_even(CAST(n_chars AS DOUBLE) / 100 * 2, 0) / 2 AS size")
-over_documents("m06_sha256", {"sha": F.sha2("text", 256)}, "sha256(text) AS sha")
-over_cases("m07_word_count", {"n": T.word_count(text)}, rf"{count_sql('text', '[^ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]+')} AS n")
+over_documents("m03_round", lambda: {"r": F.round(F.col("n_chars").cast("double") / 7919, 4)}, "round(CAST(n_chars AS DOUBLE) / 7919, 4) AS r")
+over_documents("m05_half_point", lambda: {"size": T.half_point(F.col("n_chars").cast("double") / 100)}, "round_even(CAST(n_chars AS DOUBLE) / 100 * 2, 0) / 2 AS size")
+over_documents("m06_sha256", lambda: {"sha": F.sha2("text", 256)}, "sha256(text) AS sha")
+over_cases("m07_word_count", lambda: {"n": T.word_count(text())}, rf"{count_sql('text', '[^ ' + chr(92) + 't' + chr(92) + 'n' + chr(92) + 'r]+')} AS n")
 QUERIES["d01_ingested_at"] = lambda spark, d: table(spark, d, "documents").select("doc_id", T.iso_time(F.col("n_chars") * 86399).alias("at"))
 ORACLES["d01_ingested_at"] = "SELECT doc_id, strftime(make_timestamp(CAST(n_chars AS BIGINT) * 86399 * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS at FROM documents"
