@@ -116,6 +116,8 @@ def cleaned(docs: DataFrame) -> DataFrame:
     """
     text = F.when(F.col("n_good_lines") == F.col("n_lines"), F.col("text")).otherwise(F.col("clean_text"))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
-    kept = measured(row, ("row",)).filter("kept").withColumn("text", text)
+    # a filter on a projection that isn't deterministic stays above it: pushed below, it would repeat all the measures
+    once = measured(row, ("row",)).withColumn("once", F.monotonically_increasing_id())
+    kept = once.filter("kept AND once >= 0").withColumn("text", text)
     out = [F.col("text") if c == "text" else F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     return kept.select(*out)
