@@ -290,8 +290,12 @@ def disguised(page: list[Block], rng: np.random.Generator) -> list[Block]:
 
 def sample(pages: DataFrame, n: int = SAMPLE) -> list[str]:
     """The html of the pages to train on: the least by hash, so always the same ones."""
-    rows = pages.filter("html IS NOT NULL").select("html").orderBy(F.xxhash64("html"), "html").limit(n)
-    return [r.html for r in rows.collect()]
+    hashed = pages.filter("html IS NOT NULL").select(F.xxhash64("html").alias("h"), "html")
+    least = [r.h for r in hashed.select("h").distinct().orderBy("h").limit(n).collect()]
+    if not least:
+        return []
+    rows = hashed.filter(F.col("h") <= least[-1]).groupBy("h").agg(F.min("html").alias("html")).collect()
+    return [r.html for r in sorted(rows, key=lambda r: r.h)]
 
 
 def trained(htmls: list[str]) -> Labeller:
