@@ -42,7 +42,8 @@ BUCKET_ENTRIES = 500_000
 FAMILY, BATCH = 3_000_000, 1_000_000
 #: Postings up to which short lists are merged with a heap; longer ones by sorting.
 HEAP = 512
-OWN = -1
+#: Families are dealt out over so many salts.
+SALTS = 32
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -124,11 +125,9 @@ def candidates(chunked: Chunked, rows: DataFrame) -> DataFrame:
         rh, keys = x.field("rh").to_numpy(), x.field("key").to_pylist()
         s = Sets(t, text, rh, n_buckets)
         own = rh.astype("<i8").tobytes() + "".join(keys).encode()
-        return packed.questions(chunk, s.keys | np.minimum(s.count, 15).astype(U64), n_buckets, more=[(OWN - chunk, own)])
+        return packed.questions(chunk, s.keys | np.minimum(s.count, 15).astype(U64), n_buckets, own=own)
 
     def count(bucket: int, chunks: list[int], blobs: list[bytes]) -> pa.Table:
-        if bucket < 0:
-            return packed.answers(chunks, [OWN], blobs)
         sizes, (keys,) = unpacked(blobs, [6])
         order, first, group = groups(keys >> U64(4))
         total = np.minimum(np.add.reduceat((keys[order] & U64(15)).astype(np.int64), first), 255).astype(np.uint8)[group]
@@ -140,7 +139,7 @@ def candidates(chunked: Chunked, rows: DataFrame) -> DataFrame:
         if told.num_rows:
             buckets, data = by_bucket(told)
             by = dict(zip(buckets, data, strict=True))
-            own = by[OWN]
+            own = by[packed.OWN]
             m = len(own) // 40
             rh, keys = np.frombuffer(own, "<i8", m), own[8 * m :].decode()
             s = Sets(t, text, rh, n_buckets)
@@ -257,8 +256,10 @@ def links(found: DataFrame, family: int = FAMILY) -> DataFrame:
     total, most = size.agg(F.sum("size"), F.max("blocks")).first()
     batches = (total or 0) // BATCH + 1
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
     small = F.format_string("batch %d", F.pmod(F.xxhash64("family"), F.lit(batches)))
-    one = named.join(size, "family")
+    # a family may hold a third of the classes
+    one = named.withColumn("salt", salt).join(size.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["family", "salt"])
     parts = one.filter("blocks = 1").select("key", small.alias("task"))
     if (most or 1) > 1:
         many = one.filter("blocks > 1").withColumn("i", block).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).filter("i <> j")

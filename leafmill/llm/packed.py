@@ -23,6 +23,8 @@ from leafmill.llm.columns import U64
 CHUNK_BYTES = 2_000_000
 MOST_BUCKETS = 1 << 16
 LOW = U64((1 << 48) - 1)
+#: Bucket of what a chunk sent for itself.
+OWN = -1
 QUESTION = "bucket int, chunk int, data binary"
 ANSWER = "chunk int, bucket int, data binary"
 
@@ -65,12 +67,20 @@ def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(keys, np.arange(buckets, dtype=U64) << U64(48)).tolist() + [len(keys)]
 
 
-def questions(chunk: int, keys: np.ndarray, buckets: int, planes: list[tuple[np.ndarray, int]] = (), more: list[tuple[int, bytes]] = (), first: int = 0) -> pa.Table:
-    """Rows for the buckets that sorted ``keys`` fall in; ``planes``: further arrays and their widths in bytes; ``more``: further (bucket, data) rows; ``first`` is added to buckets."""
+def questions(chunk: int, keys: np.ndarray, buckets: int, planes: list[tuple[np.ndarray, int]] = (), own: bytes | None = None) -> pa.Table:
+    """Rows for the buckets that sorted ``keys`` fall in; ``planes``: further arrays and their widths in bytes; ``own``: data that come back to the chunk as they are."""
     flat = [(low_bytes(keys, 6), 6), *[(low_bytes(a, w), w) for a, w in planes]]
     cuts = bounds(keys, buckets)
-    rows = [(b + first, b"".join(a[i:j].tobytes() for a, _ in flat)) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i] + list(more)
-    return pa.table([pa.array([b for b, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["bucket", "chunk", "data"])
+    rows = [(b, b"".join(a[i:j].tobytes() for a, _ in flat)) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
+    return question_rows(chunk, rows, own, chunk % buckets)
+
+
+def question_rows(chunk: int, rows: list[tuple[int, bytes]], own: bytes | None, via: int) -> pa.Table:
+    """(bucket, data) rows of a chunk, and its own data by way of bucket ``via``, known by a negative chunk."""
+    buckets, chunks, data = [b for b, _ in rows], [chunk] * len(rows), [d for _, d in rows]
+    if own is not None:
+        buckets, chunks, data = [*buckets, via], [*chunks, -1 - chunk], [*data, own]
+    return pa.table([pa.array(buckets, pa.int32()), pa.array(chunks, pa.int32()), pa.array(data, pa.binary())], names=["bucket", "chunk", "data"])
 
 
 def answers(chunks: list[int], buckets: list[int], data: list[bytes]) -> pa.Table:
@@ -117,14 +127,14 @@ def by_bucket(t: pa.Table) -> tuple[list[int], list[bytes]]:
     return [b for b, _ in pairs], [d for _, d in pairs]
 
 
-def answered(t: pa.Table, keys: np.ndarray, buckets: int, first: int = 0) -> np.ndarray:
+def answered(t: pa.Table, keys: np.ndarray, buckets: int) -> np.ndarray:
     """The answer bits of the chunk's sorted keys."""
     cuts = bounds(keys, buckets)
     data = dict(zip(*by_bucket(t), strict=True))
     parts = []
     for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
         if j > i:
-            parts.append(np.unpackbits(np.frombuffer(data[b + first], np.uint8), count=j - i).astype(bool))
+            parts.append(np.unpackbits(np.frombuffer(data[b], np.uint8), count=j - i).astype(bool))
     return np.concatenate(parts) if parts else np.zeros(0, bool)
 
 
@@ -138,8 +148,17 @@ def ask(rows: DataFrame, f) -> DataFrame:
 
 
 def answer(asked: DataFrame, f) -> DataFrame:
-    """Answers of each bucket; f(bucket, chunks, blobs) gives a table."""
-    return asked.groupBy("bucket").applyInArrow(lambda key, t: f(key[0].as_py(), t.column("chunk").to_pylist(), t.column("data").to_pylist()), ANSWER)
+    """Answers of each bucket; f(bucket, chunks, blobs) gives a table. What chunks sent for themselves goes back under bucket ``OWN``."""
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        chunk = t.column("chunk").to_numpy()
+        own, asked = t.filter(pa.array(chunk < 0)), t.filter(pa.array(chunk >= 0))
+        back = answers((-1 - chunk[chunk < 0]).tolist(), [OWN] * own.num_rows, own.column("data").to_pylist())
+        if not asked.num_rows:
+            return back
+        return pa.concat_tables([f(key[0].as_py(), asked.column("chunk").to_pylist(), asked.column("data").to_pylist()), back])
+
+    return asked.groupBy("bucket").applyInArrow(run, ANSWER)
 
 
 def tell(rows: DataFrame, told: DataFrame, f, schema: str) -> DataFrame:

@@ -29,7 +29,6 @@ from leafmill.llm.packed import Chunked, answered, bits, groups, keyed, question
 WINDOW = 35
 #: Entries of a bucket, about, for probes and for full runs.
 BUCKET_ENTRIES = 500_000
-MASK = -1  # bucket of the answer that carries a chunk's own candidates
 
 
 class Probes:
@@ -108,17 +107,13 @@ def covered(chunked: Chunked, window: int, out, schema: str) -> DataFrame:
         p = Probes(t, text, block, n1)
         candidates = _candidates(p, answered(told, p.keys, n1), window, block)
         r = Runs(p.texts, p.hash, candidates, window, n2)
-        own = (MASK - chunk, np.packbits(candidates).tobytes())
-        return questions(chunk, r.keys, n2, [(r.second, 6)], [own])
-
-    def repeats(bucket: int, chunks: list[int], blobs: list[bytes]) -> pa.Table:
-        return packed.answers(chunks, [MASK], blobs) if bucket < 0 else _repeats(bucket, chunks, blobs)
+        return questions(chunk, r.keys, n2, [(r.second, 6)], np.packbits(candidates).tobytes())
 
     def remove(_: int, t: pa.Table, told: pa.Table) -> pa.Table:
         texts = Texts(t.column(f"c{text}"))
         texts.words()
         n = len(texts.w_text)
-        mask = told.filter(pc.equal(told.column("bucket"), MASK)).column("data").to_pylist()[0]
+        mask = told.filter(pc.equal(told.column("bucket"), packed.OWN)).column("data").to_pylist()[0]
         candidates = np.unpackbits(np.frombuffer(mask, np.uint8), count=max(n - window + 1, 0)).astype(bool)
         r = Runs(texts, texts.word_hash(), candidates, window, n2)
         at = r.at[answered(told, r.keys, n2)[r.group]]
@@ -129,7 +124,7 @@ def covered(chunked: Chunked, window: int, out, schema: str) -> DataFrame:
 
     asked = packed.ask(chunked.rows, probe)
     runs = packed.tell(chunked.rows, packed.answer(asked, _hits), extend, packed.QUESTION)
-    return packed.tell(chunked.rows, packed.answer(runs, repeats), remove, schema)
+    return packed.tell(chunked.rows, packed.answer(runs, _repeats), remove, schema)
 
 
 def digests(docs: DataFrame, window: int = WINDOW) -> DataFrame:

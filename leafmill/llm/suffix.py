@@ -41,7 +41,6 @@ BUCKET_ENTRIES = 100_000
 PART_BYTES = 1_000_000
 #: States of an anchor.
 ALONE, COVERED, MIXED, HOT = range(4)
-OWN = -1
 
 
 def contexts(texts: Texts, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -293,12 +292,10 @@ def removed_bytes(chunked: Chunked, length: int, gram: int, crowded: int, out, s
         k_, s_ = low_bytes(keys[h], 6), low_bytes(second[h] | (times > 1).astype(U64), 8)
         rows += [(2 * n + b, k_[i:j].tobytes() + s_[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
         own += [np.stack([group, w]).astype("<i4"), np.array(cuts, "<i4")]
-        rows.append((OWN - chunk, b"".join(np.array([x.size], "<u4").tobytes() + x.tobytes() for x in own)))
-        return pa.table([pa.array([b for b, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["bucket", "chunk", "data"])
+        back = b"".join(np.array([x.size], "<u4").tobytes() + x.tobytes() for x in own)
+        return packed.question_rows(chunk, rows, back, n + chunk % n)
 
     def compared(bucket: int, chunks: list[int], blobs: list[bytes]) -> pa.Table:
-        if bucket < 0:
-            return packed.answers(chunks, [OWN], blobs)
         if bucket >= 2 * n:
             sizes, (keys, second) = unpacked(blobs, [6, 8])
             _, first, group = groups(keys, second >> U64(1))
@@ -324,7 +321,7 @@ def removed_bytes(chunked: Chunked, length: int, gram: int, crowded: int, out, s
         texts = Texts(t.column(f"c{text}"))
         buckets, data = by_bucket(told)
         own, at = [], 0
-        raw = data[buckets.index(OWN)]
+        raw = data[buckets.index(packed.OWN)]
         while at < len(raw):
             k = int.from_bytes(raw[at : at + 4], "little")
             own.append(np.frombuffer(raw, "<i4", k, at + 4).astype(np.int64))
