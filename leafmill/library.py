@@ -90,7 +90,7 @@ class Library:
         raw = extract.blocks(read).withColumn("text", T.control_strip(T.whitespace(T.unicode_clean(F.col("text"))))).filter("text <> '' OR kind = 'code'")
         ranked = stored(structure.with_paths(structure.with_preface(structure.ranked(raw))), "ranked")
         headed = raw.filter("kind = 'heading'").select("doc").distinct()
-        cut = structure.cut_levels(ranked).withColumnRenamed("cut", "cut_level")
+        cut = stored(structure.cut_levels(ranked).withColumnRenamed("cut", "cut_level"), "cuts")
         cut_blocks = ranked.join(headed, "doc", "left_semi").join(cut, "doc")
         begins = (F.col("kind") == "heading") & (F.col("parent") < F.col("cut_level"))
         marked = cut_blocks.withColumn("begins", begins).withColumn("start", F.max(F.when(begins, F.col("pos"))).over(structure.so_far()))

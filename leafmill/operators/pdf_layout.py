@@ -120,7 +120,9 @@ def with_headings(blocks: DataFrame) -> DataFrame:
     end = F.substring(F.rtrim("text"), -1, 1)
     by_size = F.col("size_level").isNotNull() & (F.col("n_lines") <= 2) & (F.length("text") <= HEADING_MOST) & ~end.isin(".", ",")
     by_bold = (F.col("size") == F.col("body")) & F.col("bold") & (F.col("n_lines") == 1) & (F.length("text") <= BOLD_MOST) & (end != ".")
-    rank = F.when((F.col("n_levels") == 0) & (F.col("n_lines") == 1), heading_rank(F.col("text")))
+    rank = F.when((F.col("kind") == "para") & (F.col("n_levels") == 0) & (F.col("n_lines") == 1) & ~by_bold, heading_rank(F.col("text")))
+    b = b.withColumn("rank", rank)
+    rank = F.when(F.col("rank").isNotNull(), F.dense_rank().over(Window.partitionBy("doc", F.col("rank").isNull()).orderBy("rank")))
     level = F.when(F.col("kind") != "para", F.col("level")).when(by_size, F.col("size_level")).when(by_bold, F.least(F.col("n_levels") + 1, F.lit(4))).otherwise(rank)
     b = b.withColumn("level", level).withColumn("kind", F.when((F.col("kind") == "para") & F.col("level").isNotNull(), "heading").otherwise(F.col("kind")))
     return merged_headings(b.select(*blocks.columns))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import canon_key, casefold, word_count
@@ -57,8 +57,11 @@ def _merge_tiny(rows: pd.DataFrame, tiny: int) -> pd.DataFrame:
 
 
 def merged_tiny(chapters: DataFrame, tiny: int = TINY) -> DataFrame:
-    """Tiny chapters become the beginning of the next one, the last one the end of the one before."""
-    return chapters.groupBy("doc").applyInPandas(lambda rows: _merge_tiny(rows, tiny), chapters.schema)
+    """Tiny chapters become the beginning of the next one, the last one the end of the one before; only documents that have some go through Python."""
+    doc = Window.partitionBy("doc")
+    flagged = chapters.withColumn("has_tiny", (F.min("tokens").over(doc) < tiny) & (F.count("*").over(doc) > 1))
+    rest = flagged.filter(~F.col("has_tiny")).drop("has_tiny")
+    return rest.unionByName(flagged.filter("has_tiny").drop("has_tiny").groupBy("doc").applyInPandas(lambda rows: _merge_tiny(rows, tiny), chapters.schema))
 
 
 def _pieces(text: str, most: int) -> list[str]:

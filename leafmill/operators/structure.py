@@ -69,14 +69,21 @@ def chapters(blocks: DataFrame, cut: Column) -> DataFrame:
     return out.filter("NOT (above AND n_blocks = 0)").drop("above")
 
 
+def level_medians(blocks: DataFrame) -> DataFrame:
+    """doc, cut (1 to 4), m: the median tokens of the chapters that each cut would make; one shuffle serves all cuts."""
+    begins = {k: (F.col("kind") == "heading") & (F.col("parent") < k) for k in range(1, 5)}
+    each = [F.struct(F.lit(k).alias("cut"), F.max(F.when(begins[k], F.col("pos"))).over(so_far()).alias("start"), begins[k].alias("begins"), (begins[k] & (F.col("level") < k)).alias("above")) for k in begins]
+    d = blocks.select("doc", word_count(F.col("text")).alias("t"), F.array(*each).alias("cuts")).select("doc", "t", F.explode("cuts").alias("c"))
+    own = ~F.col("c.begins")
+    chapter = d.groupBy("doc", "c.cut", "c.start").agg(F.sum(F.when(own, F.col("t")).otherwise(0)).alias("tokens"), F.max("c.above").alias("above"), F.count_if(own).alias("n_blocks"))
+    return chapter.filter("NOT (coalesce(above, false) AND n_blocks = 0)").groupBy("doc", "cut").agg(F.median("tokens").alias("m"))
+
+
 def cut_levels(blocks: DataFrame) -> DataFrame:
     """doc and its cut level: from 2 deeper while chapters are long, to 1 if they are short at the start."""
     levels = blocks.filter("kind = 'heading'").groupBy("doc").agg(F.max("level").alias("deepest"))
-    each = blocks.crossJoin(F.broadcast(blocks.sparkSession.range(1, 5).select(F.col("id").cast("int").alias("cut_level"))))  # four rows
-    keyed = each.withColumn("doc", F.struct("doc", "cut_level"))
-    med = chapters(keyed, F.col("cut_level")).groupBy("doc").agg(F.median("tokens").alias("m"))
-    m = med.groupBy(F.col("doc.doc").alias("doc")).pivot("doc.cut_level", [1, 2, 3, 4]).agg(F.first("m")).join(levels, "doc")
-    med_at = lambda k: F.coalesce(F.col(f"`{k}`"), F.lit(0.0))
+    m = level_medians(blocks).groupBy("doc").agg(*[F.max(F.when(F.col("cut") == k, F.col("m"))).alias(f"m{k}") for k in range(1, 5)]).join(levels, "doc")
+    med_at = lambda k: F.coalesce(F.col(f"m{k}"), F.lit(0.0))
     start = F.least(F.lit(2), F.col("deepest"))
     at3 = F.when((med_at(3) > DEEPEN) & (F.col("deepest") >= 4), 4).otherwise(3)
     at2 = F.when((med_at(2) > DEEPEN) & (F.col("deepest") >= 3), at3).otherwise(F.when(med_at(2) < SHALLOW, 1).otherwise(2))

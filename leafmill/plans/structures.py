@@ -95,8 +95,7 @@ _medians = "(" + " UNION ALL ".join(f"SELECT doc, {k} AS cut, median(tokens) AS
 
 @add("g03_level_medians", f"SELECT doc, cut, m FROM {_medians}")
 def _(spark, d):
-    parts = [structure.chapters(tree(spark), F.lit(k)).groupBy("doc").agg(F.median("tokens").alias("m")).withColumn("cut", F.lit(k)) for k in range(1, 5)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).select("doc", "cut", "m")
+    return structure.level_medians(tree(spark))
 
 
 _m = lambda k: f"coalesce(max(m) FILTER (WHERE cut = {k}), 0)"

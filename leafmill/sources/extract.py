@@ -63,11 +63,23 @@ def _one(path: str, content: bytes | None, sha: str) -> dict:
     return row
 
 
+NAMES = ("path", "sha256", "fmt", "status", "error", "title", "author", "lang", "ref_text", "unknown_tags", "blocks")
+#: Bytes of sources whose rows go back together.
+TOGETHER = 4 << 20
+
+
 def _all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [f.split()[0] for f in ("path", "sha256", "fmt", "status", "error", "title", "author", "lang", "ref_text", "unknown_tags", "blocks")]
     for batch in batches:
-        for r in batch.itertuples():  # one row at a time: sources are large
-            yield pd.DataFrame([_one(r.path, None if r.content is None else bytes(r.content), r.sha256)], columns=names)
+        rows, size = [], 0
+        for r in batch.itertuples():
+            content = None if r.content is None else bytes(r.content)
+            rows.append(_one(r.path, content, r.sha256))
+            size += len(content or b"")
+            if size >= TOGETHER:
+                yield pd.DataFrame(rows, columns=NAMES)
+                rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=NAMES)
 
 
 def extract(files: DataFrame) -> DataFrame:
