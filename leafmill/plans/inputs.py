@@ -63,13 +63,13 @@ def as_files(df: DataFrame, key: str, text: str, suffix: str) -> DataFrame:
 
 @add("src19_html_blocks", None, "src20_html_main", "src24_markup", "src06_dispatch")
 def _(spark, d):
-    read = extract.extract(as_files(table(spark, d, "pages"), "page_id", "html", ".html"))
+    read = extract.extract(as_files(table(spark, d, "pages", spread=True), "page_id", "html", ".html"))
     return read.select("path", "fmt", "title", "lang", F.explode("blocks").alias("b")).groupBy("path", "fmt", "title", "lang").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("b.kind") == "heading").alias("headings"), F.sum(F.length("b.text")).alias("chars"))
 
 
 @add("src09_md_blocks")
 def _(spark, d):
-    read = extract.extract(as_files(table(spark, d, "documents"), "doc_id", "text", ".md"))
+    read = extract.extract(as_files(table(spark, d, "documents", spread=True), "doc_id", "text", ".md"))
     return read.select("path", "fmt", "status", F.explode("blocks").alias("b")).groupBy("path", "fmt", "status", "b.kind").agg(F.count("*").alias("n"))
 
 
@@ -130,7 +130,7 @@ def _(spark, d):
 def _(spark, d):
     """All documents through the whole pipeline, into a library of their own."""
     lib = Library(spark, f"{shared_dir(spark)}/library-{uuid.uuid4().hex}")
-    return lib.ingest_files(as_files(table(spark, d, "documents").withColumn("text", F.concat(F.lit("Chapter 1\n\n"), "text")), "doc_id", "text", ".txt")).select("path", "id", "status", "score")
+    return lib.ingest_files(as_files(table(spark, d, "documents", spread=True).withColumn("text", F.concat(F.lit("Chapter 1\n\n"), "text")), "doc_id", "text", ".txt")).select("path", "id", "status", "score")
 
 
 @add("n03_controls", f"SELECT doc_id, {count_sql('text', '[' + chr(92) + 'x00-' + chr(92) + 'x08]')} AS n FROM documents")

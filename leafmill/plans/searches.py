@@ -50,7 +50,7 @@ TOP = lambda s, k: f"(SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sco
 
 
 def chapter_rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.col("source").alias("title"), "text")
+    return table(spark, d, "documents", spread=True).select(F.col("doc_id").alias("book_id"), F.col("source").alias("title"), "text")
 
 
 def book_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -161,7 +161,7 @@ CANON_TEXT = lambda c: rf"array_to_string(list_filter(list_transform(regexp_extr
 @add("v09_exact_contains", f"SELECT doc_id AS key, item_id AS quote_id FROM (SELECT doc_id, ' ' || {CANON_TEXT('text')} || ' ' AS c FROM documents) d, (SELECT item_id, {CANON_TEXT('text')} AS q FROM benchmark) b WHERE contains(c, ' ' || q || ' ')")
 def _(spark, d):
     quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-    return verify.containing(table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text"), quotes)
+    return verify.containing(table(spark, d, "documents", spread=True).select(F.col("doc_id").alias("key"), "text"), quotes)
 
 
 @add("v01_normalized", f"SELECT item_id, {CANON_TEXT('text')} AS canon FROM benchmark")
@@ -177,7 +177,7 @@ def _(spark, d):
 def attributed(spark: SparkSession, d: str) -> DataFrame:
     """Quotes with the chapters that hold their first words, compared word by word."""
     quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("key"), "text")
+    docs = table(spark, d, "documents", spread=True).select(F.col("doc_id").alias("key"), "text")
     begun = quotes.withColumn("quote", F.array_join(F.slice(F.split("quote", " "), 1, 8), " "))
     pairs = verify.containing(docs, begun).join(quotes, "quote_id").join(docs, "key")
     return verify.compared(pairs, "text", "quote")

@@ -249,7 +249,7 @@ m AS (SELECT doc, CAST(tokens AS DOUBLE) / greatest(1, CASE WHEN lang = 'de' THE
 
 
 def measured(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = table(spark, d, "documents", spread=True)
     rows = docs.select(F.col("doc_id").alias("doc"), "text", T.word_count(F.col("text")).alias("tokens"))
     ref = T.word_count(F.col("text")) * F.when(F.col("lang") == "de", 2).otherwise(1)
     none = F.lit(0).cast("bigint")

@@ -8,9 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data directory, by any path that Spark can read."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A table of the data directory, by any path that Spark can read.
+
+    ``spread``: for work that costs far more than a shuffle of the rows, a table of fewer scan
+    partitions than half the cores (a small file of one row group) is dealt out to all of them.
+    """
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and 2 * df._jdf.rdd().getNumPartitions() <= cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
