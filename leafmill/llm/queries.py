@@ -12,15 +12,15 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 def op1_quality_rules(spark, sf_dir):
-    return quality.measured(table(spark, sf_dir, "documents")).drop("text", "clean_text")
+    return quality.measured(table(spark, sf_dir, "documents", spread=True)).drop("text", "clean_text")
 
 
 def op2_byte_bpe(spark, sf_dir):
-    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+    return bpe.digests(table(spark, sf_dir, "documents", spread=True), public_tokenizers.path(RANKS))
 
 
 def op3_html_extraction(spark, sf_dir):
-    return html.extracted(table(spark, sf_dir, "pages"))
+    return html.extracted(table(spark, sf_dir, "pages", spread=True))
 
 
 def op4_warc(spark, sf_dir):
@@ -36,7 +36,7 @@ def op6_ngram_jaccard(spark, sf_dir):
 
 
 def op7_decontamination(spark, sf_dir):
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+    return decontam.contaminated(table(spark, sf_dir, "documents", spread=True), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op8_lm_scoring(spark, sf_dir):
@@ -44,7 +44,7 @@ def op8_lm_scoring(spark, sf_dir):
 
 
 def op9_license_scan(spark, sf_dir):
-    return license.scan(table(spark, sf_dir, "documents"))
+    return license.scan(table(spark, sf_dir, "documents", spread=True))
 
 
 def op10_suffix_dedup(spark, sf_dir):
