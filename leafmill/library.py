@@ -6,12 +6,17 @@ is replaced last: readers see the old or the new state. One writer at a time.
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from leafmill.config import digest, load
 from leafmill.functions import text as T
 from leafmill.operators import catalog, quality_gate, search, sections, structure, verify
 from leafmill.plans.reads import budget_read
@@ -19,18 +24,20 @@ from leafmill.session import stored
 from leafmill.sources import extract
 
 VERSION = "2.4"
-TABLES = ("books", "chapters", "outcomes")
 BOOKS = "id string, title string, author string, lang string, fmt string, sha256 string, cache_key string, meta_locked boolean, score double, status string, triggers string, total_tokens bigint, ingested_at string"
 CHAPTERS = "book string, n bigint, title string, text string, tokens bigint, summary string"
+SOURCES = "sha256 string, path string, content binary"
 OUTCOMES = "path string, id string, status string, score double, error string"
-BUDGET = 12_000
+SCHEMAS = {"books": BOOKS, "chapters": CHAPTERS, "outcomes": OUTCOMES, "sources": SOURCES}
+#: Seconds to wait for another writer.
+LOCK_SECONDS = 30
 
 
 class Library:
-    """Books of a folder; ``config`` is what results depend on and becomes part of each book's key."""
+    """Books of a folder; ``config`` (see ``leafmill.config``) is what results depend on, its digest part of each book's key."""
 
-    def __init__(self, spark: SparkSession, root: str, config: str = "default"):
-        self.spark, self.root, self.config = spark, root.rstrip("/"), config
+    def __init__(self, spark: SparkSession, root: str, config: dict | None = None):
+        self.spark, self.root, self.config = spark, root.rstrip("/"), config or load()
 
     # --- storage ---------------------------------------------------------------------------------
 
@@ -42,12 +49,31 @@ class Library:
         return rows[0].version if rows else None
 
     def table(self, name: str) -> DataFrame:
-        schema = {"books": BOOKS, "chapters": CHAPTERS, "outcomes": OUTCOMES}[name]
+        schema = SCHEMAS[name]
         version = self._current()
         return self.spark.read.schema(schema).parquet(f"{self.root}/v={version}/{name}") if version else self.spark.createDataFrame([], schema)
 
+    @contextmanager
+    def lock(self) -> Iterator[None]:
+        """One writer at a time: a file that only one can create."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/.lock")
+        fs, began = path.getFileSystem(self.spark._jsc.hadoopConfiguration()), time.time()
+        while True:
+            try:
+                fs.create(path, False).close()
+                break
+            except Py4JJavaError as e:
+                if time.time() - began > LOCK_SECONDS:
+                    raise TimeoutError(f"{self.root} is locked by another writer") from e
+                time.sleep(0.2)
+        try:
+            yield
+        finally:
+            fs.delete(path, False)
+
     def _publish(self, tables: dict[str, DataFrame]) -> None:
-        """All tables of a new version, then the pointer; a crash before that leaves the old version in force."""
+        """All tables of a new version (those not given stay), then the pointer; a crash before that leaves the old version in force."""
+        tables = {name: tables.get(name, self.table(name)) for name in SCHEMAS}
         version = uuid.uuid4().hex
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/v={version}/{name}")
@@ -57,15 +83,23 @@ class Library:
     # --- ingest ----------------------------------------------------------------------------------
 
     def cache_key(self, sha: Column) -> Column:
-        return F.concat_ws(":", sha, F.lit(VERSION), F.sha2(F.lit(self.config), 256))
+        return F.concat_ws(":", sha, F.lit(VERSION), F.lit(digest(self.config)))
 
     def ingest(self, *paths: str) -> DataFrame:
         """Reads files into the library; the outcomes, one row per file. Files whose key is known are skipped."""
         return self.ingest_files(extract.files(self.spark, *paths))
 
-    def ingest_files(self, files: DataFrame) -> DataFrame:
+    def reingest(self) -> DataFrame:
+        """All kept sources once more, under the present settings; ids and locked metadata stay."""
+        return self.ingest_files(self.table("sources").select("path", "content"), force=True)
+
+    def ingest_files(self, files: DataFrame, force: bool = False) -> DataFrame:
+        with self.lock():
+            return self._ingest(files, force)
+
+    def _ingest(self, files: DataFrame, force: bool) -> DataFrame:
         files = files.withColumn("key", self.cache_key(F.sha2("content", 256)))
-        known = self.table("books").select(F.col("cache_key").alias("key"), F.col("id").alias("known_id"))
+        known = self.table("books").filter(F.lit(not force)).select(F.col("cache_key").alias("key"), F.col("id").alias("known_id"))
         fresh = files.join(known, "key", "left_anti")
         done = files.join(known, "key").select("path", F.col("known_id").alias("id"), F.lit("skipped").alias("status"), F.lit(None).cast("double").alias("score"), F.lit("already in the library").alias("error"))
         read = stored(extract.extract(fresh), "extracted")
@@ -81,6 +115,7 @@ class Library:
             "books": old_books.join(gone, "id", "left_anti").unionByName(kept.select(*old_books.columns)),
             "chapters": old_chapters.join(gone.withColumnRenamed("id", "book"), "book", "left_anti").unionByName(chapters.join(gone.withColumnRenamed("id", "book"), "book", "left_semi").select(*old_chapters.columns)),
             "outcomes": outcomes,
+            "sources": self.table("sources").unionByName(fresh.select(F.sha2("content", 256).alias("sha256"), "path", "content").join(kept.select("sha256"), "sha256", "left_semi")).dropDuplicates(["sha256"]),
         })
         return outcomes
 
@@ -102,8 +137,8 @@ class Library:
         flat = raw.join(headed, "doc", "left_anti").groupBy("doc").agg(joined(F.col("text"), "\n\n").alias("text")).select("doc", F.lit(1).alias("n"), F.lit(structure.PREFACE).alias("title"), "text")
         chapters = whole.unionByName(flat).withColumn("tokens", T.word_count(F.col("text")))
         flagged = stored(sections.toc_flags(chapters).withColumn("removed", F.col("is_toc") | sections.is_meta(F.col("text"), F.col("tokens"))).drop("is_toc"), "chapters")
-        kept = sections.merged_tiny(flagged.filter("NOT removed").drop("removed").withColumn("n", F.col("n").cast("bigint")))
-        kept = sections.not_empty(sections.split_giants(kept))
+        kept = sections.merged_tiny(flagged.filter("NOT removed").drop("removed").withColumn("n", F.col("n").cast("bigint")), self.config["sections"]["tiny"])
+        kept = sections.not_empty(sections.split_giants(kept, self.config["sections"]["giant"], self.config["sections"]["part"]))
         kept = stored(kept.withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("n", F.coalesce("part", F.lit(0)))).cast("bigint")), "kept")
         removed = flagged.filter("removed").groupBy("doc").agg(F.sum("tokens").alias("removed_tokens"))
         ok = read.filter("status = 'read'")
@@ -113,7 +148,7 @@ class Library:
         m = quality_gate.scored(quality_gate.metrics(kept, refs))
         named = ok.select(F.col("sha256").alias("doc"), T.repaired_title(F.col("title")).alias("title"), "author", F.coalesce("lang", T.language(F.col("ref_text"))).alias("lang"), "fmt", "path", (F.col("title").isNotNull() & T.repaired_title(F.col("title")).isNull()).alias("repaired")).dropDuplicates(["doc"])
         stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
-        named = named.withColumn("slug", T.book_id(F.col("title"), F.when(F.col("title").isNotNull(), F.col("author")), stem)).withColumn("title", F.coalesce("title", stem))
+        named = named.withColumn("slug", T.book_id(F.col("title"), F.when(F.col("title").isNotNull(), F.col("author")), stem, self.config["ids"]["most"])).withColumn("title", F.coalesce("title", stem))
         # of several new books of one slug the least hash has it
         order = Window.partitionBy("slug").orderBy("doc")
         named = named.withColumn("slug", F.when(F.row_number().over(order) == 1, F.col("slug")).otherwise(F.concat_ws("-", "slug", F.substring("doc", 1, 6))))
@@ -128,13 +163,15 @@ class Library:
 
     def remove(self, book: str) -> None:
         catalog.lookup(self.table("books"), catalog.validate_book_id(book))
-        self._publish({"books": self.table("books").filter(F.col("id") != book), "chapters": self.table("chapters").filter(F.col("book") != book), "outcomes": self.table("outcomes")})
+        with self.lock():
+            self._publish({"books": self.table("books").filter(F.col("id") != book), "chapters": self.table("chapters").filter(F.col("book") != book)})
 
     def lock_metadata(self, book: str, title: str, author: str) -> None:
         """Sets title and author by hand; later ingests keep them."""
         mine = F.col("id") == book
         new = self.table("books").withColumn("title", F.when(mine, F.lit(title)).otherwise(F.col("title"))).withColumn("author", F.when(mine, F.lit(author)).otherwise(F.col("author"))).withColumn("meta_locked", F.when(mine, True).otherwise(F.col("meta_locked")))
-        self._publish({"books": new, "chapters": self.table("chapters"), "outcomes": self.table("outcomes")})
+        with self.lock():
+            self._publish({"books": new})
 
     # --- reads -----------------------------------------------------------------------------------
 
@@ -161,7 +198,7 @@ class Library:
             n = rows.count()
             wanted = catalog.parse_spec(spec, n)
         else:
-            b = budget_read(self.table("chapters").filter(F.col("book") == book), BUDGET if budget is None else budget, start).collect()
+            b = budget_read(self.table("chapters").filter(F.col("book") == book), self.config["read"]["budget"] if budget is None else budget, start).collect()
             if not b:
                 return {"text": "", "chapters": [], "next_from": None, "message": "no chapters from there"}
             wanted = list(range(start, start + b[0].chapters_read))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import json
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill import config
 from leafmill.library import Library
+from leafmill.operators import catalog
 from leafmill.plans.inline import Inline
 from leafmill.plans.texts import CASES, count_sql
 from leafmill.session import shared_dir, table
@@ -121,9 +126,9 @@ def _(spark, d):
     return docs.join(known, "key", "left_anti").select("doc_id", "key")
 
 
-@add("e08_config_hash", "SELECT sha256('default') AS hash")
+@add("e08_config_hash", f"SELECT sha256('{json.dumps(config.load(), sort_keys=True)}') AS hash")
 def _(spark, d):
-    return spark.range(1).select(F.sha2(F.lit("default"), 256).alias("hash"))
+    return spark.createDataFrame([(config.digest(config.load()),)], "hash string")
 
 
 @add("e02_ingest", None, "e01_batch", "snk1_emit", "snk2_publish")
@@ -133,6 +138,55 @@ def _(spark, d):
     return lib.ingest_files(as_files(table(spark, d, "documents", spread=True).withColumn("text", F.concat(F.lit("Chapter 1\n\n"), "text")), "doc_id", "text", ".txt")).select("path", "id", "status", "score")
 
 
+FB2 = (
+    "<FictionBook><description><title-info><author><first-name>Doc</first-name><last-name>Writer</last-name></author><book-title>Book %d</book-title><lang>%s</lang></title-info></description>"
+    "<body><section><title><p>One</p></title><p>%s<a type='note'>1</a></p></section></body><body name='notes'><section><title><p>1</p></title><p>note</p></section></body></FictionBook>"
+)
+
+
+@add("src10_fb2", None, "src11_fb2_notes", "src12_fb2_metadata")
+def _(spark, d):
+    docs = table(spark, d, "documents", spread=True)
+    safe = F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    read = extract.extract(as_files(docs.withColumn("x", F.format_string(FB2, "doc_id", "lang", safe)), "doc_id", "x", ".fb2"))
+    return read.select("path", "status", "title", "author", "lang", F.array_join(F.transform("blocks", lambda b: b["kind"]), ",").alias("kinds"))
+
+
+def zipped(entries: dict[str, str]) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, body in entries.items():
+            z.writestr(name, body)
+    return out.getvalue()
+
+
+def containers() -> list[tuple[str, bytearray]]:
+    """One small book in each container format, and two that can't be read."""
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    files = {
+        "a.epub": {"mimetype": "application/epub+zip", "META-INF/container.xml": '<container><rootfile full-path="b.opf"/></container>', "b.opf": '<package><metadata><title>B</title></metadata><manifest><item id="x" href="x.html"/><item id="y" href="y.html"/></manifest><spine><itemref idref="x"/><itemref idref="y"/></spine></package>', "x.html": "<h1>X</h1><p>first</p>", "y.html": "<h1>Y</h1><p>second</p>"},
+        "b.docx": {"word/document.xml": f'<w:document xmlns:w="{w}"><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>H</w:t></w:r></w:p><w:p><w:r><w:t>text</w:t></w:r></w:p></w:body></w:document>'},
+        "c.zip": {"book.fb2": "<FictionBook><body><section><title><p>T</p></title><p>p</p></section></body></FictionBook>"},
+        "two.zip": {"1.fb2": "<FictionBook/>", "2.fb2": "<FictionBook/>"},
+        "bomb.epub": {"mimetype": "application/epub+zip", "big": "0" * 20_000_000},
+    }
+    return [(name, bytearray(zipped(entries))) for name, entries in files.items()]
+
+
+@add("src02_zip_kinds", None, "src13_zipped_fb2", "src14_epub", "src17_epub_files", "src18_docx", "src23_zip_guard", "src25_error_rows")
+def _(spark, d):
+    read = extract.extract(spark.createDataFrame(containers(), "path string, content binary"))
+    return read.select("path", "fmt", "status", F.substring_index("error", ":", 1).alias("error"), F.size("blocks").alias("n"))
+
+
+@add("s04_sync", "SELECT doc_id AS id, 'deleted' AS what FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'changed' FROM labels WHERE quality <> toxic")
+def _(spark, d):
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
+    gone = catalog.deleted(table(spark, d, "documents").select(F.col("doc_id").alias("id")), labels)
+    new = catalog.changed(labels.select("id", F.col("quality").cast("string").alias("fingerprint")), labels.select("id", F.col("toxic").cast("string").alias("fingerprint")))
+    return gone.select("id", F.lit("deleted").alias("what")).unionByName(new)
+
+
 @add("n03_controls", f"SELECT doc_id, {count_sql('text', '[' + chr(92) + 'x00-' + chr(92) + 'x08]')} AS n FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"[\x00-\x08]")).cast("bigint").alias("n"))

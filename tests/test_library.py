@@ -6,6 +6,7 @@ import zipfile
 
 import pytest
 
+from leafmill import config
 from leafmill.cli import main
 from leafmill.library import Library
 from leafmill.streaming.ingest import watch
@@ -105,6 +106,22 @@ def test_updates(library, sources):
     assert not library.list_books().filter("id LIKE '%page'").count()
 
 
+def test_reingest(spark, sources, tmp_path):
+    settings = tmp_path / "own.toml"
+    settings.write_text("[sections]\ngiant = 300\npart = 200\n")
+    root = str(tmp_path / "lib")
+    lib = Library(spark, root)
+    lib.ingest(str(sources / "novel.txt"), str(sources / "light.epub"))
+    lib.lock_metadata("novel", "Kept", "By Hand")
+    again = Library(spark, root, config.load(str(settings)))
+    assert {r.id for r in again.reingest().collect()} == {"novel", "a-keeper-the-lighthouse"}
+    assert again.info("novel").first().title == "Kept" and again.list_chapters("novel").count() > 2
+    assert {r.status for r in again.ingest(str(sources / "novel.txt")).collect()} == {"skipped"}
+    settings.write_text("[sections]\nunknown = 1\n")
+    with pytest.raises(ValueError):
+        config.load(str(settings))
+
+
 def test_streaming(spark, sources, tmp_path):
     lib = Library(spark, str(tmp_path / "lib"))
     folder = tmp_path / "in"
