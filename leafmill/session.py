@@ -38,4 +38,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again: cuts the lineage for good."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Folders that ``stored`` has written in this driver.
+_written: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes what ``stored`` has written so far; results that still read it must be written before. Gives their number."""
+    n = len(_written)
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n

@@ -142,3 +142,12 @@ def test_readers():
     html = readers.read_html(b"<html lang=en><title>T &amp; t</title><nav>n</nav><article><h5>H</h5><p>a<br>b</p><ul><li>i</ul><pre> c\n d</pre><table><tr><td>1<td>2</tr><tr><td>3</td><td>4</td></tr></table><blockquote><p>q</p></blockquote><odd>z</odd></article>")
     assert [(b.kind, b.text) for b in html.blocks] == [("heading", "H"), ("para", "a b"), ("list_item", "i"), ("code", " c\n d"), ("table", "1\t2\n3\t4"), ("quote", "q"), ("para", "z")]
     assert html.title == "T & t" and html.lang == "en" and html.unknown_tags == {"odd": 1} and html.blocks[0].level == 4
+
+
+def test_release(spark):
+    from leafmill.session import release, stored
+
+    kept = stored(spark.range(3).toDF("n"), "numbers")
+    assert kept.count() == 3 and release(spark) >= 1 and release(spark) == 0
+    with pytest.raises(Exception):  # noqa: B017  the files are gone
+        spark.read.parquet(kept.inputFiles()[0]).count()
