@@ -194,7 +194,7 @@ def trapezoid(c: Column, points: tuple[float, float, float, float]) -> Column:
 
 
 def iso_time(epoch: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return F.date_format(F.to_utc_timestamp(F.timestamp_seconds(epoch), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
 def half_point(size: Column) -> Column:

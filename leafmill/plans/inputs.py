@@ -131,7 +131,7 @@ def _(spark, d):
     return spark.createDataFrame([(config.digest(config.load()),)], "hash string")
 
 
-@add("e02_ingest", None, "e01_batch", "snk1_emit", "snk2_publish")
+@add("e02_ingest", None)
 def _(spark, d):
     """All documents through the whole pipeline, into a library of their own."""
     lib = Library(spark, f"{shared_dir(spark)}/library-{uuid.uuid4().hex}")
