@@ -276,8 +276,10 @@ def grouped(docs: DataFrame, family: int = FAMILY) -> tuple[Chunked, DataFrame]:
     least = rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least"))
     roots = stars.select(F.col("a").alias("key"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("key"), F.col("b").alias("root")).distinct())
     own = roots.join(least, "key")
-    group = own.groupBy("root").agg(F.min("least").alias("component"))
-    classes = least.join(own.join(group, "root").select("key", "component"), "key", "left").select("key", F.coalesce("component", "least").alias("component"))
+    # a group or a class may hold a third of the rows: groups are dealt out over salts, classes written so that the join may split them
+    group = own.groupBy("root").agg(F.min("least").alias("component")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    in_groups = own.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).join(group, ["root", "salt"]).select("key", "component")
+    classes = stored(least.join(in_groups, "key", "left").select("key", F.coalesce("component", "least").alias("component")), "classes")
     out = rows.join(classes, "key", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
     return chunked, out.select("doc_id", "n_shingles", "component_id", "rh", "chunk")
 
