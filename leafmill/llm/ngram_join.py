@@ -39,7 +39,7 @@ from leafmill.session import stored
 SHINGLE = 5
 BUCKET_ENTRIES = 500_000
 #: Shingles of a family, or of a batch of families, in one task.
-FAMILY, BATCH = 3_000_000, 1_000_000
+FAMILY, BATCH = 1_000_000, 500_000
 #: Postings up to which short lists are merged with a heap; longer ones by sorting.
 HEAP = 512
 #: Families are dealt out over so many salts.
