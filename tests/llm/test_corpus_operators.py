@@ -267,6 +267,19 @@ def test_lm_is_a_distribution():
     assert (seats.tables <= seats.count).all() and (seats.tables[seats.count > 0] >= 1).all()
 
 
+def test_lm_buckets(spark, monkeypatch):
+    """Sums are of the whole corpus: scores don't depend on the number of buckets."""
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(r.choices(words, [1 / (i + 1) for i in range(400)], k=400))) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = []
+    for n in (1, 7):
+        monkeypatch.setattr(lm.Chunked, "buckets", lambda self, entries, each, n=n: n)
+        out.append(got(lm.scores(df), "doc_id", "n_known", "train_tokens", "base_score", "score"))
+    assert out[0] == out[1]
+
+
 def test_warc(spark, tmp_path):
     page = "<html>" + prose(400) + "</html>"
     rows = [(1, None), (2, ""), (3, page), (4, page), (9, page), (9, page), (None, page), (5, "x"), (6, "y" * 200_000)]
