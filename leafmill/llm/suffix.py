@@ -53,13 +53,19 @@ def contexts(texts: Texts, length: int, gram: int) -> tuple[np.ndarray, np.ndarr
     with np.errstate(over="ignore"):
         h = mixed((sums[gram:] - sums[:-gram]) * powers(n, 0, True))
     rows = -(-n // w)
+    # the low bits hold the place in a block of w hashes, whatever the length of the data: the leftmost of equals
+    bits = U64(max(1, (w - 1).bit_length()))
+    place = (U64(1) << bits) - U64(1)
     key = np.full((rows + 1) * w, np.iinfo(U64).max, U64)
-    key[:n] = (h & ~U64((1 << 24) - 1)) | np.arange(n, dtype=U64)  # the leftmost of equals
+    key[:n] = h & ~place | np.arange(n, dtype=U64) % U64(w)
     block = key.reshape(-1, w)
     ahead = np.minimum.accumulate(block, axis=1).ravel()
     back = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
     m = n - w + 1
-    least = (np.minimum(back[:m], ahead[w - 1 : w - 1 + m]) & U64((1 << 24) - 1)).astype(np.int64)
+    one, two = back[:m], ahead[w - 1 : w - 1 + m]  # of the window's first block, and of its last
+    first = one >> bits <= two >> bits
+    start = np.arange(m) + np.where(first, 0, w - 1)
+    least = start - start % w + (np.where(first, one, two) & place).astype(np.int64)
     inside = np.zeros(m + 1, np.int8)
     room = texts.ends - texts.starts >= length
     inside[texts.starts[room]] = 1

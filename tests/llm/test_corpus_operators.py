@@ -156,6 +156,22 @@ def test_suffix_collision():
     assert [parts[k] for k in order] == [b"banana", b"bananas", b"band", b"", b"an", b"banana"] and near.tolist() == [-1, 6, 3, -1, 0, 0]
 
 
+def test_suffix_far():
+    """Windows past 16 MiB find their anchors: those of a passage repeated there are the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    data = np.random.default_rng(2).integers(97, 123, (1 << 24) + 5000).astype(np.uint8)
+    one, two = (1 << 24) + 1000, (1 << 24) + 4001
+    data[two : two + 300] = data[one : one + 300]
+    texts = suffix.Texts(pa.array([data.tobytes().decode()]))
+    lo, hi, at, h, _ = suffix.contexts(texts, suffix.LENGTH, suffix.GRAM)
+    assert ((lo <= hi) & (hi <= at) & (at + suffix.GRAM <= lo + suffix.LENGTH)).all()
+    for k in range(101):
+        i, j = np.searchsorted(lo, [one + k, two + k], "right") - 1
+        assert h[i] == h[j] and at[i] - one == at[j] - two
+
+
 def test_ngram_join(docs, rows, none):
     want = H.ordered(H.groups(rows))
     assert got(ngram_join.groups_of(docs), "doc_id", "n_shingles", "component_id") == want
