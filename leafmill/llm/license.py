@@ -4,8 +4,8 @@ Templates are reduced to words; the hashes of their k-word runs are winnowed (th
 of them is kept), so that any shared run of ``GRAM + WINDOW - 1`` words shares a fingerprint. An
 inverted index leads from fingerprints to (template, place). Each run of words of a text is looked up;
 hits of one template on nearby diagonals make a candidate, which is aligned word by word inside a band
-around them. A match is reported if it covers enough of its template; of matches that overlap the one
-with more matching words stays.
+around them, and again on both sides of each match. A match is reported if it covers enough of its
+template; of matches that overlap the one with more matching words stays.
 
 The templates are a parameter of bounded size and go to the workers with the code.
 
@@ -16,6 +16,7 @@ length are scanned whole.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -139,15 +140,23 @@ def matches(words: np.ndarray, t: Templates, coverage: float) -> list[tuple[int,
             end += 1
         for low, high in _diagonals([d for _, _, d in hits[k:end]]):
             a, b = max(0, low - BAND), min(len(words), high + size + BAND)
-            n, start, stop = align(t.words[name], words[a:b], low - BAND - a, high + BAND - a)
-            if n >= coverage * size:
-                found.append((name, n, a + start, a + stop))
+            # an alignment spans less than three times its template, so one of the overlapping pieces holds it whole
+            parts = [(x, min(b, x + 6 * size + 2 * BAND)) for x in range(a, max(a + 1, b - 3 * size - 2 * BAND), 3 * size)]
+            while parts:
+                a, b = parts.pop()
+                if b - a < coverage * size:
+                    continue
+                n, start, stop = align(t.words[name], words[a:b], low - BAND - a, high + BAND - a)
+                if n and n >= coverage * size:
+                    found.append((name, n, a + start, a + stop))
+                    parts += [(a, a + start), (a + stop, b)]  # further occurrences on both sides
         k = end
-    out: list[tuple[int, int, int, int]] = []
+    out: list[tuple[int, int, int, int]] = []  # by start
     for m in sorted(found, key=lambda x: (-x[1], x[3] - x[2], x[2], x[0])):
-        if all(m[3] <= o[2] or m[2] >= o[3] for o in out):
-            out.append(m)
-    return sorted(out, key=lambda x: x[2])
+        at = bisect_left(out, m[2], key=lambda x: x[2])
+        if (not at or out[at - 1][3] <= m[2]) and (at == len(out) or m[3] <= out[at][2]):
+            out.insert(at, m)
+    return out
 
 
 def _diagonals(d: list[int]) -> list[tuple[int, int]]:

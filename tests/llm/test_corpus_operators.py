@@ -395,6 +395,19 @@ def test_license(spark, docs, none):
     assert license.scan(none).count() == 0 and license.scan(docs).count() == 0
 
 
+@pytest.mark.parametrize("gap", range(8))
+@pytest.mark.parametrize("times", [2, 5, 1000])
+def test_license_repeated(gap, times):
+    """Each of several notices that follow each other closely is found."""
+    import pyarrow as pa
+
+    t = license.index(license.TEMPLATES)
+    x = license.Texts(pa.array([" ".join(f"{unique(gap)} Licensed under CC BY 4.0." for _ in range(times))]), lower=True)
+    x.words(license.WORD)
+    want = [(6, k * (gap + 6) + gap, (k + 1) * (gap + 6)) for k in range(times)]
+    assert [m[1:] for m in license.matches(x.word_hash(), t, license.COVERAGE)] == want
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.integers(0, 3), min_size=1, max_size=12), st.lists(st.integers(0, 3), min_size=1, max_size=16))
 def test_alignment(a, b):
