@@ -146,7 +146,7 @@ def vectors(page: list[Block]) -> np.ndarray:
             if k is None:
                 k = _slots[t] = _slot(t, PATH_SIZE)
             out[i, k] = 1
-        words = b.text.lower().split()[:64]
+        words = b.text.lower().split()
         for w in words:
             out[i, PATH_SIZE + zlib.crc32(w.encode()) % WORD_SIZE] += 1 / len(words)
         out[i, PATH_SIZE + WORD_SIZE :] = np.log1p(len(b.text)) / 8, b.linked, len(b.path) / 8, b.text[-1] in ".!?…\"»”", i / max(1, len(page) - 1)

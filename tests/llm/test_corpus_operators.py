@@ -359,6 +359,13 @@ def test_html_blocks():
     assert text("<p>" * 3000 + "deep") == ["deep"]
 
 
+def test_html_long_block():
+    """All words of a block count, not only those at its start."""
+    start = " ".join(["word"] * 70)
+    one, two = (html.vectors(html.blocks(f"<p>{start} {x}</p>"))[0, html.PATH_SIZE : html.PATH_SIZE + html.WORD_SIZE] for x in ("alpha beta", "gamma delta"))
+    assert (one != two).any()
+
+
 def test_gradients():
     import numpy as np
 
