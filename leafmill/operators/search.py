@@ -56,13 +56,19 @@ def query_terms(spark: SparkSession, queries: list[tuple[int, str]]) -> DataFram
     return spark.createDataFrame(rows, "qid int, idx int, word string, n_terms int").select("qid", "idx", folded(F.col("word")).alias("term"), "n_terms")
 
 
-def bm25(docs: DataFrame, keys: list[str], weights: dict[str, float], terms: DataFrame) -> DataFrame:
-    """qid, keys, score (larger is better), matched: number of the query's terms found."""
+def bm25(docs: DataFrame, keys: list[str], weights: dict[str, float], terms: DataFrame, many: bool = False) -> DataFrame:
+    """qid, keys, score (larger is better), matched: number of the query's terms found. ``many``: terms of any number, joined with the prefixes of all tokens."""
     columns = list(weights)
     weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
     tf = postings(docs, keys, columns).groupBy(*keys, "col", "term").agg(F.count("*").alias("tf"))
     # prefixes as a range; the terms are few and bounded
-    hits = tf.withColumnRenamed("term", "token").join(F.broadcast(terms), F.col("token").startswith(F.col("term")))
+    tf = tf.withColumnRenamed("term", "token")
+    if many:
+        begins = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.substring(F.col("token"), F.lit(1), i))
+        known = tf.select("token").distinct().select("token", F.explode(begins).alias("term")).join(terms.select("term").distinct(), "term")
+        hits = tf.join(known, "token").join(terms, "term")
+    else:
+        hits = tf.join(F.broadcast(terms), F.col("token").startswith(F.col("term")))
     hits = hits.groupBy("qid", "idx", "n_terms", *keys).agg(F.sum(weight[F.col("col")] * F.col("tf")).alias("f"))
     size = lengths(docs, keys, columns)
     corpus = size.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avgdl"))  # one row

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions import text as T
 from leafmill.operators import search, verify
 from leafmill.plans.texts import CANON_SQL
 from leafmill.session import table
@@ -174,13 +176,24 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", verify.verdict_column(F.col("n_chars") / 2000, F.col("n_chars") > 4000).alias("verdict"))
 
 
+def _forms(quote: pd.Series) -> pd.Series:
+    """The significant words of each quote in their yo-variants; none if they are too few."""
+    strong = quote.map(lambda q: [t.canon for t in verify.normalized(q or "") if t.canon not in T.STOP_WORDS])
+    return strong.map(lambda w: search.yo_variants(w) if len(w) >= verify.LEAST_SIGNIFICANT else [])
+
+
 def attributed(spark: SparkSession, d: str) -> DataFrame:
-    """Quotes with the chapters that hold their first words, compared word by word."""
+    """Quotes with the best chapters for any of their significant words, compared word by word."""
     quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
-    docs = table(spark, d, "documents", spread=True).select(F.col("doc_id").alias("key"), "text")
-    begun = quotes.withColumn("quote", F.array_join(F.slice(F.split("quote", " "), 1, 8), " "))
-    pairs = verify.containing(docs, begun).join(quotes, "quote_id").join(docs, "key")
-    return verify.compared(pairs, "text", "quote")
+    docs = chapter_rows(spark, d)
+    forms = quotes.select("quote_id", F.posexplode(F.pandas_udf(_forms, "array<array<string>>")("quote")).alias("form", "words"))
+    terms = forms.select(F.struct("quote_id", "form").alias("qid"), F.size("words").alias("n_terms"), F.posexplode("words").alias("idx", "word"))
+    terms = terms.select("qid", "idx", search.folded(F.col("word")).alias("term"), "n_terms")
+    found = search.bm25(docs, ["book_id"], {"title": 5.0, "text": 1.0}, terms, many=True)
+    found = found.groupBy(F.col("qid.quote_id").alias("qid"), "book_id").agg(F.max("score").alias("score"))
+    best = search.top(found, ["book_id"], verify.CANDIDATES).select(F.col("qid").alias("quote_id"), F.col("book_id").alias("key"))
+    pairs = best.join(quotes, "quote_id").join(docs.select(F.col("book_id").alias("key"), "text"), "key")
+    return verify.compared(pairs, "text", "quote").filter("verdict <> 'not_found'")
 
 
 @add("v05_similarity")
