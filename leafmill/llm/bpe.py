@@ -4,7 +4,8 @@ Pre-tokenisation: every code point has a class; with a look at its neighbours it
 symbols, each a transition function on eight states. Composition of functions is associative, so a
 scan over the table of all compositions gives the state before every character, and from it the
 boundaries of the pieces. Pieces are merged once per distinct piece; the ids of a batch are gathered
-from that cache. Each piece's byte offset is kept, and decoding returns the bytes of the ids.
+from that cache. The bytes of the ids are compared with the text, piece by piece, so a hash that two pieces
+share changes no result. Each piece's byte offset is kept, and decoding returns the bytes of the ids.
 
 Cases: a null text is an empty text with no tokens; a null doc_id is passed through; repeated rows
 are encoded alike; other columns are ignored, or carried by ``with_ids``; texts of any length are
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from leafmill.llm.columns import TABLES, U64, mixed, pieces, prefix, ragged, sliced
+from leafmill.llm.columns import U64, pieces, ragged, slices
 
 #: Character classes.
 LETTER, NUMBER, OTHER, SPACE = range(4)
@@ -243,9 +244,7 @@ class Ranks:
         stop = np.append(lead[first[1:]], len(data))
         start, whole = lead[first], ends[np.minimum(text, len(texts) - 1)] != first
         start, stop, text = start[whole], stop[whole], text[whole]
-        h = sliced(prefix(TABLES[0][data]), start, stop)
-        with np.errstate(over="ignore"):
-            h = mixed(h + (stop - start).astype(U64))
+        h = slices(data, start, stop)
         kinds, where, inverse = np.unique(h, return_index=True, return_inverse=True)
         i = np.searchsorted(self.seen, kinds)
         new = np.ones(len(kinds), bool)
@@ -264,25 +263,31 @@ class Ranks:
         found = np.searchsorted(self.seen, kinds)[inverse]
         n = self.count[found]
         out = self.ids[ragged(self.at[found], n)]
+        if not self.spells(out, n, data, start, stop):
+            # hashes of two pieces fell together: these texts are encoded by the bytes themselves, and the cache starts anew
+            self.clear()
+            out, n = self.by_bytes(data.tobytes(), start, stop)
         return out, np.bincount(text, weights=n, minlength=len(texts)).astype(np.int64)[: len(texts)], np.repeat(start, n), np.repeat(text, n)
 
+    def spells(self, ids: np.ndarray, count: np.ndarray, data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> bool:
+        """Whether the ids of each piece decode to just its bytes."""
+        raw, sizes = self.decode(ids)
+        ends = np.append(0, np.cumsum(sizes))[np.append(0, np.cumsum(count))]
+        return np.array_equal(np.diff(ends), stop - start) and np.array_equal(raw, data[ragged(start, stop - start)])
+
+    def by_bytes(self, raw: bytes, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces and their numbers, equal pieces found by their bytes."""
+        number: dict[bytes, int] = {}
+        which = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(start.tolist(), stop.tolist(), strict=True)], np.int64)
+        ids, count = self.merge(list(number))
+        at = np.cumsum(count) - count
+        return ids[ragged(at[which], count[which])], count[which]
+
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the ids, and each id's number of them."""
         sizes = self.sizes[ids]
         return self.bytes[ragged(self.offsets[ids], sizes)], sizes
 
-    def checked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, number in each text, decoded bytes): texts that do not decode to themselves (a hash of the cache fell together) are encoded anew with an empty cache."""
-        ids, count, _, _ = self.encode(texts)
-        data, _ = self.decode(ids)
-        if data.tobytes() != "".join(texts).encode():
-            self.clear()
-            ids, count, _, _ = self.encode(texts)
-            data, _ = self.decode(ids)
-            if data.tobytes() != "".join(texts).encode():
-                raise ValueError("ids do not decode to their texts")
-        return ids, count, data
-
 
 def rest_of(owner: np.ndarray) -> list[int]:
     """The distinct values of a sorted array."""
@@ -306,7 +311,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         words = ranks(path)
         for whole in batches:
             for batch in pieces(whole):
-                ids, count, data = words.checked(_texts(batch))
+                ids, count, _, _ = words.encode(_texts(batch))
+                data, _ = words.decode(ids)
                 ids = ids.astype("<u4")
                 stop = np.cumsum(count)
                 ends = np.append(0, np.cumsum(words.sizes[ids]))[stop]
@@ -317,9 +323,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def with_ids(docs: DataFrame, path: str, offsets: bool = False) -> DataFrame:
-    """``docs`` with ``ids`` (and, if asked for, the byte offset of each id's piece as ``offsets``) in place of columns of these names."""
-    names = [c for c in docs.columns if c not in ("ids", "offsets")]
+    """``docs`` with ``ids`` (and, if asked for, the byte offset of each id's piece as ``offsets``); a column that has the name of one of these is replaced."""
     more = ["ids", *["offsets"] * offsets]
+    names = [c for c in docs.columns if c not in more]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = ranks(path)

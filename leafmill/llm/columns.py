@@ -1,14 +1,23 @@
-"""Text columns as flat numpy arrays: word bounds, byte and window hashes, ragged gathers.
+"""Text columns as flat numpy arrays: word bounds, hashes of slices and of runs, ragged gathers.
 
 A batch of texts is one byte buffer with a line feed after each text, so that nothing crosses
-texts. Hashes are prefix polynomials modulo 2**64: with P the running sum of table[byte] * R**i,
-a slice [s, e) has the hash (P[e] - P[s]) * R**-s, wherever it stands.
+texts. Three hashes, by use:
+
+* ``slices``: of byte strings. Eight bytes at a time are mixed in by a bijection that is not linear
+  in any ring, so that patterns of the text (Thue-Morse words and the like) don't cancel; strings
+  over ``LONG`` bytes are hashed by BLAKE2b. Two seeds make two independent hashes.
+* ``windows``: of all runs of k numbers, put together from runs of 1, 2, 4, ... by the same mixing.
+* ``grams``: of all runs of k bytes, by rolling polynomials modulo 2**64. They only choose anchors;
+  no verdict follows from them.
+
+Prefix polynomials for comparisons are modulo the prime 2**61 - 1 (``Prefixes``): two strings of n
+bytes that differ agree with a chance of at most n / 2**61.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,28 +26,17 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Bytes of text worked on at a time; arrays of eight bytes each are made of them.
 PIECE_BYTES = 2_000_000
-_BASE = (0x9E3779B97F4A7C15 * 8 + 5, 0xD6E8FEB86659FD93 * 8 + 5)
-
-
-def _table(seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 2**64, 256, dtype=U64)
-
-
-TABLES = (_table(20240), _table(77177))
-_powers: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def powers(n: int, which: int = 0, inverse: bool = False) -> np.ndarray:
-    """The first n powers of the base of hash ``which`` (or of its inverse), kept for later calls."""
-    have = _powers.get((which, inverse))
-    if have is None or len(have) < n:
-        base = _BASE[which] % 2**64
-        base = pow(base, -1, 2**64) if inverse else base
-        step = np.full(max(n, 1 << 16), base, U64)
-        step[0] = 1
-        with np.errstate(over="ignore"):
-            have = _powers[which, inverse] = np.cumprod(step, dtype=U64)
-    return have[:n]
+#: Byte strings longer than this are hashed one by one.
+LONG = 64
+PRIME = U64(2**61 - 1)
+_SEEDS = (U64(0x8C62F8A3D0B7E915), U64(0x3D9A41C7E5F0286B))
+_ODD = U64(0xA24BAED4963EE407)
+_BASE = 0x9E3779B97F4A7C15 * 8 + 5
+#: Bases of the prefix polynomials modulo the prime, drawn at random once.
+_BASES = (1_487_243_918_223_907_411, 2_018_734_455_019_663_237)
+_BYTE = np.random.default_rng(20240).integers(0, 2**64, 256, dtype=U64)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
+_powers: dict[object, np.ndarray] = {}
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -49,28 +47,101 @@ def mixed(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> U64(32))
 
 
-def prefix(values: np.ndarray, which: int = 0) -> np.ndarray:
-    """Running polynomial sums of ``values``, one longer than they are."""
-    out = np.zeros(len(values) + 1, U64)
-    with np.errstate(over="ignore"):
-        np.cumsum(values * powers(len(values), which), out=out[1:])
-    return out
-
-
-def sliced(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-    """Hashes of the slices [start, end)."""
-    with np.errstate(over="ignore"):
-        return mixed((sums[ends] - sums[starts]) * powers(len(sums), which, True)[starts])
+def slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of the byte strings data[start:end]."""
+    size = ends - starts
+    lanes = np.ndarray((len(data) + 1,), "<u8", buffer=np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mixed(size.astype(U64) ^ _SEEDS[which])
+    live = np.flatnonzero(size <= LONG)
+    at, left, own = starts[live], size[live], h[live]
+    while len(live):
+        own = mixed(own ^ (lanes[at] & _MASK[np.minimum(left, 8)]))
+        more = left > 8
+        if not more.all():
+            h[live[~more]] = own[~more]
+            live, at, left, own = live[more], at[more], left[more], own[more]
+        at, left = at + 8, left - 8
+    for i in np.flatnonzero(size > LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        h[i] = U64(int.from_bytes(digest[8 * which : 8 * which + 8], "little"))
+    return h
 
 
 def windows(values: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     """Hashes of all runs of k values, in order."""
-    n = len(values) - k + 1
+    if len(values) < k:
+        return np.zeros(0, U64)
+
+    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mixed(a ^ (b * _ODD + _SEEDS[which]))
+
+    run, size, out, done = mixed(values ^ _SEEDS[which]), 1, None, 0
+    while True:
+        if k & size:
+            out = run if out is None else joined(out[: len(run) - done], run[done:])
+            done += size
+        if 2 * size > k:
+            return out[: len(values) - k + 1]
+        run = joined(run[: len(run) - size], run[size:])
+        size *= 2
+
+
+def grams(data: np.ndarray, k: int) -> np.ndarray:
+    """Rolling hashes of all runs of k bytes, modulo 2**64."""
+    n = len(data) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
-    sums = prefix(values, which)
+    if len(_powers.get("roll", ())) < len(data):
+        for name, base in (("roll", _BASE % 2**64), ("back", pow(_BASE % 2**64, -1, 2**64))):
+            step = np.full(max(len(data), 1 << 16), base, U64)
+            step[0] = 1
+            with np.errstate(over="ignore"):
+                _powers[name] = np.cumprod(step, dtype=U64)
     with np.errstate(over="ignore"):
-        return mixed((sums[k:] - sums[:-k]) * powers(n, which, True))
+        sums = np.append(U64(0), np.cumsum(_BYTE[data] * _powers["roll"][: len(data)]))
+        return mixed((sums[k:] - sums[:-k]) * _powers["back"][:n])
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, of numbers below it."""
+    low = U64(2**31 - 1)
+    ah, al, bh, bl = a >> U64(31), a & low, b >> U64(31), b & low
+    mid = ah * bl + al * bh
+    return reduced((ah * bh << U64(1)) + (mid >> U64(30)) + ((mid & U64(2**30 - 1)) << U64(31)) + al * bl)
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & PRIME) + (x >> U64(61))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def prime_powers(n: int, which: int, inverse: bool = False) -> np.ndarray:
+    """The first n powers of a base modulo the prime, kept for later calls."""
+    have = _powers.get((which, inverse))
+    if have is None or len(have) < n:
+        base, p = _BASES[which], int(PRIME)
+        base = pow(base, -1, p) if inverse else base
+        have = np.ones(1, U64)
+        while len(have) < max(n, 1 << 12):
+            have = np.append(have, times(have, U64(pow(base, len(have), p))))
+        _powers[which, inverse] = have
+    return have[:n]
+
+
+class Prefixes:
+    """Prefix polynomials of a row of numbers modulo the prime."""
+
+    def __init__(self, values: np.ndarray, which: int = 0):
+        n = len(values)
+        term = times(reduced(mixed(values.astype(U64) + U64(1))), prime_powers(n, which))
+        low, high = np.cumsum(term & U64(2**31 - 1)), np.cumsum(term >> U64(31))
+        self.sums = np.append(U64(0), reduced(low + reduced((high >> U64(30)) + ((high & U64(2**30 - 1)) << U64(31)))))
+        self.back = prime_powers(n + 1, which, True)
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hashes of the slices [a, b)."""
+        return times(reduced(self.sums[b] + PRIME - self.sums[a]), self.back[a])
 
 
 def class_table(pattern_chars: bytes) -> np.ndarray:
@@ -109,7 +180,11 @@ class Texts:
         self.w_text = np.repeat(np.arange(self.n), np.diff(self.w_first))
 
     def word_hash(self, which: int = 0) -> np.ndarray:
-        return sliced(prefix(TABLES[which][self.data], which), self.w_start, self.w_end, which)
+        return slices(self.data, self.w_start, self.w_end, which)
+
+    def word_numbers(self) -> np.ndarray:
+        """A number for each word: the same for equal words, told apart by their bytes."""
+        return numbered(self.data[ragged(self.w_start, self.w_end - self.w_start)], self.w_end - self.w_start)
 
     def whole(self, k: int) -> np.ndarray:
         """For each run of k words whether it lies in one text."""
@@ -117,6 +192,15 @@ class Texts:
         return self.w_text[k - 1 :] == self.w_text[:n] if n > 0 else np.zeros(0, bool)
 
 
+def numbered(data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A number for each of the byte strings that ``data`` is made of, the same for equal strings."""
+    if not len(sizes):
+        return np.zeros(0, np.int64)
+    cuts = np.append(0, np.cumsum(sizes)).astype("<i8")
+    words = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(data.tobytes())])
+    return words.dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 def pieces(batch: pa.RecordBatch | pa.Table, column: str = "text", most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch | pa.Table]:
     """The batch in slices of about ``most`` bytes of text (at least one row each)."""
     if not batch.num_rows:
@@ -144,8 +228,14 @@ def per_text(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
     return sums[first[1:]] - sums[first[:-1]]
 
 
-@cache
-def arrow_schema(ddl: str) -> pa.Schema:
-    """The Arrow schema of a DDL string of plain and array types, for batches made by hand."""
-    kinds = {"bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "double": pa.float64(), "array<int>": pa.list_(pa.int32()), "array<bigint>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
-    return pa.schema([(name, kinds[kind]) for name, kind in (field.strip().split(" ", 1) for field in ddl.split(","))])
+def same_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """For each i whether data[a:a + size] equals other[b:b + size], byte by byte; ``other``: the same data if not given."""
+    other = data if other is None else other
+    out = np.ones(len(a), bool)
+    part = np.cumsum(size) // PIECE_BYTES
+    for own in np.split(np.arange(len(a)), np.flatnonzero(np.diff(part)) + 1) if len(a) else ():
+        n = size[own]
+        differ = np.append(0, np.cumsum(data[ragged(a[own], n)] != other[ragged(b[own], n)]))
+        stop = np.cumsum(n)
+        out[own] = differ[stop] == differ[stop - n]
+    return out

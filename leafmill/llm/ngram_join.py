@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.llm import packed
-from leafmill.llm.columns import U64, Texts, mixed, pieces, prefix, ragged, sliced, windows
+from leafmill.llm.columns import U64, Texts, mixed, pieces, ragged, windows
 from leafmill.llm.components import components
 from leafmill.llm.packed import Chunked, bounds, by_bucket, groups, keyed, unpacked
 from leafmill.session import stored
@@ -60,8 +60,11 @@ def shingles(texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     who = [texts.w_text[: len(whole)][whole]]
     short = np.flatnonzero((n > 0) & (n < SHINGLE))
     if len(short):
-        a = texts.w_first[short]
-        own.append(mixed(sliced(prefix(h), a, a + n[short]) + n[short].astype(U64)))
+        a, size = texts.w_first[short], n[short]
+        whole_text = size.astype(U64)
+        for k in range(SHINGLE - 1):  # words in order, as far as a text has them
+            whole_text = np.where(k < size, mixed(whole_text ^ h[np.minimum(a + k, len(h) - 1)]), whole_text)
+        own.append(whole_text)
         who.append(short)
     h, who = np.concatenate(own), np.concatenate(who)
     order = np.lexsort((h, who))

@@ -14,13 +14,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructField
 
 from leafmill.llm.columns import U64
+from leafmill.session import stored
 
-#: Bytes of text in a chunk, about.
-CHUNK_BYTES = 2_000_000
+#: Bytes and rows of a chunk, about.
+CHUNK_BYTES, CHUNK_ROWS = 2_000_000, 50_000
 MOST_BUCKETS = 1 << 16
 LOW = U64((1 << 48) - 1)
 #: Bucket of what a chunk sent for itself.
@@ -30,17 +32,30 @@ ANSWER = "chunk int, bucket int, data binary"
 
 
 class Chunked:
-    """``docs`` dealt into chunks: ``rows`` has the columns as c0, c1, ..., then rh (a hash of the row) and chunk."""
+    """``docs`` dealt into chunks: ``rows`` has the columns as c0, c1, ..., then rh (a hash of the row) and chunk.
 
-    def __init__(self, docs: DataFrame, columns: list[str] | None = None, chunk_bytes: int = CHUNK_BYTES):
+    The number of chunks follows the bytes of all columns and the number of rows. A row's chunk follows from
+    its doc_id and text, so that any reading of the table gives the same. Only where the rows of one doc_id and
+    text are more than a chunk holds, the table is first written with a number for each row, which deals them out.
+    """
+
+    def __init__(self, docs: DataFrame, columns: list[str] | None = None, chunk_bytes: int | None = None, chunk_rows: int | None = None):
+        chunk_bytes, chunk_rows = chunk_bytes or CHUNK_BYTES, chunk_rows or CHUNK_ROWS
         self.columns = columns or docs.columns
         self.schema = docs.select(*[F.col(f"`{c}`") for c in self.columns]).schema
         spark = docs.sparkSession
-        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.bytes = size
-        self.n = max(-(-size // chunk_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
         rh = F.xxhash64("doc_id", "text")
-        self.rows = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(self.columns)], rh.alias("rh"), F.pmod(rh, F.lit(self.n)).cast("int").alias("chunk"))
+        row = sum((_bytes_of(f) for f in self.schema.fields), F.lit(0).cast("bigint"))
+        alike = docs.groupBy(rh.alias("rh")).agg(F.count("*").alias("n"), F.sum(row).alias("b"), F.sum(F.octet_length("text")).alias("t"))
+        size, rows, text, most, largest = alike.agg(F.sum("b"), F.sum("n"), F.sum("t"), F.max("n"), F.max(F.when(F.col("n") > 1, F.col("b")))).first()
+        self.bytes = text or 0
+        self.n = max(-(-(size or 0) // chunk_bytes), -(-(rows or 0) // chunk_rows), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        own = docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(self.columns)], rh.alias("rh"))
+        place = F.col("rh")
+        if (most or 0) > chunk_rows or (largest or 0) > chunk_bytes:
+            own = stored(own.withColumn("number", F.monotonically_increasing_id()), "dealt")
+            place = F.xxhash64("rh", "number")
+        self.rows = own.select(*[f"c{k}" for k in range(len(self.columns))], "rh", F.pmod(place, F.lit(self.n)).cast("int").alias("chunk"))
         self.text, self.id = self.columns.index("text"), self.columns.index("doc_id")
 
     def buckets(self, entries: float, each: int) -> int:
@@ -48,15 +63,23 @@ class Chunked:
         return int(min(MOST_BUCKETS, max(entries // each + 1, self.n // 8 + 1)))
 
 
+def _bytes_of(field: StructField) -> Column:
+    """Bytes of a column's value, about."""
+    c, kind = F.col(f"`{field.name}`"), field.dataType
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 8
+    return F.coalesce(F.size(c), F.lit(0)) * 16 + 8 if isinstance(kind, (ArrayType, MapType)) else F.lit(8)
+
+
 def ordered(t: pa.Table) -> pa.Table:
     """A chunk's rows in an order that any reading of it gives: by their hash."""
     return t.take(pa.array(np.argsort(t.column("rh").to_numpy(), kind="stable")))
 
 
-def keyed(h: np.ndarray, buckets: int, flag_bits: int = 0) -> np.ndarray:
-    """Keys of hashes, with room for flags in the lowest bits."""
+def keyed(h: np.ndarray, buckets: int, flag_bits: int = 0, width: int = 6) -> np.ndarray:
+    """Keys of hashes, ``width`` bytes beside the bucket, with room for flags in the lowest bits."""
     bucket = (h >> U64(48)) * U64(buckets) >> U64(16)
-    return bucket << U64(48) | (h << U64(flag_bits) & LOW)
+    return bucket << U64(48) | (h << U64(flag_bits) & U64((1 << 8 * width) - 1))
 
 
 def low_bytes(a: np.ndarray, width: int) -> np.ndarray:
@@ -67,9 +90,9 @@ def bounds(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.searchsorted(keys, np.arange(buckets, dtype=U64) << U64(48)).tolist() + [len(keys)]
 
 
-def questions(chunk: int, keys: np.ndarray, buckets: int, planes: list[tuple[np.ndarray, int]] = (), own: bytes | None = None) -> pa.Table:
+def questions(chunk: int, keys: np.ndarray, buckets: int, planes: list[tuple[np.ndarray, int]] = (), own: bytes | None = None, width: int = 6) -> pa.Table:
     """Rows for the buckets that sorted ``keys`` fall in; ``planes``: further arrays and their widths in bytes; ``own``: data that come back to the chunk as they are."""
-    flat = [(low_bytes(keys, 6), 6), *[(low_bytes(a, w), w) for a, w in planes]]
+    flat = [(low_bytes(keys, width), width), *[(low_bytes(a, w), w) for a, w in planes]]
     cuts = bounds(keys, buckets)
     rows = [(b, b"".join(a[i:j].tobytes() for a, _ in flat)) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
     return question_rows(chunk, rows, own, chunk % buckets)

@@ -1,18 +1,10 @@
 """Suffix-array dedup: bytes covered by a string of ``length`` bytes found twice are removed.
 
 Each window of ``length`` bytes is known by its minimizer, the k-gram of least hash in it, so equal
-windows share an anchor and meet in one bucket. Neighbouring windows of one anchor make a context.
-
-* An anchor found once has no repeated window. An anchor whose contexts are all equal has nothing
-  but repeated windows. Neither needs its text looked at again.
-* Contexts of the other anchors are brought together by anchor. The suffixes that start at the
-  anchors, and the reversed prefixes that end there, are sorted by a mergesort whose comparisons find
-  the common extension by binary search over prefix polynomial hashes. Windows are equal exactly if
-  their contexts extend in common far enough to the right and to the left, so the two suffix arrays
-  with their common extensions decide about every window. Extensions of neighbours are verified byte
-  by byte; after a collision the bucket is sorted by its bytes.
-* Anchors with more than ``CROWDED`` contexts are not brought together: their windows are counted by
-  128-bit hash instead, dealt out by that hash, each once a chunk.
+windows share an anchor. An anchor found once has no repeated window. The contexts of all others meet
+by anchor (``repeats``): the suffixes that start at the anchors, and the reversed prefixes that end
+there, are sorted by a mergesort that compares prefix polynomial hashes by binary search; common
+extensions are verified byte by byte, and decide about every window.
 
 Cases: null and empty texts have no bytes; a null doc_id is a document like others; repeated rows are
 repeats of each other; matches never cross documents; texts of any length are judged whole; an empty
@@ -27,31 +19,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from leafmill.llm import packed
-from leafmill.llm.columns import TABLES, U64, Texts, mixed, per_text, powers, prefix, ragged, sliced
-from leafmill.llm.packed import Chunked, bounds, by_bucket, groups, keyed, low_bytes, unpacked
+from leafmill.llm import packed, repeats
+from leafmill.llm.columns import U64, Texts, grams, mixed, per_text, ragged, slices
+from leafmill.llm.packed import Chunked, bounds, by_bucket, groups, keyed, unpacked
+from leafmill.llm.repeats import CROWDED, Contexts
 
 LENGTH = 200
 #: Bytes of an anchor, at most half of the length.
 GRAM = 64
-#: Contexts of an anchor, above which its windows are counted by hash.
-CROWDED = 4000
 BUCKET_ENTRIES = 100_000
-#: Bytes of contexts whose suffixes are sorted at once.
-PART_BYTES = 1_000_000
-#: States of an anchor.
-ALONE, COVERED, MIXED, HOT = range(4)
+#: States of an anchor: found once, or its contexts are compared, or its windows are counted.
+ALONE, MIXED, HOT = range(3)
 
 
-def contexts(texts: Texts, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, anchor) of each context as byte offsets, the anchor's hash, and the prefix sums of the bytes."""
+def contexts(texts: Texts, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, anchor) of each context as byte offsets, and the anchor's hash."""
     data, w = texts.data, length - gram + 1
     n = len(data) - gram + 1
-    sums = prefix(TABLES[0][data])
     if n < w:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64), sums)
-    with np.errstate(over="ignore"):
-        h = mixed((sums[gram:] - sums[:-gram]) * powers(n, 0, True))
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, U64),)
+    h = grams(data, gram)
     rows = -(-n // w)
     # the low bits hold the place in a block of w hashes, whatever the length of the data: the leftmost of equals
     bits = U64(max(1, (w - 1).bit_length()))
@@ -78,7 +65,7 @@ def contexts(texts: Texts, length: int, gram: int) -> tuple[np.ndarray, np.ndarr
     end[:-1] &= (least[1:] != least[:-1]) | ~ok[1:]
     lo, hi = np.flatnonzero(new), np.flatnonzero(end)
     a = least[lo]
-    return lo, hi, a, mixed(h[a]), sums  # mixed anew: the least hashes crowd the low end
+    return lo, hi, a, mixed(h[a])  # mixed anew: the least hashes crowd the low end
 
 
 class Anchors:
@@ -86,175 +73,27 @@ class Anchors:
 
     def __init__(self, t: pa.Table, text: int, length: int, gram: int, buckets: int):
         self.texts = Texts(t.column(f"c{text}"))
-        self.lo, self.hi, self.at, self.hash, self.sums = contexts(self.texts, length, gram)
-        with np.errstate(over="ignore"):
-            where = ((self.at - self.lo) << 16 | (self.hi - self.lo)).astype(U64)
-            self.kind = mixed(sliced(self.sums, self.lo, self.hi + length) + where * U64(0x9E3779B97F4A7C15))
-        keys = keyed(self.hash, buckets)
-        self.order, self.first, self.group = groups(keys, self.kind)  # equal contexts stand together
-        head = self.order[self.first]
-        key_of = keys[head]
-        new = np.ones(len(head), bool)
-        new[1:] = key_of[1:] != key_of[:-1]
-        self.anchor_first = np.flatnonzero(new)
-        self.anchor = np.cumsum(new) - 1  # of each distinct context
-        self.keys = key_of[self.anchor_first]
-        self.head = head
-        self.kinds = np.diff(np.append(self.anchor_first, len(head)))
-        self.times = np.diff(np.append(self.first, len(keys)))
-        total = np.add.reduceat(self.times, self.anchor_first) if len(head) else self.kinds
-        # a fingerprint of the first context, whether there are more of it, and how many different ones
-        self.print = self.kind[head][self.anchor_first] >> U64(16) & ~U64(1) | (total > 1).astype(U64)
-        self.n = np.minimum(self.kinds, 65535).astype(U64)
+        self.lo, self.hi, self.at, self.hash = contexts(self.texts, length, gram)
+        order, first, self.group = groups(keyed(self.hash, buckets))
+        self.keys = keyed(self.hash[order[first]], buckets)
+        self.n = np.minimum(np.diff(np.append(first, len(order))), 65535).astype(U64)
 
     def states(self, told: pa.Table, buckets: int) -> np.ndarray:
         cuts = bounds(self.keys, buckets)
         data = dict(zip(*by_bucket(told), strict=True))
         parts = [np.frombuffer(data[b], np.uint8) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
-        return np.concatenate(parts) if parts else np.zeros(0, np.uint8)
+        return (np.concatenate(parts) if parts else np.zeros(0, np.uint8))[self.group]
 
 
 def _states(bucket: int, chunks: list[int], blobs: list[bytes], crowded: int) -> pa.Table:
-    sizes, (keys, seen, n) = unpacked(blobs, [6, 6, 2])
+    sizes, (keys, n) = unpacked(blobs, [6, 2])
     order, first, group = groups(keys)
-    s = seen[order] >> U64(1)
-    differ = np.zeros(len(s), bool)
-    differ[1:] = s[1:] != s[:-1]
-    differ[first] = False
-    kinds = np.add.reduceat(n[order].astype(np.int64), first)
-    entries = np.diff(np.append(first, len(s)))
-    mixed_kinds = np.bitwise_or.reduceat(differ, first) | (np.maximum.reduceat(n[order], first) > 1)
-    more = (entries > 1) | (np.bitwise_or.reduceat(seen[order], first) & U64(1)).astype(bool)
-    state = np.where(~more, ALONE, np.where(~mixed_kinds, COVERED, np.where(kinds > crowded, HOT, MIXED))).astype(np.uint8)[group]
+    total = np.add.reduceat(n[order].astype(np.int64), first)
+    state = np.where(total < 2, ALONE, np.where(total > crowded, HOT, MIXED)).astype(np.uint8)[group]
     cuts = np.cumsum(sizes)
     return packed.answers(chunks, [bucket] * len(chunks), [state[b - k : b].tobytes() for b, k in zip(cuts.tolist(), sizes.tolist(), strict=True)])
 
 
-class Suffixes:
-    """Suffixes of a byte string, compared by hashes of their prefixes."""
-
-    def __init__(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
-        self.data, self.starts, self.sizes = data, starts, sizes
-        self.sums, self.inverse = prefix(TABLES[1][data], 1), powers(len(data) + 1, 1, True)
-
-    def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Length of the common prefix of suffixes i and j, by binary search."""
-        a, b = self.starts[i], self.starts[j]
-        low, high = np.zeros(len(i), np.int64), np.minimum(self.sizes[i], self.sizes[j])
-        sa, sb, ra, rb = self.sums[a], self.sums[b], self.inverse[a], self.inverse[b]
-        with np.errstate(over="ignore"):
-            while (low < high).any():
-                mid = (low + high + 1) >> 1
-                same = (self.sums[a + mid] - sa) * ra == (self.sums[b + mid] - sb) * rb
-                low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
-        return low
-
-    def less(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Whether suffix i comes before suffix j; the shorter of two that agree is first."""
-        k = self.common(i, j)
-        done = k == np.minimum(self.sizes[i], self.sizes[j])
-        last = len(self.data) - 1
-        x, y = self.data[np.minimum(self.starts[i] + k, last)], self.data[np.minimum(self.starts[j] + k, last)]
-        return np.where(done, self.sizes[i] < self.sizes[j], x < y)
-
-    def sorted(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Suffixes in the order of their groups (sorted numbers) and inside a group by mergesort; and the common extension with the one before, -1 at the head of a group."""
-        n = len(group)
-        order = np.arange(n)
-        head = np.flatnonzero(np.diff(group, prepend=-1))
-        size = np.diff(np.append(head, n))
-        begin, most = np.repeat(head, size), int(size.max(initial=0))
-        end, place = begin + np.repeat(size, size), np.arange(n) - begin
-        width = 1
-        while width < most:
-            run = place // width
-            other = begin + (run ^ 1) * width  # the run that this one is merged with
-            stop = np.minimum(other + width, end)
-            live = np.flatnonzero(other < end)
-            low, high = other[live], stop[live].copy()
-            me, right = order[live], (run[live] & 1).astype(bool)
-            while True:
-                open_ = np.flatnonzero(low < high)
-                if not len(open_):
-                    break
-                mid = (low[open_] + high[open_]) >> 1
-                it, mine, after = order[mid], me[open_], right[open_]
-                # equal suffixes: those of the left run first
-                before = np.where(after, ~self.less(mine, it), self.less(it, mine))
-                low[open_] = np.where(before, mid + 1, low[open_])
-                high[open_] = np.where(before, high[open_], mid)
-            to = np.arange(n)
-            pair = begin[live] + (run[live] & ~1) * width
-            to[live] = pair + (place[live] - run[live] * width) + (low - other[live])
-            new = np.empty(n, np.int64)
-            new[to] = order
-            order, width = new, width * 2
-        near = np.full(n, -1, np.int64)
-        inner = np.flatnonzero(place > 0)
-        if len(inner):
-            near[inner] = self.common(order[inner - 1], order[inner])
-            if not self.verified(order[inner - 1], order[inner], near[inner]):
-                return self.by_bytes(group)
-        return order, near
-
-    def verified(self, i: np.ndarray, j: np.ndarray, k: np.ndarray) -> bool:
-        """Whether extensions found by hash are so byte by byte, and end where they should."""
-        for at in range(0, len(i), 20_000):
-            a, b, c = i[at : at + 20_000], j[at : at + 20_000], k[at : at + 20_000]
-            if not np.array_equal(self.data[ragged(self.starts[a], c)], self.data[ragged(self.starts[b], c)]):
-                return False
-        return True
-
-    def by_bytes(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same by the bytes themselves, after a collision of hashes."""
-        parts = [self.data[s : s + k].tobytes() for s, k in zip(self.starts.tolist(), self.sizes.tolist(), strict=True)]
-        order = sorted(range(len(parts)), key=lambda x: (group[x], parts[x]))
-        near = [-1] * len(order)
-        for p in range(1, len(order)):
-            if group[order[p]] == group[order[p - 1]]:
-                x, y = parts[order[p - 1]], parts[order[p]]
-                near[p] = next((k for k, (u, v) in enumerate(zip(x, y, strict=False)) if u != v), min(len(x), len(y)))
-        return np.array(order, np.int64), np.array(near, np.int64)
-
-
-def repeated_windows(hashes: np.ndarray, before: np.ndarray, span: np.ndarray, more: np.ndarray, data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """covered[context, k]: whether the k-th window of a context stands elsewhere too.
-
-    ``before``: bytes of a context before its anchor; ``span``: its windows less one; ``more``: whether there are several such contexts.
-    """
-    n = len(hashes)
-    _, first, group = groups(hashes)
-    by = np.argsort(group, kind="stable")
-    hashes, before, span, more, starts, group = hashes[by], before[by], span[by], more[by], starts[by], group[by]
-    right = Suffixes(data, starts + before, length + span - before)
-    order, near = right.sorted(group)
-    del right
-    flipped = Suffixes(data[::-1].copy(), len(data) - (starts + before), before)
-    order_left, near_left = flipped.sorted(group)
-    del flipped
-    covered = np.zeros((n, int(span.max(initial=0)) + 1), bool)
-    covered[more] = np.arange(covered.shape[1]) <= span[more, None]
-    rank_right, rank_left = np.empty(n, np.int64), np.empty(n, np.int64)
-    for x in range(int(before.max(initial=0)) + 1):  # windows that start x bytes before the anchor
-        at = np.flatnonzero((before >= x) & (before - span <= x))
-        if len(at) < 2:
-            continue
-        rank_right[order] = np.cumsum(near < length - x)
-        rank_left[order_left] = np.cumsum(near_left < x)
-        same = rank_right[at] * (n + 1) + rank_left[at]
-        o = np.argsort(same, kind="stable")
-        s = same[o]
-        eq = s[1:] == s[:-1]
-        twice = np.zeros(len(o), bool)
-        twice[1:] |= eq
-        twice[:-1] |= eq
-        hit = at[o[twice]]
-        covered[hit, before[hit] - x] = True
-    out = np.empty_like(covered)
-    out[by] = covered
-    return out
-
-
 def removed_bytes(chunked: Chunked, length: int, gram: int, crowded: int, out, schema: str) -> DataFrame:
     """out(table, texts, removed bytes) for each chunk of documents."""
     text, most = chunked.text, length - gram
@@ -263,133 +102,40 @@ def removed_bytes(chunked: Chunked, length: int, gram: int, crowded: int, out, s
 
     def anchors(chunk: int, t: pa.Table) -> pa.Table:
         a = Anchors(t, text, length, gram, n)
-        return packed.questions(chunk, a.keys, n, [(a.print, 6), (a.n, 2)])
+        return packed.questions(chunk, a.keys, n, [(a.n, 2)])
 
     def compare(chunk: int, t: pa.Table, told: pa.Table) -> pa.Table:
         a = Anchors(t, text, length, gram, n)
-        state = a.states(told, n)[a.anchor]  # of each distinct context
-        each = state[a.group]  # of each context
-        whole = np.flatnonzero(each == COVERED)
-        rows, own = [], [np.stack([a.lo[whole], a.hi[whole] + length]).astype("<i4")]
-        # contexts to compare, once each, in the order of their buckets
-        pick = np.flatnonzero(state == MIXED)
-        head = a.head[pick]
-        cuts = np.searchsorted(a.keys[a.anchor[pick]] >> U64(48), np.arange(n + 1, dtype=U64)).tolist()
-        before, span = a.at[head] - a.lo[head], a.hi[head] - a.lo[head]
-        size = span + length
-        stop = np.append(0, np.cumsum(size))
-        body = a.texts.data[ragged(a.lo[head], size)]
-        planes = [(low_bytes(a.hash[head], 8)), low_bytes(before.astype(U64), 2), low_bytes(span.astype(U64), 2), low_bytes((a.times[pick] > 1).astype(U64), 1)]
-        for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            if j > i:
-                rows.append((n + b, np.array([j - i], "<u4").tobytes() + b"".join(p[i:j].tobytes() for p in planes) + body[stop[i] : stop[j]].tobytes()))
-        number = np.full(len(state), -1, np.int64)
-        number[pick] = np.arange(len(pick))
-        inst = np.flatnonzero(each == MIXED)
-        own.append(np.stack([number[a.group[inst]], a.lo[inst], span_of(a, inst)]).astype("<i4"))
-        # windows of crowded anchors, by hash
-        crowd = np.flatnonzero(each == HOT)
-        w = ragged(a.lo[crowd], a.hi[crowd] - a.lo[crowd] + 1)
-        keys, second = _window_keys(a, w, length, n)
-        order, first, group = groups(keys, second)
-        times = np.diff(np.append(first, len(keys)))
-        h = order[first]
-        cuts = bounds(keys[h], n)
-        k_, s_ = low_bytes(keys[h], 6), low_bytes(second[h] | (times > 1).astype(U64), 8)
-        rows += [(2 * n + b, k_[i:j].tobytes() + s_[i:j].tobytes()) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]
-        own += [np.stack([group, w]).astype("<i4"), np.array(cuts, "<i4")]
-        back = b"".join(np.array([x.size], "<u4").tobytes() + x.tobytes() for x in own)
-        return packed.question_rows(chunk, rows, back, n + chunk % n)
+        state = a.states(told, n)
+        at = np.flatnonzero(state != ALONE)
+        lo, hi, where, data = a.lo[at], a.hi[at], a.at[at], a.texts.data
+        place = ((where - lo) << 16 | (hi - lo)).astype(U64)
+        c = Contexts(lo, hi, where, a.hash[at], state[at] == HOT, mixed(slices_of(data, lo, hi + length) ^ mixed(place)))
+        return repeats.send(chunk, n, data, length, c, lambda start, size: (data[ragged(start, size)].tobytes(), np.cumsum(size)))
 
-    def compared(bucket: int, chunks: list[int], blobs: list[bytes]) -> pa.Table:
-        if bucket >= 2 * n:
-            sizes, (keys, second) = unpacked(blobs, [6, 8])
-            _, first, group = groups(keys, second >> U64(1))
-            twice = np.diff(np.append(first, len(keys))) > 1
-            twice[group[(second & U64(1)).astype(bool)]] = True
-            return packed.answers(chunks, [bucket] * len(chunks), packed.bits(sizes, twice[group]))
-        counts = [int.from_bytes(b[:4], "little") for b in blobs]
-        hashes, before, span, more = (np.concatenate(x) for x in zip(*(_planes(b, k) for b, k in zip(blobs, counts, strict=True)), strict=True))
-        data = np.frombuffer(b"".join([*(b[4 + 13 * k :] for b, k in zip(blobs, counts, strict=True)), b"\0"]), np.uint8)
-        size = span + length
-        start, more = np.cumsum(size) - size, more.astype(bool)
-        rows = np.zeros((len(hashes), (most + 8) // 8), np.uint8)
-        for part in whole_anchors(hashes, size):
-            body = data[ragged(start[part], size[part])]
-            covered = repeated_windows(hashes[part], before[part], span[part], more[part], body, np.cumsum(size[part]) - size[part], length)
-            full = np.zeros((len(part), most + 1), bool)
-            full[:, : covered.shape[1]] = covered
-            rows[part] = np.packbits(full, axis=1)
-        stop = np.cumsum(counts).tolist()
-        return packed.answers(chunks, [bucket] * len(chunks), [rows[b - k : b].tobytes() for b, k in zip(stop, counts, strict=True)])
+    def answer(bucket: int, chunks: list[int], blobs: list[bytes]) -> pa.Table:
+        return repeats.compared(bucket, chunks, blobs, n, length, most, lambda raw: np.frombuffer(raw, np.uint8))
 
     def remove(_: int, t: pa.Table, told: pa.Table) -> pa.Table:
         texts = Texts(t.column(f"c{text}"))
-        buckets, data = by_bucket(told)
-        own, at = [], 0
-        raw = data[buckets.index(packed.OWN)]
-        while at < len(raw):
-            k = int.from_bytes(raw[at : at + 4], "little")
-            own.append(np.frombuffer(raw, "<i4", k, at + 4).astype(np.int64))
-            at += 4 + 4 * k
-        edge = np.zeros(len(texts.data) + 1, np.int32)
-        start, stop = own[0].reshape(2, -1)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, stop, -1)
-        number, lo, span = own[1].reshape(3, -1)
-        wide = (most + 8) // 8
-        bits = [np.frombuffer(d, np.uint8) for b, d in zip(buckets, data, strict=True) if n <= b < 2 * n]
-        if len(number):
-            hit = np.unpackbits(np.concatenate(bits).reshape(-1, wide), axis=1).astype(bool)[number]
-            who, k = np.nonzero(hit)
-            _mark(edge, lo[who] + k, length)
-        group, w = own[2].reshape(2, -1)
-        if len(w):
-            cuts = own[3].tolist()
-            by = dict(zip(buckets, data, strict=True))
-            flags = np.concatenate([np.unpackbits(np.frombuffer(by[2 * n + b], np.uint8), count=j - i) for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i]).astype(bool)
-            _mark(edge, w[flags[group]], length)
-        return out(t, texts, np.cumsum(edge[:-1]) > 0)
+        return out(t, texts, repeats.repeated(told, n, length, most, len(texts.data)))
 
     def states(bucket: int, chunks: list[int], blobs: list[bytes]) -> pa.Table:
         return _states(bucket, chunks, blobs, crowded)
 
     asked = packed.ask(chunked.rows, anchors)
     second = packed.tell(chunked.rows, packed.answer(asked, states), compare, packed.QUESTION)
-    return packed.tell(chunked.rows, packed.answer(second, compared), remove, schema)
-
-
-def whole_anchors(hashes: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
-    """The contexts in parts of about ``PART_BYTES`` that hold all contexts of their anchors."""
-    order = np.argsort(hashes, kind="stable")
-    head = np.flatnonzero(np.append(True, hashes[order[1:]] != hashes[order[:-1]]))
-    part = (np.cumsum(size[order]) // PART_BYTES)[head]
-    return np.split(order, head[np.flatnonzero(np.diff(part)) + 1])
-
-
-def span_of(a: Anchors, which: np.ndarray) -> np.ndarray:
-    return a.hi[which] - a.lo[which]
-
-
-def _mark(edge: np.ndarray, windows: np.ndarray, length: int) -> None:
-    np.add.at(edge, windows, 1)
-    np.add.at(edge, windows + length, -1)
-
-
-def _planes(blob: bytes, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return (
-        np.frombuffer(blob, "<u8", k, 4),
-        np.frombuffer(blob, "<u2", k, 4 + 8 * k).astype(np.int64),
-        np.frombuffer(blob, "<u2", k, 4 + 10 * k).astype(np.int64),
-        np.frombuffer(blob, np.uint8, k, 4 + 12 * k),
-    )
+    return packed.tell(chunked.rows, packed.answer(second, answer), remove, schema)
 
 
-def _window_keys(a: Anchors, w: np.ndarray, length: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    if not len(w):
-        return np.zeros(0, U64), np.zeros(0, U64)
-    two = sliced(prefix(TABLES[1][a.texts.data], 1), w, w + length, 1)
-    return keyed(sliced(a.sums, w, w + length), buckets), two & ~U64(1)
+def slices_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of byte strings of some hundred bytes, 64 at a time."""
+    size = ends - starts
+    h = size.astype(U64)
+    for k in range(0, int(size.max(initial=0)), 64):
+        a = np.minimum(starts + k, ends)
+        h = mixed(h ^ slices(data, a, np.minimum(a + 64, ends)))
+    return h
 
 
 def digests(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crowded: int = CROWDED) -> DataFrame:

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 sys.path.insert(0, str(Path(__file__).parent))
 import helpers as H
 
-from leafmill.llm import bpe, components, decontam, html, license, lm, ngram_join, quality, substring, suffix, warc
+from leafmill.llm import bpe, components, decontam, html, license, lm, ngram_join, packed, quality, repeats, substring, suffix, warc
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 rng = random.Random(4)
@@ -148,10 +148,10 @@ def test_suffix_collision():
     data = np.frombuffer(b"".join(parts) + b"\0", np.uint8)
     sizes = np.array([len(p) for p in parts])
     group = np.array([0, 0, 0, 1, 1, 1])
-    s = suffix.Suffixes(data, np.cumsum(sizes) - sizes, sizes)
+    s = repeats.Suffixes(data, np.cumsum(sizes) - sizes, sizes)
     order, near = s.sorted(group)
     assert [parts[k] for k in order] == [b"banana", b"bananas", b"band", b"", b"an", b"banana"] and near.tolist() == [-1, 6, 3, -1, 0, 0]
-    s.sums = np.zeros_like(s.sums)  # every hash is like every other
+    s.prefixes.sums = np.zeros_like(s.prefixes.sums)  # every hash is like every other
     order, near = s.sorted(group)
     assert [parts[k] for k in order] == [b"banana", b"bananas", b"band", b"", b"an", b"banana"] and near.tolist() == [-1, 6, 3, -1, 0, 0]
 
@@ -165,7 +165,7 @@ def test_suffix_far():
     one, two = (1 << 24) + 1000, (1 << 24) + 4001
     data[two : two + 300] = data[one : one + 300]
     texts = suffix.Texts(pa.array([data.tobytes().decode()]))
-    lo, hi, at, h, _ = suffix.contexts(texts, suffix.LENGTH, suffix.GRAM)
+    lo, hi, at, h = suffix.contexts(texts, suffix.LENGTH, suffix.GRAM)
     assert ((lo <= hi) & (hi <= at) & (at + suffix.GRAM <= lo + suffix.LENGTH)).all()
     for k in range(101):
         i, j = np.searchsorted(lo, [one + k, two + k], "right") - 1
@@ -245,10 +245,81 @@ def test_automaton(items, texts):
     auto = decontam.Automaton(named, 3)
     t = decontam.Texts(pa.array([x for _, x in rows], pa.string()), lower=True)
     t.words(decontam.WORD)
-    hit, found = np.zeros(len(t.w_text), bool), [set() for _ in rows]
-    auto.hits(t, t.word_hash(), hit, found)
-    for k, want in enumerate(H.decontam(rows, named, 3)):
-        assert int(hit[t.w_first[k] : t.w_first[k + 1]].sum()) == want[2] and len(found[k]) == want[3]
+    for strip in (1, 2, 64):
+        decontam.STRIP = strip
+        hit = np.zeros(len(t.w_text), bool)
+        pairs = set(zip(*(x.tolist() for x in auto.hits(t, t.word_hash(), hit)), strict=True))
+        for k, want in enumerate(H.decontam(rows, named, 3)):
+            assert int(hit[t.w_first[k] : t.w_first[k + 1]].sum()) == want[2] and sum(x == k for x, _ in pairs) == want[3]
+
+
+def thue_morse(a: str, b: str, n: int = 1024) -> tuple[str, str]:
+    """Two strings that rolling polynomials modulo powers of two can't tell apart."""
+    one, two = a, b
+    while len(one) < n:
+        one, two = one + two, two + one
+    return one, two
+
+
+def test_hashes_of_patterns(spark):
+    """Words that polynomials modulo 2**64 confuse are told apart by every operator that hashes."""
+    x, y = thue_morse("a", "b")
+    same = unique(40).split()
+    one, two = " ".join([*same[:20], x, *same[20:]]), " ".join([*same[:20], y, *same[20:]])
+    rows = [(1, one), (2, two), (3, x), (4, y), (5, f"{x} {y} {x}"), (6, " ".join(thue_morse("p ", "q ", 200)[0].split())), (7, " ".join(thue_morse("p ", "q ", 200)[1].split()))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert got(substring.digests(df), "doc_id", "n_words", "n_removed", "kept_sha256") == H.ordered(H.substring(rows))
+    assert got(suffix.digests(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == H.ordered(H.suffix(rows))
+    assert got(ngram_join.groups_of(df), "doc_id", "n_shingles", "component_id") == H.ordered(H.groups(rows))
+    items = [(1, x), (2, " ".join([*same[15:20], y, *same[20:24]]))]
+    want = H.ordered(H.decontam(rows, items))
+    assert got(decontam.contaminated(df, spark.createDataFrame(items, "item_id bigint, text string")), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(RANKS).rank, special_tokens={})
+    assert {r.doc_id: r.ids for r in bpe.with_ids(df, RANKS).collect()} == {d: enc.encode_ordinary(t) for d, t in rows}
+
+
+def test_bpe_collision(monkeypatch):
+    """Pieces whose hashes are all equal are encoded by their bytes."""
+    import numpy as np
+
+    monkeypatch.setattr(bpe, "slices", lambda data, a, b: np.full(len(a), 7, np.uint64))
+    ranks = bpe.Ranks(RANKS)
+    texts = ["one two three", "two one", "", "漢字 zwei"]
+    ids, count, _, _ = ranks.encode(texts)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks.rank, special_tokens={})
+    assert ids.tolist() == [i for t in texts for i in enc.encode_ordinary(t)] and count.tolist() == [len(enc.encode_ordinary(t)) for t in texts]
+
+
+def test_word_collision(monkeypatch):
+    """Benchmark words whose hashes are all equal are told apart by their bytes."""
+    import numpy as np
+    import pyarrow as pa
+    from leafmill.llm import columns
+
+    monkeypatch.setattr(columns, "slices", lambda data, a, b, which=0: np.full(len(a), 7, np.uint64))
+    named, rows = [("a", "one two three four"), ("b", "x y")], [(1, "zero one two three x y"), (2, "two one three four two three four"), (3, "x x")]
+    auto = decontam.Automaton(named, 3)
+    t = decontam.Texts(pa.array([x for _, x in rows]), lower=True)
+    t.words(decontam.WORD)
+    hit = np.zeros(len(t.w_text), bool)
+    auto.hits(t, t.word_hash(), hit)
+    assert [int(hit[t.w_first[k] : t.w_first[k + 1]].sum()) for k in range(3)] == [w[2] for w in H.decontam(rows, named, 3)]
+
+
+def test_chunks_of_repeated_rows(spark):
+    """Rows that all repeat are dealt out over the chunks; so are rows without text."""
+    for rows in ([(1, "one two three")] * 3000, [(None, None)] * 3000, [(k, None) for k in range(3000)]):
+        df = spark.createDataFrame(rows, "doc_id bigint, text string")
+        chunked = packed.Chunked(df, chunk_rows=500)
+        sizes = [r["count"] for r in chunked.rows.groupBy("chunk").count().collect()]
+        assert chunked.n >= 6 and max(sizes) <= 900, sizes
+    df = spark.createDataFrame([(1, " ".join(BASE))] * 300, "doc_id bigint, text string")
+    packed.CHUNK_ROWS, most = 50, packed.CHUNK_ROWS
+    try:
+        assert {r.n_removed for r in substring.digests(df).collect()} == {len(BASE)} and suffix.digests(df).filter("n_removed = n_bytes").count() == 300
+        assert ngram_join.one_of_each(df).count() == 1 and ngram_join.groups_of(df).filter("component_id = 1").count() == 300
+    finally:
+        packed.CHUNK_ROWS = most
 
 
 def test_lm(docs, rows, none):
