@@ -7,14 +7,20 @@ from leafmill.llm import quality
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+def _quoted(x: str) -> str:
+    return x.replace("'", "''")
+
+
 _fails = " OR ".join(
     [
         f"menu >= {quality.MENU_LINKS}",
         f"menu > CAST({quality.MENU_SHARE} AS DOUBLE) * n",
         rf"len(regexp_extract_all(x, '[#*$%&|<>{{}}~^=\\]{{2,}}')) > CAST({quality.SYMBOL_SHARE} AS DOUBLE) * n",
         f"len(regexp_extract_all(x, '!{{2,}}')) > CAST({quality.SHOUT_SHARE} AS DOUBLE) * n",
-        f"regexp_matches(lower(x), '{'|'.join(quality.BOILERPLATE)}')",
+        f"(phrases > 0 AND phrases * {quality.PHRASE_WORDS} >= n)",
         r"NOT regexp_matches(x, '[\p{L}\p{N}]')",
+        f"regexp_matches(x, '{quality.TEASER}')",
+        f"(n < {quality.FRAGMENT_WORDS} AND NOT regexp_matches(x, '{_quoted(quality.CLOSED)}'))",
     ]
 )
 QUALITY = rf"""
@@ -25,7 +31,7 @@ c AS (SELECT r, i, g IS NOT NULL AND count(*) OVER (PARTITION BY r, g) > 1 AS tw
 m AS (SELECT r, twice OR coalesce(lag(twice, 1) OVER o, false) OR coalesce(lag(twice, 2) OVER o, false) AS marked FROM c WINDOW o AS (PARTITION BY r ORDER BY i)),
 n AS (SELECT r, count(*) FILTER (WHERE marked) AS n_repeat_words FROM m GROUP BY r),
 x AS (SELECT r, unnest(l) AS x FROM d),
-y AS (SELECT r, x, len(string_split_regex(trim(x), '[\x20\x09-\x0D]+')) AS n, len(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda t: regexp_matches(t, '^[|»›•·>/]+$'))) AS menu FROM x),
+y AS (SELECT r, x, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n, len(regexp_extract_all(lower(x), '{_quoted(quality.PHRASES)}')) AS phrases, len(list_filter(string_split_regex(x, '[\x20\x09-\x0D]+'), lambda t: regexp_matches(t, '^[|»›•·>/]+$'))) AS menu FROM x),
 z AS (SELECT r, count(*) AS n_good_lines, sum(length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))) AS good_chars FROM y WHERE NOT ({_fails}) GROUP BY r),
 b AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines,

@@ -17,15 +17,23 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 SYMBOLS = "[#*$%&|<>]"
-#: Phrases of page furniture; a line with one of them fails.
+#: Phrases of page furniture in English, French, German and Spanish, as whole words.
 BOILERPLATE = (
-    "javascript", "cookie", "lorem ipsum", "terms of use", "terms of service", "privacy policy", "all rights reserved",
-    "click here", "sign in", "log in", "sign up", "subscribe", "read more", "share this", "skip to content", "powered by",
+    "javascript", "cookies", "cookie policy", "lorem ipsum", "terms of (?:use|service)", "privacy policy", "all rights reserved", "click here", "subscribe now", "read more", "share this", "skip to content", "powered by",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "mentions légales", "lire la suite", "cliquez ici", "se connecter", "s'inscrire", "s'abonner", "partager cet article",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "impressum", "mehr lesen", "weiterlesen", "hier klicken", "jetzt anmelden", "newsletter abonnieren",
+    "todos los derechos reservados", "términos de uso", "política de privacidad", "aviso legal", "leer más", "haga clic aquí", "iniciar sesión", "suscríbete",
 )
+#: The phrases, and calls to log in or sign up where nothing but a few words can follow.
+PHRASES = r"(?:^|[^\p{L}\p{N}])(?:(?:" + "|".join(BOILERPLATE) + r")(?:[^\p{L}\p{N}]|\z)|(?:log|sign) (?:in|up)(?: (?:to|with|or|now|here))?(?:[^\p{L}\p{N}\x20]|\x20*\z))"
+#: A line fails with a phrase for every so many of its words.
+PHRASE_WORDS = 25
 #: A line fails at this many links of a menu trail such as ``a | b | c``, or where this share of its words are separators.
 MENU_LINKS, MENU_SHARE = 3, 0.2
 #: A line fails if this share of its words carries a symbol, or is shouted with two exclamation marks.
 SYMBOL_SHARE, SHOUT_SHARE = 0.3, 0.3
+#: A line fails as a teaser if it ends in dots, and as a fragment if it has fewer words than this and no closing punctuation.
+TEASER, CLOSED, FRAGMENT_WORDS = r"(?:\.{3}|…)[\x20\x09-\x0D]*\z", r"""[.!?:;,…»"”’'\x29\x5D}。！？、]+[\x20\x09-\x0D]*\z""", 3
 #: Documents whose failed lines hold more than this share of their word characters are rejected.
 LOST_SHARE = 0.3
 
@@ -46,24 +54,28 @@ def has_word(line: Column) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """The verdict on one line that has a word: navigation, boilerplate, symbol or punctuation rule."""
-    n_words = F.size(F.split(F.trim(line), rf"{SPACE}+"))
+    """The verdict on one line that has a word: navigation, boilerplate, symbol and punctuation rules."""
+    n_words = F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+"))
     menu = F.regexp_count(line, F.lit(r"(?:^|\s)[|»›•·>/]+(?=\s|$)"))
     symbols = F.regexp_count(line, F.lit(r"[#*$%&|<>{}~^=\\]{2,}"))
     shouts = F.regexp_count(line, F.lit(r"!{2,}"))
+    phrases = F.regexp_count(F.lower(line), F.lit(PHRASES))
     return (
         (menu >= MENU_LINKS)
         | (menu > MENU_SHARE * n_words)
         | (symbols > SYMBOL_SHARE * n_words)
         | (shouts > SHOUT_SHARE * n_words)
-        | F.lower(line).rlike("|".join(BOILERPLATE))
+        | (phrases * PHRASE_WORDS >= F.greatest(n_words, F.lit(1))) & (phrases > 0)
         | ~line.rlike(r"[\p{L}\p{N}]")
+        | line.rlike(TEASER)
+        | (n_words < FRAGMENT_WORDS) & ~line.rlike(CLOSED)
     )
 
 
 #: Number of words in 3-word windows found twice or more: windows are sorted as (hash, place) packed
 #: into one long, with as few bits for the place as the text needs; neighbours of equal hash count
-#: only if their words are equal too.
+#: only if their words are equal too. (A repeat is missed if the hash of a different window, of over 40 bits
+#: up to four million words, is the same and its place is between the two.)
 def _repeat_words() -> str:
     at = "CAST({0} & (shiftleft(1L, p) - 1) AS INT)"
 
