@@ -3,14 +3,14 @@
 Templates are reduced to words; the hashes of their k-word runs are winnowed (the least of each window
 of them is kept), so that any shared run of ``GRAM + WINDOW - 1`` words shares a fingerprint. An
 inverted index leads from fingerprints to (template, place). Each run of words of a text is looked up;
-hits of one template on nearby diagonals make a candidate, which is aligned word by word inside a band
-around them, and again on both sides of each match. A match is reported if it covers enough of its
+the words around each hit are aligned with its template inside a band of diagonals, then those on both
+sides of what was found, until no hit is left: each occurrence is reported. A match counts if it covers enough of its
 template; of matches that overlap the one with more matching words stays.
 
 The templates are a parameter of bounded size and go to the workers with the code.
 
 Cases: null and empty texts have no match and so no row; a null doc_id is passed through; repeated
-rows are reported each; an empty table gives an empty result; other columns are ignored. Texts of any
+rows are reported each; an empty table, and no templates, give an empty result; other columns are ignored. Texts of any
 length are scanned whole.
 """
 
@@ -65,6 +65,25 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    ),
+    (
+        "LGPL-2.1-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    (
+        "AGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)"),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    ),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 
@@ -101,81 +120,78 @@ def index(templates: tuple[tuple[str, str], ...]) -> Templates:
     return Templates(templates)
 
 
+#: Fields of a cell: score, matching words, and how far before the end of the run it starts.
+_SCORE, _WORD, _START = 1 << 42, 1 << 22, (1 << 22) - 1
+
+
 def align(a: np.ndarray, b: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
     """Aligns template ``a`` with a run of words ``b``: (matching words, start, end) of the best local alignment.
 
-    Only cells with low <= j - i <= high are looked at. A matching word scores 2, a different or missing one -1.
+    Only cells with low <= j - i <= high are looked at, a row of them at a time. A matching word scores 2, a
+    different or missing one -1; of alignments of one score the one with more matching words, then the earliest.
     """
-    before: dict[int, tuple[int, int, int]] = {}  # column: (score, matching words, start)
-    best = (0, 0, 0, 0)
+    wide = high - low + 1
+    step = np.arange(wide) * _SCORE
+    row, best = np.zeros(wide + 1, np.int64), (0, 0)
     for i in range(len(a)):
-        row: dict[int, tuple[int, int, int]] = {}
-        for j in range(max(0, i + low), min(len(b) - 1, i + high) + 1):
-            s, n, at = before.get(j - 1, (0, 0, j))
-            if s <= 0:
-                s, n, at = 0, 0, j
-            cell = (s + 2, n + 1, at) if a[i] == b[j] else (s - 1, n, at)
-            for other in (before.get(j), row.get(j - 1)):
-                if other and other[0] - 1 > cell[0]:
-                    cell = (other[0] - 1, other[1], other[2])
-            if cell[0] > 0:
-                row[j] = cell
-                if cell[0] > best[0]:
-                    best = (cell[0], cell[1], cell[2], j + 1)
-        before = row
-    return best[1:]
+        j = np.arange(i + low, i + high + 1)
+        inside = (j >= 0) & (j < len(b))
+        fresh = _START - j
+        from_ = np.where(row[:-1] >= _SCORE, row[:-1], fresh)
+        same = inside & (b[np.clip(j, 0, len(b) - 1)] == a[i])
+        cell = np.maximum(np.where(same, from_ + 2 * _SCORE + _WORD, from_ - _SCORE), row[1:] - _SCORE)
+        cell = np.where(inside, cell, 0)
+        cell = np.maximum.accumulate(cell + step) - step  # words of the text that are left out
+        cell = np.where(inside & (cell >= _SCORE), cell, 0)
+        k = int(cell.argmax())
+        if cell[k] > best[0]:
+            best = (int(cell[k]), int(j[k]) + 1)
+        row[:-1] = cell
+    return (best[0] % _SCORE // _WORD, _START - best[0] % _WORD, best[1]) if best[0] else (0, 0, 0)
 
 
 def matches(words: np.ndarray, t: Templates, coverage: float) -> list[tuple[int, int, int, int]]:
-    """(template, matching words, start, end) in the words of one text."""
+    """(template, matching words, start, end) in the words of one text.
+
+    Each hit that no match of its template holds yet is aligned inside its band, with the words between the
+    matches on both sides; what is found there is taken out and the hit is tried again.
+    """
     h = windows(words, GRAM)
     first, last = np.searchsorted(t.hash, h, "left"), np.searchsorted(t.hash, h, "right")
     hits = sorted((int(t.template[k]), int(p), int(p - t.place[k])) for p in np.flatnonzero(last > first) for k in range(first[p], last[p]))
-    found = []
-    k = 0
-    while k < len(hits):
-        name, size = hits[k][0], len(t.words[hits[k][0]])
-        end = k + 1  # hits of a candidate follow each other within a template's length
-        while end < len(hits) and hits[end][0] == name and hits[end][1] - hits[end - 1][1] <= size + BAND:
-            end += 1
-        for low, high in _diagonals([d for _, _, d in hits[k:end]]):
-            a, b = max(0, low - BAND), min(len(words), high + size + BAND)
-            # an alignment spans less than three times its template, so one of the overlapping pieces holds it whole
-            parts = [(x, min(b, x + 6 * size + 2 * BAND)) for x in range(a, max(a + 1, b - 3 * size - 2 * BAND), 3 * size)]
-            while parts:
-                a, b = parts.pop()
-                if b - a < coverage * size:
-                    continue
-                n, start, stop = align(t.words[name], words[a:b], low - BAND - a, high + BAND - a)
-                if n and n >= coverage * size:
-                    found.append((name, n, a + start, a + stop))
-                    parts += [(a, a + start), (a + stop, b)]  # further occurrences on both sides
-        k = end
+    found: list[tuple[int, int, int, int]] = []
+    name, taken, failed = -1, [], set()
+    for own, at, diagonal in hits:
+        if own != name:
+            name, taken, failed = own, [], set()  # ``taken``: (start, end) in order
+        size = len(t.words[name])
+        while diagonal not in failed:
+            k = bisect_left(taken, at + 1, key=lambda x: x[0])
+            if k and taken[k - 1][1] > at:
+                break  # inside a match
+            a = max(0, diagonal - BAND, taken[k - 1][1] if k else 0)
+            b = min(len(words), diagonal + size + BAND, taken[k][0] if k < len(taken) else len(words))
+            n, start, stop = align(t.words[name], words[a:b], diagonal - BAND - a, diagonal + BAND - a) if b - a >= coverage * size else (0, 0, 0)
+            if not n or n < coverage * size:
+                failed.add(diagonal)
+                break
+            failed.clear()
+            taken.insert(k, (a + start, a + stop))
+            found.append((name, n, a + start, a + stop))
     out: list[tuple[int, int, int, int]] = []  # by start
-    for m in sorted(found, key=lambda x: (-x[1], x[3] - x[2], x[2], x[0])):
+    for m in sorted(found, key=lambda x: (-x[1], len(t.words[x[0]]), x[3] - x[2], x[2], x[0])):
         at = bisect_left(out, m[2], key=lambda x: x[2])
         if (not at or out[at - 1][3] <= m[2]) and (at == len(out) or m[3] <= out[at][2]):
             out.insert(at, m)
     return out
 
 
-def _diagonals(d: list[int]) -> list[tuple[int, int]]:
-    """Ranges of diagonals that lie within the band of each other."""
-    out: list[list[int]] = []
-    for x in sorted(set(d)):
-        if out and x - out[-1][1] <= BAND:
-            out[-1][1] = x
-        else:
-            out.append([x, x])
-    return [(a, b) for a, b in out]
-
-
 def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, coverage: float = COVERAGE) -> DataFrame:
     """One row per match: doc_id, license, template, its words, matched words, coverage, and the span in words and bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = index(templates)
-        for whole in batches:
+        for whole in batches if len(t.hash) else ():
             for batch in pieces(whole):
                 x = Texts(batch.column("text"), lower=True)
                 x.words(WORD)
