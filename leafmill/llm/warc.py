@@ -1,13 +1,13 @@
 """WARC archives compressed record by record with a Zstandard dictionary of their own.
 
-Each archive is a skippable frame that holds the dictionary, then one Zstandard frame a record.
-Archives travel as rows (archive, n_records, content), so any store that Spark writes will do;
-``export`` writes them as .warc.zst files.
+Each archive is a skippable frame that holds the dictionary, then one Zstandard frame a record, the
+first of them a warcinfo record. Archives travel as rows (archive, n_records, content), so any store that
+Spark writes will do; ``export`` lets the workers write them as .warc.zst files.
 
 Of records with equal payloads of at least ``least`` bytes the one with the largest page_id is a
 response, the others are revisits of it.
 
-Cases: null html is an empty payload, null url an empty target; a row with a null page_id is always
+Cases: page_id is a number or a string; null html is an empty payload, null url an empty target; a row with a null page_id is always
 a response and is never referred to; repeated rows with the largest page_id are all responses; an
 empty table gives no archives; other columns are ignored. Payloads of any length are kept whole.
 """
@@ -19,9 +19,11 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
-from pathlib import Path
+from itertools import islice
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -42,20 +44,29 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None) -> bytes:
+def _head(kind: str, name: str, fields: list[str], block: bytes) -> bytes:
+    """A record; ``name``: archive and place, so that no two records have one id."""
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {DATE}", *fields, f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def record(name: str, page_id: str | None, url: str, payload: bytes, refers_to: str | None, refers_url: str | None) -> bytes:
     """One WARC/1.1 record; a revisit keeps the HTTP header, with the payload's length, but not the payload."""
     sha = digest(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if refers_to is not None else http + payload
-    url = "".join(url.split())
-    own = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {url} {sha}")
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: <urn:uuid:{own}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{sha}"]
+    plain = lambda x: "".join(x.split())
+    lines = [f"WARC-Target-URI: {plain(url)}", f"WARC-Payload-Digest: sha1:{sha}"]
     if page_id is not None:
-        lines.append(f"X-Page-ID: {page_id}")
+        lines.append(f"X-Page-ID: {quote(page_id)}")
     if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"X-Refers-To-Page-ID: {refers_to}"]
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Target-URI: {plain(refers_url or '')}", f"WARC-Refers-To-Date: {DATE}", f"X-Refers-To-Page-ID: {quote(refers_to)}"]
+    lines.append("Content-Type: application/http; msgtype=response")
+    return _head("response" if refers_to is None else "revisit", f"{name} {page_id} {url} {sha}", lines, http if refers_to is not None else http + payload)
+
+
+def info(name: str) -> bytes:
+    """The record that opens an archive."""
+    return _head("warcinfo", name, [f"WARC-Filename: {name}", "Content-Type: application/warc-fields"], b"software: leafmill\r\nformat: WARC File Format 1.1\r\n")
 
 
 def dictionary(records: list[bytes]) -> zstandard.ZstdCompressionDict:
@@ -107,21 +118,22 @@ def parsed(raw: bytes) -> dict:
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(http.rpartition(b"Content-Length: ")[2])
     sha = h["WARC-Payload-Digest"].removeprefix("sha1:")
-    number = lambda k: int(h[k]) if k in h else None
     if h["WARC-Type"] == "response" and (digest(payload) != sha or len(payload) != size):
         raise ValueError(f"record {h['WARC-Record-ID']} does not hold the payload it names")
-    return {"page_id": number("X-Page-ID"), "url": h["WARC-Target-URI"], "payload_bytes": size, "payload_digest": sha, "record_type": h["WARC-Type"], "refers_to": number("X-Refers-To-Page-ID"), "payload": payload}
+    own = lambda k: unquote(h[k]) if k in h else None
+    return {"page_id": own("X-Page-ID"), "url": h["WARC-Target-URI"], "payload_bytes": size, "payload_digest": sha, "record_type": h["WARC-Type"], "refers_to": own("X-Refers-To-Page-ID"), "payload": payload}
 
 
 def with_roles(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html and refers_to: the page that a revisit refers to, else null."""
-    p = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    """page_id, url, html, and refers_to and refers_url: the page that a revisit refers to, else null."""
+    p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("sha", F.sha1("html")).withColumn("size", F.octet_length("html"))
-    ids = p.filter(F.col("page_id").isNotNull() & (F.col("size") >= least)).groupBy("sha", "page_id").agg(F.count("*").alias("n"))
-    last = ids.groupBy("sha").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").select("sha", "refers_to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    ids = p.filter(F.col("page_id").isNotNull() & (F.col("size") >= least)).groupBy("sha", "page_id").agg(F.max("url").alias("url"))
+    last = ids.groupBy("sha").agg(F.max(F.struct("page_id", "url")).alias("to"), F.count("*").alias("n")).filter("n > 1").select("sha", F.col("to.page_id").alias("refers_to"), F.col("to.url").alias("refers_url"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     # a payload that a third of the pages share is dealt out over the salts; only revisits come out
-    revisits = ids.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(last, ["sha", "salt"]).filter(F.col("page_id") < F.col("refers_to")).select("page_id", "sha", "refers_to")
-    return p.join(revisits, ["page_id", "sha"], "left").select("page_id", "url", "html", "refers_to")
+    own = ids.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    revisits = own.drop("url").join(last, ["sha", "salt"]).filter(F.col("page_id") < F.col("refers_to")).select("page_id", "sha", "refers_to", "refers_url")
+    return p.join(revisits, ["page_id", "sha"], "left").select("page_id", "url", "html", "refers_to", "refers_url")
 
 
 def archives(pages: DataFrame, least: int = 0) -> DataFrame:
@@ -129,13 +141,14 @@ def archives(pages: DataFrame, least: int = 0) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
+        name = lambda: f"part-{part:05d}-{k:05d}.warc.zst"
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"archive": [f"part-{part:05d}-{k:05d}.warc.zst"], "n_records": [len(held)], "content": [archive(held)]})
+            return pa.RecordBatch.from_pydict({"archive": [name()], "n_records": [len(held)], "content": [archive([info(name()), *held])]})
 
         for batch in batches:
-            for page_id, url, html, to in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to")), strict=True):
-                held.append(record(page_id.as_py(), url.as_py(), html.as_py().encode(), to.as_py()))
+            for page_id, url, html, to, to_url in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to", "refers_url")), strict=True):
+                held.append(record(f"{name()} {len(held)}", page_id.as_py(), url.as_py(), html.as_py().encode(), to.as_py(), to_url.as_py()))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield out()
@@ -143,34 +156,43 @@ def archives(pages: DataFrame, least: int = 0) -> DataFrame:
         if held:
             yield out()
 
-    return with_roles(pages, least).mapInArrow(write, "archive string, n_records bigint, content binary")
+    text = lambda c: F.col(c).cast("string").alias(c)
+    return with_roles(pages, least).select(text("page_id"), "url", "html", text("refers_to"), "refers_url").mapInArrow(write, "archive string, n_records bigint, content binary")
 
 
-def read(archived: DataFrame, payloads: bool = False) -> DataFrame:
-    """One row per archived record, with its payload if asked for."""
+def read(archived: DataFrame, payloads: bool = False, id_type: str = "bigint") -> DataFrame:
+    """One row per archived page record, with its payload if asked for; ``id_type``: the type of the page ids."""
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", *["payload"] * payloads]
-    schema = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint" + ", payload binary" * payloads
-    kinds = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), *[("payload", pa.binary())] * payloads])
+    schema = "page_id string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string" + ", payload binary" * payloads
+    kinds = pa.schema([("page_id", pa.string()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), *[("payload", pa.binary())] * payloads])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                rows = ([x[n] for n in names] for x in map(parsed, records(content.as_py())))
+                rows = ([x[n] for n in names] for x in map(parsed, islice(records(content.as_py()), 1, None)))  # after the archive's own record
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows, strict=True)), kinds, strict=True)], schema=kinds)
 
-    return archived.mapInArrow(run, schema)
+    back = archived.mapInArrow(run, schema)
+    return back.select(*[F.col(c).cast(id_type).alias(c) if c in ("page_id", "refers_to") else c for c in names])
 
 
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """Writes the archives of all pages to the shared folder and reads them back: one row per page."""
-    return read(stored(archives(pages, least), "warc"))
+    return read(stored(archives(pages, least), "warc"), id_type=pages.schema["page_id"].dataType.simpleString())
 
 
-def export(archived: DataFrame, folder: str) -> list[str]:
-    """Writes the archives to ``folder``, which the driver can write to, one after another."""
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    names = []
-    for r in archived.toLocalIterator():
-        Path(folder, r.archive).write_bytes(r.content)
-        names.append(r.archive)
-    return names
+def export(archived: DataFrame, folder: str) -> DataFrame:
+    """Writes the archives to ``folder``, a path or URI that all workers can write to; archive and bytes of each. A task that runs again writes the same files."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, content in zip(batch.column("archive").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                with store.open_output_stream(f"{root}/{name}", compression=None) as f:
+                    f.write(content)
+            yield pa.RecordBatch.from_arrays([batch.column("archive"), pc.binary_length(batch.column("content")).cast(pa.int64())], names=["archive", "bytes"])
+
+    return stored(archived.select("archive", "content").mapInArrow(write, "archive string, bytes bigint"), "exported")
