@@ -88,6 +88,22 @@ def test_quality_verdicts(spark):
     assert set(out) == {1, 2} and out[1].text == clean and out[2].text == clean and out[2].n_chars == len(clean)
 
 
+def test_line_rules(spark):
+    bad = [
+        "Home | News | Sport | Weather", "All rights reserved.", "Please subscribe now to our letter.", "Alle Rechte vorbehalten!", "Tous droits réservés, 2020.", "Todos los derechos reservados.", "Log in", "Sign up now.",
+        "This goes on and on ...", "and so on…", "***", "a### b$$$ c&&&", "Menu\r", "\tShop", "LOUD!! LOUDER!! LOUDEST!!",
+    ]
+    good = [
+        "He saw the catalog in the hall and went on.", "They had to log in the forest for years, which paid well.", "A design in blue.", "Yes.", "Three words here", "A line with a comma,", "Das Wort Impressumspflicht ist lang.", "\tOne two three\r",
+        "It says all rights reserved, " + "but this is only one phrase in a line of very many words that go on and on until nobody would take it for a footer any more, " * 2,
+    ]
+    df = spark.createDataFrame([(x,) for x in bad + good], "line string")
+    from pyspark.sql import functions as F
+
+    out = {r.line: r.fails for r in df.select("line", quality.line_fails(F.col("line")).alias("fails")).collect()}
+    assert [x for x in bad if not out[x]] == [] and [x for x in good if out[x]] == []
+
+
 @pytest.fixture(scope="module")
 def encoder():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
@@ -376,12 +392,16 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(df.limit(0)).count() == 0
     small = {r.page_id: r.record_type for r in warc.round_trip(df, least=10).collect()}
     assert small[1] == small[2] == "response" and small[3] == "revisit"
-    names = warc.export(warc.archives(df), str(tmp_path))
-    for name in names:
-        raw = (tmp_path / name).read_bytes()
-        assert raw[:4] == warc.SKIPPABLE.to_bytes(4, "little")
-        for r in warc.records(raw):
-            assert r.startswith(b"WARC/1.1\r\n") and r.endswith(b"\r\n\r\n")
+    ids = []
+    for e in warc.export(warc.archives(df), str(tmp_path)).collect():
+        raw = (tmp_path / e.archive).read_bytes()
+        assert raw[:4] == warc.SKIPPABLE.to_bytes(4, "little") and len(raw) == e.bytes
+        for k, r in enumerate(warc.records(raw)):
+            assert r.startswith(b"WARC/1.1\r\n") and r.endswith(b"\r\n\r\n") and (b"warcinfo" in r[:40]) == (k == 0)
+            ids.append(r.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0])
+    assert len(ids) == len(set(ids)) > len(rows)
+    named = df.withColumn("page_id", df.page_id.cast("string"))
+    assert {r.page_id: r.refers_to for r in warc.round_trip(named).filter("record_type = 'revisit'").collect()} == {"3": "9", "4": "9", "1": "2"}
     whole = {r.page_id: bytes(r.payload) for r in warc.read(warc.archives(df), payloads=True).filter("record_type = 'response'").collect()}
     assert whole[9].decode() == page and whole[6] == b"y" * 200_000
 
@@ -430,6 +450,56 @@ def test_html_blocks():
     assert text("<p>" * 3000 + "deep") == ["deep"]
 
 
+def test_html_unclosed():
+    """Elements and quotes that are never closed keep the rest of the page; nested hidden ones end with the outer one."""
+    text = lambda h: [b.text for b in html.blocks(h)]
+    assert text("<object>x<object>y</object>tail</object>z") == ["z"]
+    for name in ("svg", "object", "select", "video"):
+        assert text(f"<p>a<{name}><p>b</p>c") == ["a", "b", "c"], name
+    assert text("<p>a</p><script>x = 1<p>b</p>") == ["a", "b"]
+    assert text("<p>a <a href=http://x/>link</a> b") == ["a link b"]
+    assert text('<p>a<b title="x>c</b><p>d') == ["ac", "d"]
+    assert text("<head><title>t</title><p>a") == ["a"] and text("a<!-- b > c") == ["a c"] and text("<div/>x") == ["x"]
+
+
+def test_html_is_linear():
+    import time
+
+    for part in ('<a "', "<div>x", '<a ">"', '<a x=">"', "<script>x", "<object>x", "<b><p>", "<!--", "<p>x</b>"):
+        took = []
+        for n in (4_000, 32_000):
+            began = time.process_time()
+            html.blocks(part * n)
+            took.append(time.process_time() - began)
+        assert took[1] < 32 * max(took[0], 0.02), (part, took)  # of eight times the text, quadratic work would take 64 times as long
+
+
+def test_html_blinded():
+    """Without the names that the labels were taken from, words and places still tell the article on other pages."""
+    import numpy as np
+
+    model = html.trained([page(k)[0] for k in range(80)])
+    good = total = 0
+    for k in range(100, 150):
+        made, text = page(k, k % 2)
+        blocks = html.blinded(html.blocks(made, tokens=True))
+        labels = model.label([html.vectors(blocks)])[0]
+        want = np.array([b.text in text.split("\n") for b in blocks])
+        good, total = good + int((labels == want).sum()), total + len(want)
+    assert good / total > 0.85, good / total
+
+
+def test_html_rows(spark):
+    """Repeated rows, a clashing column and a page of a megabyte."""
+    big = "<article>" + "".join(f"<p>Paragraph {k} of a long text, with its words.</p>" for k in range(20_000)) + "</article>"
+    pages = [page(k)[0] for k in range(20)]
+    df = spark.createDataFrame([(k, "u", h, "x") for k, h in enumerate(pages)] + [(3, "u", pages[3], "x"), (99, "u", big, "x")], "page_id bigint, url string, html string, text string")
+    out = html.extracted(df).collect()
+    assert len(out) == 22 and len({r.text for r in out if r.page_id == 3}) == 1
+    long = next(r for r in out if r.page_id == 99)
+    assert long.n_chars == len(long.text) and long.text.count("\n") > 19_000
+
+
 def test_html_long_block():
     """All words of a block count, not only those at its start."""
     start = " ".join(["word"] * 70)
@@ -458,6 +528,40 @@ def test_gradients():
         assert abs((up - down) / (2 * h) - g[name][i]) < 1e-4, name
 
 
+def whole_alignment(a, b):
+    """The score of the best local alignment, over all cells."""
+    best, before = 0, [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(max(0, before[j] + (2 if x == y else -1), before[j + 1] - 1, row[j] - 1))
+        best, before = max(best, *row), row
+    return best
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=9), st.lists(st.integers(0, 3), min_size=1, max_size=14))
+def test_align(a, b):
+    import numpy as np
+
+    n, start, stop = license.align(np.array(a), np.array(b), -len(a), len(b))
+    best = whole_alignment(a, b)
+    assert (n > 0) == (best > 0)
+    if n:
+        assert whole_alignment(a, b[start:stop]) == best and best <= 2 * n
+
+
+def test_license_each_occurrence(spark):
+    """However close they stand, all occurrences of a notice are found; long texts and repeated rows too."""
+    line = "Released under the MIT License."
+    long = " ".join([unique(30_000), line, unique(5), line, unique(60_000), dict(license.TEMPLATES)["Zlib"]])
+    rows = [(1, " ".join([line] * 50)), (2, " and ".join([line] * 3)), (3, long), (3, long), (4, f"{line} x y Licensed under CC BY 4.0.")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    n = {(r.doc_id, r.license): r["count"] for r in license.scan(df).groupBy("doc_id", "license").count().collect()}
+    assert n == {(1, "MIT"): 50, (2, "MIT"): 3, (3, "MIT"): 4, (3, "Zlib"): 2, (4, "MIT"): 1, (4, "CC-BY-4.0"): 1}
+    assert license.scan(df, templates=()).count() == 0
+
+
 def test_license(spark, docs, none):
     body = dict(license.TEMPLATES)["ISC"]
     changed = body.replace("fee is hereby", "a fee is here by").replace("any purpose", "all purposes")
