@@ -135,6 +135,13 @@ def cut_300(c: Column, most: int = 300) -> Column:
     return F.when(F.length(s) <= most, s).otherwise(F.concat(F.when(F.instr(head, " ") > 0, F.regexp_replace(head, " [^ ]*$", "")).otherwise(head), F.lit("…")))
 
 
+def summary(text: Column, least: int = 15) -> Column:
+    """The first paragraph of ``least`` words, else the first with any, cut to 300 characters; headings, marks of lists, quotes and code don't count."""
+    plain = F.filter(F.split(text, "\n\n"), lambda p: ~p.rlike(r"^(#{1,6} |> |- |\||`{3})") & p.rlike(r"[^ \t\r\n]"))
+    long = F.filter(plain, lambda p: word_count(p) >= least)
+    return cut_300(F.coalesce(F.get(long, 0), F.get(plain, 0), F.lit("")))
+
+
 def language(c: Column) -> Column:
     """ru or en by half of the letters, else null."""
     n = F.regexp_count(c, F.lit(r"\p{L}"))
@@ -178,9 +185,9 @@ def significant(words: Column) -> Column:
 
 
 def vowel_score(c: Column) -> Column:
-    """1 less the distance of the share of vowels from 0.40; 0 without Cyrillic letters."""
+    """1 less the distance of the share of vowels from 0.40; -1 without Cyrillic letters."""
     v, k = F.regexp_count(c, F.lit("[аеёиоуыэюяАЕЁИОУЫЭЮЯ]")), F.regexp_count(c, F.lit("[бвгджзйклмнпрстфхцчшщъьБВГДЖЗЙКЛМНПРСТФХЦЧШЩЪЬ]"))
-    return F.when(v + k == 0, 0.0).otherwise(1 - F.abs(v / (v + k) - 0.40))
+    return F.when(v + k == 0, -1.0).otherwise(1 - F.abs(v / (v + k) - 0.40))
 
 
 def down(x: Column, full: float, zero: float) -> Column:

@@ -6,6 +6,8 @@ shuffle by doc serves all steps.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -91,21 +93,29 @@ def cut_levels(blocks: DataFrame) -> DataFrame:
     return m.select("doc", F.when(start == 2, at2).otherwise(at1).alias("cut"))
 
 
+def bins_of(tokens: np.ndarray, most: int) -> np.ndarray:
+    """Bin of each entry: the next one goes into the open bin if it fits, else opens a bin. Each bin is found by one search in the running sums."""
+    sums, cuts, at = np.append(0, np.cumsum(tokens)), [], 0
+    while at < len(tokens):
+        cuts.append(at)
+        at = max(at + 1, int(np.searchsorted(sums, sums[at] + most, "right")) - 1)
+    return np.repeat(np.arange(len(cuts)), np.diff([*cuts, len(tokens)]))
+
+
 def greedy_bins(tokens: Column, most: int) -> Column:
-    """Bin of each entry of an array: the next one goes into the open bin if it fits, else opens a bin."""
-    zero = F.struct(F.array().cast("array<int>").alias("bins"), F.lit(0).alias("bin"), F.lit(0).cast("bigint").alias("sum"))
+    """Bins of an array's entries, in an Arrow function: a fold in the plan would copy its result for every entry."""
 
-    def put(a: Column, t: Column) -> Column:
-        new = (F.size(a["bins"]) > 0) & (a["sum"] + t > most)
-        b = a["bin"] + new.cast("int")
-        return F.struct(F.concat(a["bins"], F.array(b)).alias("bins"), b.alias("bin"), F.when(new, t).otherwise(a["sum"] + t).cast("bigint").alias("sum"))
+    @F.pandas_udf("array<int>")
+    def bins(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda t: bins_of(np.asarray(t, np.int64), most).astype(np.int32))
 
-    return F.aggregate(tokens, zero, put, lambda a: a["bins"])
+    return bins(tokens)
 
 
 def parts(blocks: DataFrame, most: int = PART) -> DataFrame:
     """doc, part, parts, tokens, n_blocks: documents without headings cut by size."""
     rows = blocks.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", word_count(F.col("text")).alias("t")))).alias("rows"))
-    bins = rows.select("doc", F.explode(F.arrays_zip(greedy_bins(F.col("rows.t"), most).alias("bin"), F.col("rows.t").alias("t"))).alias("x"))
+    binned = rows.select("doc", greedy_bins(F.col("rows.t"), most).alias("bin"), F.col("rows.t").alias("t"))
+    bins = binned.select("doc", F.explode(F.arrays_zip("bin", "t")).alias("x"))
     sums = bins.groupBy("doc", F.col("x.bin").alias("bin")).agg(F.sum("x.t").cast("bigint").alias("tokens"), F.count("*").alias("n_blocks"))
     return sums.select("doc", (F.col("bin") + 1).cast("bigint").alias("part"), F.count("*").over(Window.partitionBy("doc")).alias("parts"), "tokens", "n_blocks")

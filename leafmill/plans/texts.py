@@ -164,7 +164,7 @@ over_cases("f23_marker_strip", lambda: {"plain": T.marker_strip(text())}, r"rege
 over_cases("f24_footnote_markers", lambda: {"plain": T.footnote_strip(text()), "n": F.regexp_count(text(), F.lit(r"\[[0-9]+\]")).cast("bigint")}, rf"regexp_replace(text, '\[[0-9]+\]', '', 'g') AS plain, {count_sql('text', chr(92) + '[[0-9]+' + chr(92) + ']')} AS n")
 over_documents("f26_basename", lambda: {"base": F.substring_index(F.concat(F.lit("OEBPS/Text/"), "source", F.lit(".xhtml#"), "lang"), "/", -1), "fragment": F.substring_index(F.concat("source", F.lit(".xhtml#"), "lang"), "#", -1)}, "source || '.xhtml#' || lang AS base, lang AS fragment")
 _v, _k = count_sql("text", "[аеёиоуыэюяАЕЁИОУЫЭЮЯ]"), count_sql("text", "[бвгджзйклмнпрстфхцчшщъьБВГДЖЗЙКЛМНПРСТФХЦЧШЩЪЬ]")
-over_cases("f27_vowel_score", lambda: {"score": F.round(T.vowel_score(text()), 9)}, f"round(CASE WHEN {_v} + {_k} = 0 THEN CAST(0 AS DOUBLE) ELSE 1 - abs(CAST({_v} AS DOUBLE) / ({_v} + {_k}) - 0.40) END, 9) AS score")
+over_cases("f27_vowel_score", lambda: {"score": F.round(T.vowel_score(text()), 9)}, f"round(CASE WHEN {_v} + {_k} = 0 THEN CAST(-1 AS DOUBLE) ELSE 1 - abs(CAST({_v} AS DOUBLE) / ({_v} + {_k}) - 0.40) END, 9) AS score")
 STOP_SQL = ", ".join(f"'{w}'" for w in sorted(T.STOP_WORDS))
 over_cases("v02_significant", lambda: {"n": F.size(T.significant(canon())).cast("bigint"), "words": F.array_join(T.significant(canon()), " ")}, f"CAST(len(list_filter({CANON_LIST_SQL}, lambda x: x NOT IN ({STOP_SQL}))) AS BIGINT) AS n, array_to_string(list_filter({CANON_LIST_SQL}, lambda x: x NOT IN ({STOP_SQL})), ' ') AS words")
 

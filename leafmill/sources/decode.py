@@ -13,7 +13,7 @@ def vowel_score(text: str) -> float:
     """How near the share of vowels among Cyrillic letters is to 0.40; lower-case text in the middle of words counts for itself."""
     low = text.lower()
     v, c = sum(ch in VOWELS for ch in low), sum(ch in CONSONANTS for ch in low)
-    return 1 - abs(v / (v + c) - 0.40) if v + c else 0.0
+    return 1 - abs(v / (v + c) - 0.40) if v + c else -1.0
 
 
 def _plausible(text: str) -> float:

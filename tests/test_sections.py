@@ -5,7 +5,10 @@ from __future__ import annotations
 import zipfile
 from io import BytesIO
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from leafmill.functions import text as T
 from leafmill.operators import pdf_layout, quality_gate, search, sections, structure, verify
@@ -93,7 +96,46 @@ def test_quotes():
     p = verify.passage(long, t, 100, 110)
     assert p.startswith("[…] ") and p.endswith(" […]") and len(p) < 420
     assert verify.word_diff([("a", "A"), ("b", "B")], [("a", "A"), ("c", "C")]) == [("C", "B")]
-    assert verify.window_starts(10, 4) == [0, 1, 2, 3, 4, 5, 6] and verify.window_starts(3, 5) == [0]
+    assert verify.bounds(list("abcdefghij"), "c d e f", 4)[0].tolist() == [0, 1, 2, 3, 4, 5, 6]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=3), min_size=1, max_size=30), st.lists(st.text("abd", min_size=1, max_size=3), min_size=1, max_size=8))
+def test_best_window(chapter, quote):
+    """Bounds only leave out what can't win: the result is that of comparing every window."""
+    from difflib import SequenceMatcher
+
+    width, wanted = min(len(quote), len(chapter)), " ".join(quote)
+    starts = sorted({*range(0, len(chapter) - width + 1, max(1, width // 4)), len(chapter) - width})
+    every = []
+    for s in starts:
+        m = SequenceMatcher(None, " ".join(chapter[s : s + width]), wanted, autojunk=False)
+        if m.quick_ratio() >= verify.PREFILTER:
+            every.append((m.ratio(), -s))
+    got = verify.best_window(chapter, quote)
+    assert (got is None) == (not every)
+    if every and max(every)[0] < verify.DISTORTED:
+        assert (got.ratio, -got.low) == max(every)
+    elif every:
+        assert got.ratio >= max(every)[0]
+
+
+def test_long_texts(spark):
+    """Work grows with the text, not with its square: many lone numbers, many small blocks."""
+    df = spark.createDataFrame([("1\n\n" * 200_000,)], "text string").select(quality_gate.line_counts(structure.F.col("text")).alias("c")).select("c.*")
+    assert tuple(df.first()) == (200_000, 200_000, 0)
+    t = np.random.default_rng(1).integers(0, 40, 300_000)
+    assert structure.bins_of(t, 100)[-1] > 50_000
+
+
+@given(st.lists(st.integers(0, 12), max_size=40))
+def test_bins(tokens):
+    want, held = [], None
+    for t in tokens:
+        new = held is not None and held + t > 10
+        want.append((want[-1] if want else 0) + new)
+        held = t if held is None or new else held + t
+    assert structure.bins_of(np.array(tokens, np.int64), 10).tolist() == want
 
 
 def test_search_words():
@@ -132,11 +174,30 @@ def test_guards():
         archive.opened(b"PK nothing")
     with pytest.raises(archive.Broken):
         readers.xml(b"<!DOCTYPE a [<!ENTITY b 'c'>]><a>&b;</a>")
+    with pytest.raises(archive.Broken):  # however late
+        readers.xml(b"<!--" + b"x" * 100_000 + b"--><!DOCTYPE a [<!ENTITY b 'c'>]><a>&b;</a>")
+    with pytest.raises(archive.Broken):
+        readers.xml("<?xml version='1.0' encoding='utf-16'?><!DOCTYPE a [<!ENTITY b 'c'>]><a>&b;</a>".encode("utf-16"))
+    assert readers.xml(b"<!DOCTYPE a><a>x</a>").text == "x"
+
+
+def test_fictionbook():
+    book = """<FictionBook><description><title-info><author><nickname>N</nickname></author><book-title>B</book-title></title-info></description><body><title><p>B</p></title>
+    <epigraph><p>e</p><text-author>who</text-author></epigraph><section><title><p>One</p><p>more</p></title><p>text<a type="note">1</a> and <a type="note">[2]</a></p><poem><stanza><v>l1</v><v>l2</v></stanza><text-author>x</text-author></poem>
+    <subtitle>sub</subtitle><section><title><p>In</p></title><table><tr><th>a</th><td>b</td></tr></table></section></section></body><body name="notes"><section><title><p>1.</p></title><p>note</p></section></body></FictionBook>"""
+    raw = readers.read_fb2(book.encode())
+    assert [(b.kind, b.text, b.level) for b in raw.blocks] == [
+        ("quote", "e\nwho", None), ("heading", "One more", 1), ("para", "text[1] and [2]", None), ("para", "l1\nl2", None), ("heading", "sub", 2), ("heading", "In", 2), ("table", "a\tb", None), ("heading", readers.NOTES, 1), ("para", "1. note", None),
+    ]
+    assert (raw.title, raw.author) == ("B", "N")
 
 
 def test_readers():
     md = readers.read_md(b"---\nk: v\n---\nTitle\n=====\n\ntext [a](b) and ![c](d)\nmore\n\n```\nx [y](z)\n```\n> q1\n> q2\n\n- item\n1. second\n\n## Sub ##\n***\nend")
-    assert [(b.kind, b.text, b.level) for b in md.blocks] == [("meta", "k: v", None), ("heading", "Title", 1), ("para", "text a and c more", None), ("code", "x [y](z)", None), ("quote", "q1\nq2", None), ("list_item", "item", None), ("list_item", "second", None), ("heading", "Sub", 2), ("para", "end", None)]
+    assert [(b.kind, b.text, b.level) for b in md.blocks] == [("meta", "k: v", None), ("heading", "Title", 1), ("para", "text a and c more", None), ("code", "x [y](z)", None), ("quote", "q1\nq2", None), ("list_item", "item", None), ("list_item", "second", None), ("heading", "Sub ##", 2), ("para", "end", None)]
+    md = readers.read_md("a paragraph\nof two\nHead\n---\n\n##### deep\n\n```py\ncode\n```text\nmore\n````\n\nlast-\nly\n\n---\n\nend".encode())
+    assert [(b.kind, b.text, b.level) for b in md.blocks] == [("para", "a paragraph of two", None), ("heading", "Head", 2), ("heading", "deep", 4), ("code", "code\n```text\nmore", None), ("para", "lastly", None), ("para", "end", None)]
+    assert [(b.text, b.level) for b in readers.read_md("Том 1\n\nГлава первая\n\nТекст.\n\nГлава вторая\n\nЕщё.".encode()).blocks if b.kind == "heading"] == [("Том 1", 1), ("Глава первая", 2), ("Глава вторая", 2)]
     txt = readers.read_txt("Том 1\n\nГлава 2. Начало\n\nпере-\nнос кто-\nто\n\nвсё".encode())
     assert [(b.kind, b.text, b.level) for b in txt.blocks] == [("heading", "Том 1", 1), ("heading", "Глава 2. Начало", 2), ("para", "перенос кто-то", None), ("para", "всё", None)]
     html = readers.read_html(b"<html lang=en><title>T &amp; t</title><nav>n</nav><article><h5>H</h5><p>a<br>b</p><ul><li>i</ul><pre> c\n d</pre><table><tr><td>1<td>2</tr><tr><td>3</td><td>4</td></tr></table><blockquote><p>q</p></blockquote><odd>z</odd></article>")
