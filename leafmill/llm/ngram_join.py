@@ -7,10 +7,11 @@ of one set are one class. A partner of a set of n shingles shares at least T = c
    shingles that any other class has can't link and is done.
 2. The others, with their shingles from rare to frequent: of any n - T + 1 shingles a partner has one.
    Classes that share one of their rarest ones are brought together; what can link is together then.
-3. Inside such a family, T-occurrence search with inverted lists: the n - T + 1 shortest lists are
-   merged, each holding the documents for which its shingle is rare too; candidates are probed by
-   binary search in all the others (DivideSkip) and kept at the overlap that the similarity asks for. Documents linked to a group leave the index: copies by the
-   thousand are linked once each, not pair by pair, and no link between groups is lost.
+3. Inside such a family, T-occurrence search with inverted lists (DivideSkip): of a set's lists the L
+   longest are set aside, the short ones are merged, and documents on T - L of them or more are looked up
+   in the long ones by binary search and kept at the overlap that the similarity asks for. Documents
+   linked to a group leave the index: copies by the thousand are linked once each, not pair by pair, and
+   no link between groups is lost.
 
 A family of more than ``FAMILY`` shingles is searched in pairs of blocks, so that no task holds it whole.
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,8 @@ SHINGLE = 5
 BUCKET_ENTRIES = 500_000
 #: Shingles of a family, or of a batch of families, in one task.
 FAMILY, BATCH = 1_000_000, 500_000
-#: Postings up to which short lists are merged with a heap; longer ones by sorting.
-HEAP = 512
+#: Postings up to which short lists are merged with a heap; longer ones by sorting. And how soon a list counts as long.
+HEAP, SKIP = 512, 0.0085
 #: Families are dealt out over so many salts.
 SALTS = 32
 
@@ -167,55 +169,52 @@ def candidates(chunked: Chunked, rows: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Inverted lists of the sets that have not been linked yet."""
+    """Inverted lists of the sets that have not been linked yet: one sorted array of (shingle, document)."""
 
     def __init__(self, sets: list[np.ndarray]):
         self.size = np.fromiter(map(len, sets), np.int64, len(sets))
         self.doc = np.repeat(np.arange(len(sets)), self.size)
-        tokens = np.concatenate(sets)
-        _, self.token = np.unique(tokens, return_inverse=True)
+        _, self.token = np.unique(np.concatenate(sets), return_inverse=True)
         self.n_tokens = int(self.token.max(initial=-1)) + 1
         self.first = np.append(0, np.cumsum(self.size))
-        # each document's tokens, those of short lists first; its own rarest ones are enough to find it by
-        often = np.bincount(self.token, minlength=self.n_tokens)
-        self.own = self.token[np.lexsort((self.token, often[self.token], self.doc))]
-        self.rare = np.arange(len(self.own)) - self.first[self.doc] < (self.size - needed(self.size) + 1)[self.doc]
         self.alive = np.ones(len(sets), bool)
         self.build()
 
     def build(self) -> None:
         live = self.alive[self.doc]
-        self.probe = np.sort(self.token[live] * len(self.alive) + self.doc[live])
-        live &= self.rare
-        token, doc = self.own[live], self.doc[live]
-        self.post = doc[np.argsort(token, kind="stable")]
-        self.count = np.bincount(token, minlength=self.n_tokens)
+        self.lists = np.sort(self.token[live] * len(self.alive) + self.doc[live])
+        self.count = np.bincount(self.token[live], minlength=self.n_tokens)
         self.start = np.cumsum(self.count) - self.count
         self.built = int(self.alive.sum())
 
-    def merged(self, lists: np.ndarray) -> np.ndarray:
-        """Live documents on the lists."""
-        n = self.count[lists]
+    def occurring(self, tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Live documents on at least ``least`` of the tokens' lists, and on how many: the lists are merged and equal documents counted."""
+        n = self.count[tokens]
         if n.sum() <= HEAP:
-            post, runs = self.post, [(a, a + k) for a, k in zip(self.start[lists].tolist(), n.tolist(), strict=True) if k]
-            docs = np.fromiter(heapq.merge(*(post[a:b].tolist() for a, b in runs)), np.int64)
-        else:
-            docs = self.post[ragged(self.start[lists], n)]
-        return np.unique(docs[self.alive[docs]])
+            runs = [(self.lists[a : a + k] % len(self.alive)).tolist() for a, k in zip(self.start[tokens].tolist(), n.tolist(), strict=True) if k]
+            found = [(d, k) for d, g in groupby(heapq.merge(*runs)) if (k := sum(1 for _ in g)) >= least]
+            docs, times = np.array([d for d, _ in found], np.int64), np.array([k for _, k in found], np.int64)
+        else:  # the same count, by sorting: a heap in Python is slow for long lists
+            docs, times = np.unique(self.lists[ragged(self.start[tokens], n)] % len(self.alive), return_counts=True)
+        keep = (times >= least) & self.alive[docs]
+        return docs[keep], times[keep]
 
     def partners(self, r: int) -> np.ndarray:
-        """Live documents that link with r."""
-        n, own = int(self.size[r]), self.own[self.first[r] : self.first[r + 1]]
-        short = n - int(needed(np.int64(n))) + 1
-        docs = self.merged(own[:short])
+        """Live documents that link with r, by DivideSkip: short lists are merged, what occurs on enough of them is looked up in the long ones by binary search."""
+        own = self.token[self.first[r] : self.first[r + 1]]
+        own = own[np.argsort(self.count[own], kind="stable")]
+        n = len(own)
+        least = int(needed(np.int64(n)))
+        long = min(least - 1, int(least / (SKIP * np.log2(max(2, self.count[own[-1]])) + 1)))
+        docs, overlap = self.occurring(own[: n - long], least - long)
         m = self.size[docs]
-        docs = docs[(5 * m >= 4 * n) & (5 * n >= 4 * m)]
-        overlap = np.zeros(len(docs), np.int64)
+        fits = (5 * m >= 4 * n) & (5 * n >= 4 * m)
+        docs, overlap = docs[fits], overlap[fits]
         step = max(1, 400_000 // n)
-        for a in range(0, len(docs), step):
-            want = own[None, :] * len(self.alive) + docs[a : a + step, None]
-            at = np.minimum(np.searchsorted(self.probe, want), len(self.probe) - 1)
-            overlap[a : a + step] = (self.probe[at] == want).sum(1)
+        for a in range(0, len(docs) if long else 0, step):
+            want = own[None, n - long :] * len(self.alive) + docs[a : a + step, None]
+            at = np.minimum(np.searchsorted(self.lists, want), len(self.lists) - 1)
+            overlap[a : a + step] += (self.lists[at] == want).sum(1)
         return docs[100 * overlap >= 80 * (n + self.size[docs] - overlap)]
 
 
