@@ -347,27 +347,90 @@ def test_lm(docs, rows, none):
     assert lm.scores(none).count() == 0
 
 
+def lm_model(n_words=400, n_tokens=20_000, seed=1):
+    """A bucket of a Zipf corpus of three contexts; every (context, word) has a cell."""
+    import numpy as np
+
+    r = np.random.default_rng(seed)
+    words = r.integers(0, 2**63, n_words).astype(np.uint64)
+    p = 1 / np.arange(1, n_words + 1)
+    text = words[r.choice(n_words, n_tokens, p=p / p.sum())]
+    context = np.append(lm.START, (text[:-1] % np.uint64(3)).astype(np.int64))
+    every = (np.repeat(words, 3), np.tile(np.arange(3), n_words))
+    tokens = types.SimpleNamespace(word=np.concatenate([text, every[0]]), text=np.repeat([0, 1], [n_tokens, 3 * n_words]), context=np.concatenate([context, every[1]]))
+    return lambda: lm.Seats(lm.ask(0, tokens, np.array([True, False]), 1).column("data").to_pylist())
+
+
+def lm_sums(make, seed=0):
+    """The corpus and the sums after each seating, as the rounds make them."""
+    import numpy as np
+
+    corpus, told = lm.counted(make()), []
+    for _ in range(1 + lm.SAMPLES):
+        t = lm.totals(make(), seed, corpus, told)
+        x = {a: (b, d) for a, b, d in zip(*(t.column(k).to_pylist() for k in range(3)), strict=True)}
+        told.append(lm.Sums(*(np.array([x[k][j] for k in range(lm.CONTEXTS)]) for j in (0, 1)), *x[-2]))
+    return corpus, told
+
+
 def test_lm_is_a_distribution():
-    """Predictive probabilities of one context sum to one over the words and the unknown one, and one seating differs from the next only a little."""
+    """Probabilities of one context sum to one over the known words and the unknown one."""
     import numpy as np
 
-    r = np.random.default_rng(1)
-    words = r.integers(0, 2**63, 400).astype(np.uint64)
-    p = 1 / np.arange(1, 401)
-    text = words[r.choice(400, 20_000, p=p / p.sum())]
-    tokens = types.SimpleNamespace(word=text, text=np.zeros(len(text), np.int64), context=np.append(lm.START, (text[:-1] % np.uint64(3)).astype(np.int64)))
-    table = lm.ask(0, tokens, np.ones(1, bool), 1)
-    s = lm.Seats(table.column("data").to_pylist())
-    sums = lm.totals(s, 0)
-    c, t, n, known, tables, served = (lambda x: (np.array([x[k][0] for k in range(lm.CONTEXTS)]), np.array([x[k][1] for k in range(lm.CONTEXTS)]), *x[-1], *x[-2]))({a: (b, d) for a, b, d in zip(*(sums.column(k).to_pylist() for k in range(3)), strict=True)})
-    seats = lm.Seats(table.column("data").to_pylist())
-    prob = lm.sampled(seats, 0, c, t, n, known, tables, served)
+    make = lm_model()
+    corpus, told = lm_sums(make)
+    seats = make()
+    prob = lm.sampled(seats, 0, corpus, told)
+    assert (prob > 0).all() and (seats.tables <= seats.count).all() and (seats.tables[seats.count > 0] >= 1).all()
+    d, unseen = corpus.discount(), int(corpus.known) + 1 - int((seats.word_count > 0).sum())
+    assert unseen == 1
     for context in range(3):
-        inside = prob[seats.context == context].sum()
-        assert 0.8 < inside < 1.1
-    again = lm.sampled(lm.Seats(table.column("data").to_pylist()), 7, c, t, n, known, tables, served)
+        inside = prob[(seats.context == context) & (seats.word_count[seats.word] > 0)].sum()
+        unknown = np.mean([(lm.STRENGTH + d * s.t[context]) / (lm.STRENGTH + s.c[context]) * s.base(np.zeros(1), np.zeros(1), corpus.known)[0] for s in told[1:]])
+        assert abs(inside + unknown - 1) < 1e-9
+    again = lm.sampled(make(), 7, *lm_sums(make, 7))
     assert np.abs(np.log(prob / again)).mean() < 0.2
-    assert (seats.tables <= seats.count).all() and (seats.tables[seats.count > 0] >= 1).all()
+
+
+def test_lm_conditional():
+    """Tables are drawn with their exact probabilities, generalised Stirling numbers times the weights of new tables: for few customers nearly so, for many to a few percent."""
+    import math
+
+    import numpy as np
+
+    d, n = 0.7, 20_000
+    for strength, base in ((30.0, 0.05), (2000.0, 0.001), (100.0, 0.0001), (30.0, 0.5)):
+        for c, far in ((2, 0.012), (5, 0.025), (60, 0.06), (1500, 0.2)):
+            log = np.full(c + 1, -np.inf)  # Stirling numbers of the customers so far, by tables
+            log[1] = 0
+            with np.errstate(divide="ignore"):
+                for m in range(1, c):
+                    log = np.logaddexp(np.append(-np.inf, log[:-1]), log + np.log(np.maximum(m - d * np.arange(c + 1), 0)))
+            t = np.arange(1, c + 1)
+            want = log[1:] + np.cumsum(np.log(strength + d * (t - 1))) + t * np.log(base)
+            want = np.exp(want - want.max())
+            want /= want.sum()
+            ids = np.random.default_rng(c).integers(0, 2**63, n).astype(np.uint64)
+            have = lm.conditional(lm.Draws(3), ids, np.full(n, c), np.full(n, strength), np.full(n, base), d)
+            assert abs(have.mean() / (want * t).sum() - 1) < far, (strength, base, c)
+            if c <= 5:
+                assert np.abs(np.bincount(have, minlength=c + 1)[1:] / n - want).max() < 0.02
+    x = np.array([0.01, 0.5, 1, 3.3, 40, 1e6])
+    assert np.allclose(lm.lgamma(x), [math.lgamma(v) for v in x], rtol=1e-9, atol=1e-9)
+
+
+def test_lm_perplexity(spark):
+    """Text like what was learnt is less of a surprise than text unlike it; repeated and very long texts are scored whole."""
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(300)]
+    text = lambda n: " ".join(r.choices(words, [1 / (i + 1) for i in range(300)], k=n))
+    rows = [(k, text(300)) for k in range(60)] + [(k, unique(300)) for k in range(100, 110)] + [(200, text(300_000)), (200, text(50)), (201, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = lm.scores(df).collect()
+    of = lambda lo, hi: [x.perplexity for x in out if lo <= x.doc_id < hi and x.held_out]
+    assert of(0, 60) and max(of(0, 60)) < 400 and (not of(100, 110) or min(of(100, 110)) > max(of(0, 60)))
+    assert all(abs(x.perplexity - 10 ** (-x.score / x.n_tokens)) < 1e-6 * x.perplexity for x in out)
+    assert sorted(x.n_tokens for x in out if x.doc_id >= 200) == [1, 51, 300_001]
 
 
 def test_lm_buckets(spark, monkeypatch):
