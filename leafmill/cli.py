@@ -1,4 +1,4 @@
-"""Command line: ingest, list, get, find, verify, info, rm, doctor. Exit codes: 0 done, 1 not found or failed, 2 usage."""
+"""Command line: ingest, reingest, list, get, find, verify, info, rm, doctor. Exit codes: 0 done, 1 not found or failed, 2 usage."""
 
 from __future__ import annotations
 
@@ -34,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("info", "rm"):
         sub.add_parser(name).add_argument("book")
     sub.add_parser("doctor")
+    sub.add_parser("reingest")
     return p
 
 
@@ -43,6 +44,18 @@ def show(df, as_json: bool) -> int:
     return len(rows)
 
 
+def report(found) -> int:
+    """The matches of a quote in words: where, how alike, the passage, and what differs."""
+    rows = found.collect()
+    for r in rows:
+        print(f"{r.book}, chapter {r.n} ({r.title}): {r.verdict}, similarity {r.similarity:.4f}", f"  {r.passage}", sep="\n")
+        for d in r["diff"]:
+            print(f"  quoted: {d.quoted or '-'} / source: {d.source or '-'}")
+    if not rows:
+        print("not found")
+    return len(rows)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     try:
         a = parser().parse_args(argv)
@@ -60,9 +73,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         elif a.command == "find":
             return int(not show(lib.find(a.query, a.limit, a.book), a.json))
         elif a.command == "verify":
-            return int(not show(lib.verify(a.quote, a.book), a.json))
+            found = lib.verify(a.quote, a.book)
+            return int(not (show(found, True) if a.json else report(found)))
         elif a.command == "info":
             show(lib.info(a.book), True)
+        elif a.command == "reingest":
+            return int(lib.reingest().filter("status = 'failed'").count() > 0)
         elif a.command == "rm":
             lib.remove(a.book)
         else:

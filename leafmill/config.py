@@ -10,14 +10,15 @@ from pathlib import Path
 
 from leafmill.operators import sections
 
-DEFAULTS: dict[str, dict[str, int]] = {
+DEFAULTS: dict[str, dict[str, int | str]] = {
     "sections": {"tiny": sections.TINY, "giant": sections.GIANT, "part": sections.PART},
     "read": {"budget": 12_000},
     "ids": {"most": 60},
+    "tokens": {"ranks": ""},
 }
 
 
-def load(path: str | None = None) -> dict[str, dict[str, int]]:
+def load(path: str | None = None) -> dict[str, dict[str, int | str]]:
     """The defaults with the file's values; a section or key that isn't known is an error."""
     out = copy.deepcopy(DEFAULTS)
     for section, values in tomllib.loads(Path(path).read_text()).items() if path else ():

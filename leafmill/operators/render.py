@@ -27,13 +27,13 @@ def file_name(n: Column, title: Column, part: Column, most: int = 50) -> Column:
     return F.concat(F.lpad(n.cast("string"), 3, "0"), F.lit("-"), slug(plain, most), F.when(part.isNotNull(), F.concat(F.lit("-p"), part.cast("string"))).otherwise(""), F.lit(".md"))
 
 
-def chapter_md(blocks: DataFrame) -> DataFrame:
-    """book, n and the Markdown of each chapter; blocks have book, n, title, pos, kind, level, text.
+def body_md(blocks: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and the Markdown ``text`` of their blocks (pos, kind, level, text), without a title.
 
     List items stand together until another block follows; metadata is left out, footnotes go to the end.
     """
     shown = blocks.filter("kind NOT IN ('meta', 'footnote')")
-    order = Window.partitionBy("book", "n").orderBy("pos")
+    order = Window.partitionBy(*keys).orderBy("pos")
     item = (F.col("kind") == "list_item").cast("int")
     run = F.sum(F.when((item == 1) & (F.lag(item, 1, 0).over(order) == 1), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     body = (
@@ -45,10 +45,18 @@ def chapter_md(blocks: DataFrame) -> DataFrame:
         .otherwise(F.col("text"))
     )
     joined = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("pos", c.alias("md")))), lambda x: x["md"])
-    runs = shown.withColumn("run", run).groupBy("book", "n", "run").agg(F.min("pos").alias("pos"), F.array_join(joined(body), "\n").alias("md"))
-    parts = runs.groupBy("book", "n").agg(joined(F.col("md")).alias("parts"))
-    notes = blocks.filter("kind = 'footnote'").groupBy("book", "n").agg(F.array_join(joined(F.col("text")), "\n").alias("notes"))
+    runs = shown.withColumn("run", run).groupBy(*keys, "run").agg(F.min("pos").alias("pos"), F.array_join(joined(body), "\n").alias("md"))
+    parts = runs.groupBy(*keys).agg(joined(F.col("md")).alias("parts"))
+    notes = blocks.filter("kind = 'footnote'").groupBy(*keys).agg(F.array_join(joined(F.col("text")), "\n").alias("notes"))
+    none = F.array().cast("array<string>")
+    whole = parts.join(notes, keys, "full")
+    text = F.array_join(F.concat(F.coalesce("parts", none), F.when(F.col("notes").isNotNull(), F.array(F.lit("---"), F.col("notes"))).otherwise(none)), "\n\n")
+    return whole.select(*keys, F.regexp_replace(text, "[ \\t]+\n", "\n").alias("text"))
+
+
+def chapter_md(blocks: DataFrame) -> DataFrame:
+    """book, n and the Markdown of each chapter; blocks have book, n, title, pos, kind, level, text."""
     heads = blocks.groupBy("book", "n").agg(F.min("title").alias("title"))
-    whole = heads.join(parts, ["book", "n"], "left").join(notes, ["book", "n"], "left")
-    md = F.array_join(F.concat(F.array(F.concat(F.lit("# "), "title")), F.coalesce("parts", F.array().cast("array<string>")), F.when(F.col("notes").isNotNull(), F.array(F.lit("---"), F.col("notes"))).otherwise(F.array().cast("array<string>"))), "\n\n")
-    return whole.select("book", "n", F.concat(F.regexp_replace(md, "[ \\t]+\n", "\n"), F.lit("\n")).alias("md"))
+    whole = heads.join(body_md(blocks, ["book", "n"]), ["book", "n"], "left")
+    head = F.regexp_replace(F.concat(F.lit("# "), "title"), "[ \\t]+$", "")
+    return whole.select("book", "n", F.concat(F.array_join(F.array(head, F.nullif("text", F.lit(""))), "\n\n"), F.lit("\n")).alias("md"))

@@ -28,13 +28,16 @@ def terms_of(c: Column) -> Column:
     return F.regexp_extract_all(folded(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def postings(docs: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """keys, col, term, pos: one row per token."""
-    parts = [docs.select(*keys, F.lit(c).alias("col"), F.posexplode(terms_of(F.col(c))).alias("pos", "term")) for c in columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def postings(docs: DataFrame, keys: list[str], columns: list[str], length: bool = False) -> DataFrame:
+    """keys, col, pos, term: one row per token; with ``length`` also the tokens of the row over all columns, ``len``. Texts are taken apart once."""
+    lists = [terms_of(F.coalesce(F.col(c), F.lit(""))).alias(f"_{i}") for i, c in enumerate(columns)]
+
+    def placed(i: int, c: str) -> Column:
+        return F.transform(F.col(f"_{i}"), lambda t, p: F.struct(F.lit(c).alias("col"), p.alias("pos"), t.alias("term")))
+
+    each = F.flatten(F.array(*[placed(i, c) for i, c in enumerate(columns)]))
+    size = sum((F.size(f"_{i}") for i in range(len(columns))), F.lit(0)).cast("double").alias("len")
+    return docs.select(*keys, *lists).select(*keys, *[size] * length, F.explode(each).alias("t")).select(*keys, "t.col", "t.pos", "t.term", *["len"] * length)
 
 
 def lengths(docs: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -45,41 +48,106 @@ def lengths(docs: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     return docs.select(*keys, n.cast("double").alias("len"))
 
 
+def words_of(query: str) -> list[list[str]]:
+    """The words of a query as it is typed, each as the tokens that the index has of it: a word with a hyphen is a phrase; one without letters or digits is none."""
+    fold = str.maketrans(ACCENTED, PLAIN)
+    return [t for w in query.split() if (t := re.findall(r"[^\W_]+", w.lower().translate(fold)))]
+
+
 def query_terms(spark: SparkSession, queries: list[tuple[int, str]]) -> DataFrame:
-    """qid, idx, term, n_terms of the words of each query."""
+    """The tokens of the words of each query: qid, idx (the word), n_terms (the query's words), j and k (place and number of the token in its word), term.
+
+    The last token of a word matches as a prefix, those before it whole and next to each other.
+    """
     rows = []
     for qid, text in queries:
-        words = text.split()
-        rows += [(qid, i, w, len(words)) for i, w in enumerate(words)]
+        words = words_of(text)
+        rows += [(qid, i, len(words), j, len(w), t) for i, w in enumerate(words) for j, t in enumerate(w)]
     if len(rows) > MOST_TERMS:
         raise ValueError(f"more than {MOST_TERMS} query terms in one call")
-    return spark.createDataFrame(rows, "qid int, idx int, word string, n_terms int").select("qid", "idx", folded(F.col("word")).alias("term"), "n_terms")
+    return spark.createDataFrame(rows, "qid int, idx int, n_terms int, j int, k int, term string")
+
+
+def _matches(token: Column) -> Column:
+    return F.when(F.col("j") == F.col("k") - 1, token.startswith(F.col("term"))).otherwise(token == F.col("term"))
 
 
 def bm25(docs: DataFrame, keys: list[str], weights: dict[str, float], terms: DataFrame, many: bool = False) -> DataFrame:
-    """qid, keys, score (larger is better), matched: number of the query's terms found. ``many``: terms of any number, joined with the prefixes of all tokens."""
+    """qid, keys, score (larger is better), matched: number of the query's words found. ``many``: single tokens of any number, joined with the prefixes of all tokens."""
     columns = list(weights)
     weight = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
-    tf = postings(docs, keys, columns).groupBy(*keys, "col", "term").agg(F.count("*").alias("tf"))
-    # prefixes as a range; the terms are few and bounded
-    tf = tf.withColumnRenamed("term", "token")
+    tokens = postings(docs, keys, columns, length=True).withColumnRenamed("term", "token")
     if many:
         begins = F.transform(F.sequence(F.lit(1), F.length("token")), lambda i: F.substring(F.col("token"), F.lit(1), i))
-        known = tf.select("token").distinct().select("token", F.explode(begins).alias("term")).join(terms.select("term").distinct(), "term")
-        hits = tf.join(known, "token").join(terms, "term")
-    else:
-        hits = tf.join(F.broadcast(terms), F.col("token").startswith(F.col("term")))
-    hits = hits.groupBy("qid", "idx", "n_terms", *keys).agg(F.sum(weight[F.col("col")] * F.col("tf")).alias("f"))
-    size = lengths(docs, keys, columns)
-    corpus = size.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avgdl"))  # one row
+        known = tokens.select("token").distinct().select("token", F.explode(begins).alias("term")).join(terms.select("term").distinct(), "term")
+        found = tokens.join(known, "token").join(terms, "term").withColumn("w", weight[F.col("col")])
+    else:  # the terms are few and bounded: what matches none of them is dropped before anything is shuffled
+        hits = tokens.join(F.broadcast(terms), _matches(F.col("token")))
+        same = ["qid", "idx", "n_terms", "k", *keys, "col", (F.col("pos") - F.col("j")).alias("at")]
+        found = hits.groupBy(*same).agg(F.count("*").alias("m"), F.max("len").alias("len")).filter("m = k").withColumn("w", weight[F.col("col")])
+    hits = found.groupBy("qid", "idx", "n_terms", *keys).agg(F.sum("w").alias("f"), F.max("len").alias("len"))
+    return ranked(hits, keys, lengths(docs, keys, columns).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avgdl")))
+
+
+def ranked(hits: DataFrame, keys: list[str], corpus: DataFrame) -> DataFrame:
+    """Scores of hits (qid, idx, n_terms, keys, f: weighted times, len: tokens of the row); ``corpus``: one row, n_docs and avgdl."""
     df = hits.groupBy("qid", "idx").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, LEAST_IDF).otherwise(idf)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    scored = hits.join(df, ["qid", "idx"]).join(size, keys).crossJoin(F.broadcast(corpus))
+    scored = hits.join(F.broadcast(df), ["qid", "idx"]).crossJoin(F.broadcast(corpus))
     return scored.groupBy("qid", "n_terms", *keys).agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("matched"))
 
 
+# --- a stored index ------------------------------------------------------------------------------
+
+#: Partitions of the index, by the first character of a term.
+LEADS = 64
+INDEX = "term string, first int, rest int, len double, at array<int>, lead int"
+
+
+def index_rows(docs: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """keys and one row per term: how often the first column has it, how often the others, where (columns after one another, with a gap between), and the row's length."""
+    tokens = postings(docs, keys, columns, length=True)
+    gap = F.col("len").cast("int") + 1
+    place = F.coalesce(*[F.when(F.col("col") == c, i) for i, c in enumerate(columns)], F.lit(0))
+    first = (F.col("col") == columns[0]).cast("int")
+    rows = tokens.groupBy(*keys, "term").agg(F.sum(first).cast("int").alias("first"), F.sum(1 - first).cast("int").alias("rest"), F.max("len").alias("len"), F.sort_array(F.collect_list((F.col("pos") + gap * place).cast("int"))).alias("at"))
+    return rows.withColumn("lead", F.pmod(F.ascii("term"), F.lit(LEADS)).cast("int"))
+
+
+def synced(index: DataFrame, known: DataFrame, docs: DataFrame, keys: list[str], columns: list[str], current: DataFrame) -> DataFrame:
+    """The index brought up to date: rows of what is gone or changed go, what is new or changed is indexed; the rest is not looked at again.
+
+    ``known`` and ``current``: id and fingerprint then and now; ``id`` is the first of ``keys``.
+    """
+    same = current.join(known, ["id", "fingerprint"], "left_semi").select(F.col("id").alias(keys[0]))
+    fresh = docs.join(same, keys[0], "left_anti")
+    return index.join(same, keys[0], "left_semi").unionByName(index_rows(fresh, keys, columns))
+
+
+def from_index(index: DataFrame, keys: list[str], weights: tuple[float, float], spark: SparkSession, queries: list[tuple[int, str]], corpus: DataFrame) -> DataFrame:
+    """The scores that ``bm25`` gives, from an index: only the partitions and ranges of the queries' terms are read."""
+    terms = query_terms(spark, queries)
+    tokens = sorted({t for _, q in queries for w in words_of(q) for t in w})
+    if not tokens:
+        return ranked(spark.createDataFrame([], f"qid int, idx int, n_terms int, {', '.join(f'{f.name} {f.dataType.simpleString()}' for f in index.select(*keys).schema)}, f double, len double"), keys, corpus)
+    own = F.lit(False)
+    for t in tokens:
+        own = own | F.col("term").startswith(t)
+    rows = index.filter(F.col("lead").isin(sorted({ord(t[0]) % LEADS for t in tokens}))).filter(own).withColumnRenamed("term", "token")
+    hits = rows.join(F.broadcast(terms), _matches(F.col("token")))
+    f = F.sum(weights[0] * F.col("first") + weights[1] * F.col("rest"))
+    single = hits.filter("k = 1").groupBy("qid", "idx", "n_terms", *keys).agg(f.alias("f"), F.max("len").alias("len"))
+    if any(len(w) > 1 for _, q in queries for w in words_of(q)):
+        at = hits.filter("k > 1").select("qid", "idx", "n_terms", "k", "j", *keys, "len", F.explode("at").alias("at"))
+        whole = at.groupBy("qid", "idx", "n_terms", "k", *keys, (F.col("at") - F.col("j")).alias("at")).agg(F.count("*").alias("m"), F.max("len").alias("len")).filter("m = k")
+        # a phrase lies in the first column if it begins before the gap
+        weight = F.when(F.col("at") <= F.col("len"), weights[0]).otherwise(weights[1])
+        single = single.unionByName(whole.groupBy("qid", "idx", "n_terms", *keys).agg(F.sum(weight).alias("f"), F.max("len").alias("len")))
+    return ranked(single, keys, corpus)
+
+
 def all_or_any(scored: DataFrame) -> DataFrame:
     """Hits with all terms of their query; where there are none and there are several terms, those with any, as ``partial``."""
     both = F.max((F.col("matched") == F.col("n_terms")).cast("int")).over(Window.partitionBy("qid"))

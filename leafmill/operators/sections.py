@@ -87,18 +87,62 @@ def _pieces(text: str, most: int) -> list[str]:
     return out
 
 
-def split_giants(chapters: DataFrame, giant: int = GIANT, part: int = PART) -> DataFrame:
-    """Chapters above ``giant`` tokens in parts of about ``part``, titled ``(i/k)``; only those go through Python."""
-    large = F.col("tokens") > giant
-
-    @F.pandas_udf("array<string>")
-    def cut(text: pd.Series) -> pd.Series:
-        return text.map(lambda t: _pieces(t, part))
-
-    whole = chapters.filter(~large).withColumn("part", F.lit(None).cast("int"))
-    parts = chapters.filter(large).withColumn("pieces", cut("text")).select("*", F.posexplode("pieces").alias("i", "piece")).withColumn("k", F.size("pieces"))
-    title = F.when(F.col("k") > 1, F.format_string("%s (%d/%d)", "title", F.col("i") + 1, "k")).otherwise(F.col("title"))
-    parts = parts.select(*[c for c in chapters.columns if c not in ("title", "text", "tokens")], title.alias("title"), F.col("piece").alias("text"), word_count(F.col("piece")).alias("tokens"), F.when(F.col("k") > 1, F.col("i") + 1).alias("part"))
+def _headed(text: str) -> list[tuple[int, str, str]]:
+    """(depth, heading, text below it) of a Markdown text, what is before the first heading at depth 0; code is not looked into."""
+    out, fence = [[0, "", []]], ""
+    for block in text.split("\n\n"):
+        m = None if fence else re.fullmatch(r"(#{2,6}) (.*)", block)
+        if m:
+            out.append([len(m[1]) - 1, m[2], []])
+            continue
+        out[-1][2].append(block)
+        for line in block.split("\n"):
+            marks = re.match(r"`{3,}", line)
+            fence = "" if fence and line.strip() == fence else fence or (marks[0] if marks else "")
+    return [(d, h, "\n\n".join(t)) for d, h, t in out]
+
+
+def _by_headings(title: str, text: str, most: int) -> list[tuple[str, str]]:
+    """(title, text) of a chapter cut at its inner headings, no deeper than it takes for all to have ``most`` words."""
+    units = _headed(text)
+    found = [(title, text)]
+    for depth in sorted({d for d, _, _ in units[1:]}):
+        found = [(title, [])]
+        for d, head, body in units:
+            if 0 < d <= depth:
+                found.append((f"{title} · {head}", []))
+            elif d:
+                found[-1][1].append(f"{'#' * (d - depth + 1)} {head}")
+            if body:
+                found[-1][1].append(body)
+        found = [(t, "\n\n".join(b)) for t, b in found if b]
+        if all(len(b.split()) <= most for _, b in found):
+            break
+    return found
+
+
+def _cut(title: str, text: str, giant: int, part: int) -> list[dict]:
+    """The parts of a giant chapter: by inner headings, and what is still too long by size, titled ``(i/k)``."""
+    out = []
+    for own, body in _by_headings(title, text, giant):
+        pieces = _pieces(body, part) if len(body.split()) > giant else [body]
+        out += [{"title": f"{own} ({i}/{len(pieces)})" if len(pieces) > 1 else own, "text": p, "part": i if len(pieces) > 1 else None} for i, p in enumerate(pieces, 1)]
+    return out
+
+
+def split_giants(chapters: DataFrame, giant: int = GIANT, part: int = PART, limit: Column | None = None) -> DataFrame:
+    """Chapters above ``giant`` tokens (or ``limit``, if given) in parts; only those go through Python. ``i`` is a part's place in its chapter."""
+    limit = F.lit(giant) if limit is None else limit
+    large = F.col("tokens") > limit
+
+    @F.pandas_udf("array<struct<title:string,text:string,part:int>>")
+    def cut(title: pd.Series, text: pd.Series, most: pd.Series) -> pd.Series:
+        return pd.Series([_cut(a, b, int(m), part) for a, b, m in zip(title, text, most, strict=True)])
+
+    whole = chapters.filter(~large).withColumn("part", F.lit(None).cast("int")).withColumn("i", F.lit(0))
+    parts = chapters.filter(large).withColumn("pieces", cut("title", "text", limit.cast("int"))).select("*", F.posexplode("pieces").alias("i", "piece"))
+    rest = [c for c in chapters.columns if c not in ("title", "text", "tokens")]
+    parts = parts.select(*rest, F.col("piece.title").alias("title"), F.col("piece.text").alias("text"), word_count(F.col("piece.text")).alias("tokens"), F.col("piece.part").alias("part"), "i")
     return whole.unionByName(parts)
 
 

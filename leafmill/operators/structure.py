@@ -6,6 +6,8 @@ shuffle by doc serves all steps.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -53,7 +55,7 @@ def with_paths(blocks: DataFrame) -> DataFrame:
     return d.select(*blocks.columns, path.alias("path"), F.when(F.col("kind") == "heading", parent).alias("parent"))
 
 
-def chapters(blocks: DataFrame, cut: Column) -> DataFrame:
+def chapters(blocks: DataFrame, cut: Column, count: Callable[[Column], Column] = word_count) -> DataFrame:
     """doc, start, title, tokens, n_blocks of the chapters at level ``cut``, from blocks with paths.
 
     A heading begins a chapter if the section around it is above the cut; one above the cut without
@@ -65,26 +67,26 @@ def chapters(blocks: DataFrame, cut: Column) -> DataFrame:
     out = d.groupBy("doc", "start").agg(
         F.max(F.when(F.col("begins"), path_title(F.col("path")))).alias("title"),
         F.max(F.when(F.col("begins"), F.col("level") < F.col("cut"))).alias("above"),
-        F.sum(F.when(own, word_count(F.col("text"))).otherwise(0)).cast("bigint").alias("tokens"),
+        F.sum(F.when(own, count(F.col("text"))).otherwise(0)).cast("bigint").alias("tokens"),
         F.count_if(own).alias("n_blocks"),
     )
     return out.filter("NOT (above AND n_blocks = 0)").drop("above")
 
 
-def level_medians(blocks: DataFrame) -> DataFrame:
+def level_medians(blocks: DataFrame, count: Callable[[Column], Column] = word_count) -> DataFrame:
     """doc, cut (1 to 4), m: the median tokens of the chapters that each cut would make; one shuffle serves all cuts."""
     begins = {k: (F.col("kind") == "heading") & (F.col("parent") < k) for k in range(1, 5)}
     each = [F.struct(F.lit(k).alias("cut"), F.max(F.when(begins[k], F.col("pos"))).over(so_far()).alias("start"), begins[k].alias("begins"), (begins[k] & (F.col("level") < k)).alias("above")) for k in begins]
-    d = blocks.select("doc", word_count(F.col("text")).alias("t"), F.array(*each).alias("cuts")).select("doc", "t", F.explode("cuts").alias("c"))
+    d = blocks.select("doc", count(F.col("text")).alias("t"), F.array(*each).alias("cuts")).select("doc", "t", F.explode("cuts").alias("c"))
     own = ~F.col("c.begins")
     chapter = d.groupBy("doc", "c.cut", "c.start").agg(F.sum(F.when(own, F.col("t")).otherwise(0)).alias("tokens"), F.max("c.above").alias("above"), F.count_if(own).alias("n_blocks"))
     return chapter.filter("NOT (coalesce(above, false) AND n_blocks = 0)").groupBy("doc", "cut").agg(F.median("tokens").alias("m"))
 
 
-def cut_levels(blocks: DataFrame) -> DataFrame:
+def cut_levels(blocks: DataFrame, count: Callable[[Column], Column] = word_count) -> DataFrame:
     """doc and its cut level: from 2 deeper while chapters are long, to 1 if they are short at the start."""
     levels = blocks.filter("kind = 'heading'").groupBy("doc").agg(F.max("level").alias("deepest"))
-    m = level_medians(blocks).groupBy("doc").agg(*[F.max(F.when(F.col("cut") == k, F.col("m"))).alias(f"m{k}") for k in range(1, 5)]).join(levels, "doc")
+    m = level_medians(blocks, count).groupBy("doc").agg(*[F.max(F.when(F.col("cut") == k, F.col("m"))).alias(f"m{k}") for k in range(1, 5)]).join(levels, "doc")
     med_at = lambda k: F.coalesce(F.col(f"m{k}"), F.lit(0.0))
     start = F.least(F.lit(2), F.col("deepest"))
     at3 = F.when((med_at(3) > DEEPEN) & (F.col("deepest") >= 4), 4).otherwise(3)

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from leafmill import config
 from leafmill.library import Library
-from leafmill.operators import catalog
 from leafmill.plans.inline import Inline
 from leafmill.plans.texts import CASES, count_sql
 from leafmill.session import shared_dir, table
@@ -179,14 +178,6 @@ def _(spark, d):
     return read.select("path", "fmt", "status", F.substring_index("error", ":", 1).alias("error"), F.size("blocks").alias("n"))
 
 
-@add("s04_sync", "SELECT doc_id AS id, 'deleted' AS what FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'changed' FROM labels WHERE quality <> toxic")
-def _(spark, d):
-    labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality", "toxic")
-    gone = catalog.deleted(table(spark, d, "documents").select(F.col("doc_id").alias("id")), labels)
-    new = catalog.changed(labels.select("id", F.col("quality").cast("string").alias("fingerprint")), labels.select("id", F.col("toxic").cast("string").alias("fingerprint")))
-    return gone.select("id", F.lit("deleted").alias("what")).unionByName(new)
-
-
 @add("n03_controls", f"SELECT doc_id, {count_sql('text', '[' + chr(92) + 'x00-' + chr(92) + 'x08]')} AS n FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"[\x00-\x08]")).cast("bigint").alias("n"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import text as T
 from leafmill.operators import search, verify
 from leafmill.plans.texts import CANON_SQL
-from leafmill.session import table
+from leafmill.session import stored, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -147,6 +147,28 @@ def _(spark, d):
     return search.query_terms(spark, ASKED).select("qid", F.col("idx").cast("bigint").alias("idx"), "term")
 
 
+@add("s04_sync", f"SELECT book_id, token AS term, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id AS book_id, unnest({LIST('text')}) AS token FROM documents) GROUP BY ALL")
+def _(spark, d):
+    """An index of other texts, of which some are the same, is brought up to date: it then is that of the documents."""
+    docs = table(spark, d, "documents", spread=True).select(F.col("doc_id").alias("book_id"), F.lit("").alias("title"), "text")
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("book_id"), "toxic")
+    old = docs.join(labels, "book_id").withColumn("text", F.when(F.col("toxic") == 1, F.lit("another text")).otherwise(F.col("text")))
+    gone = spark.createDataFrame([(-1, "", "a book that is gone")], "book_id bigint, title string, text string")
+    old = old.select("book_id", "title", "text").unionByName(gone)
+    prints = lambda x: x.select(F.col("book_id").alias("id"), F.sha2("text", 256).alias("fingerprint"))
+    index = search.synced(search.index_rows(old, ["book_id"], ["title", "text"]), prints(old), docs, ["book_id"], ["title", "text"], prints(docs))
+    return index.select("book_id", "term", F.col("rest").cast("bigint").alias("n"))
+
+
+@add("s02_index", f"SELECT qid, book_id, score FROM {S_CHAPTERS}")
+def _(spark, d):
+    """The same scores from an index that is written and read again."""
+    docs = chapter_rows(spark, d)
+    index = stored(search.index_rows(docs, ["book_id"], ["title", "text"]), "index")
+    corpus = search.lengths(docs, ["book_id"], ["title", "text"]).agg(F.count("*").alias("n_docs"), F.avg("len").alias("avgdl"))
+    return search.from_index(index, ["book_id"], (5.0, 1.0), spark, ASKED, corpus).select("qid", "book_id", "score")
+
+
 @add("f19_stems", "SELECT * FROM (VALUES ('running', 'runn'), ('walks', 'walk'), ('книгами', 'книг'), ('as', 'as'), ('ties', 'ties')) AS v(word, stem)")
 def _(spark, d):
     return spark.createDataFrame([(w, search.light_stem(w)) for w in ("running", "walks", "книгами", "as", "ties")], "word string, stem string")
@@ -188,7 +210,7 @@ def attributed(spark: SparkSession, d: str) -> DataFrame:
     docs = chapter_rows(spark, d)
     forms = quotes.select("quote_id", F.posexplode(F.pandas_udf(_forms, "array<array<string>>")("quote")).alias("form", "words"))
     terms = forms.select(F.struct("quote_id", "form").alias("qid"), F.size("words").alias("n_terms"), F.posexplode("words").alias("idx", "word"))
-    terms = terms.select("qid", "idx", search.folded(F.col("word")).alias("term"), "n_terms")
+    terms = terms.select("qid", "idx", search.folded(F.col("word")).alias("term"), "n_terms")  # canonical tokens: one each
     found = search.bm25(docs, ["book_id"], {"title": 5.0, "text": 1.0}, terms, many=True)
     found = found.groupBy(F.col("qid.quote_id").alias("qid"), "book_id").agg(F.max("score").alias("score"))
     best = search.top(found, ["book_id"], verify.CANDIDATES).select(F.col("qid").alias("quote_id"), F.col("book_id").alias("key"))

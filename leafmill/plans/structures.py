@@ -210,7 +210,7 @@ def _(spark, d):
 def _(spark, d):
     rows = section_rows(spark)
     rows = sections.toc_flags(rows.filter(~sections.is_meta(F.col("text"), F.col("tokens")))).filter(~F.col("is_toc")).drop("is_toc")
-    rows = sections.not_empty(sections.split_giants(sections.merged_tiny(rows), 100, 60).drop("part"))
+    rows = sections.not_empty(sections.split_giants(sections.merged_tiny(rows), 100, 60).drop("part", "i"))
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("n", "title"))).select("doc", "n", "title", "tokens")
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import signal
 import threading
+import unicodedata
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -55,7 +56,9 @@ def _one(path: str, content: bytes | None, sha: str) -> dict:
         with limited(SECONDS):
             raw = READERS[row["fmt"]](content)
         row |= {"status": "read", "title": raw.title, "author": raw.author, "lang": raw.lang, "ref_text": raw.ref_text, "unknown_tags": raw.unknown_tags}
-        row["blocks"] = [{"pos": k, "kind": b.kind, "level": b.level, "text": b.text} for k, b in enumerate(raw.blocks)]
+        composed = lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x)
+        row |= {"title": composed(raw.title), "author": composed(raw.author)}
+        row["blocks"] = [{"pos": k, "kind": b.kind, "level": b.level, "text": composed(b.text)} for k, b in enumerate(raw.blocks)]
     except Unknown as e:
         row |= {"status": "skipped", "error": f"Unknown: {e}"}
     except Exception as e:  # one bad file never ends a batch
@@ -68,23 +71,26 @@ NAMES = ("path", "sha256", "fmt", "status", "error", "title", "author", "lang",
 TOGETHER = 4 << 20
 
 
-def _all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _all(batches: Iterator[pd.DataFrame], content: bool) -> Iterator[pd.DataFrame]:
+    names = [*NAMES, *["content"] * content]
     for batch in batches:
         rows, size = [], 0
         for r in batch.itertuples():
-            content = None if r.content is None else bytes(r.content)
-            rows.append(_one(r.path, content, r.sha256))
-            size += len(content or b"")
+            raw = None if r.content is None else bytes(r.content)
+            rows.append(_one(r.path, raw, r.sha256) | {"content": raw})
+            size += len(raw or b"")
             if size >= TOGETHER:
-                yield pd.DataFrame(rows, columns=NAMES)
+                yield pd.DataFrame(rows, columns=names)
                 rows, size = [], 0
         if rows:
-            yield pd.DataFrame(rows, columns=NAMES)
+            yield pd.DataFrame(rows, columns=names)
 
 
-def extract(files: DataFrame) -> DataFrame:
+def extract(files: DataFrame, content: bool = False) -> DataFrame:
+    """One row per file, with its bytes if asked for. Blocks, titles and authors are in composed form (NFC)."""
     small = F.when(F.octet_length("content") <= MOST_BYTES, F.col("content"))
-    return files.select("path", small.alias("content"), F.sha2("content", 256).alias("sha256")).mapInPandas(_all, SCHEMA)
+    rows = files.select("path", small.alias("content"), F.sha2("content", 256).alias("sha256"))
+    return rows.mapInPandas(lambda batches: _all(batches, content), SCHEMA + ", content binary" * content)
 
 
 def files(spark: SparkSession, *paths: str) -> DataFrame:

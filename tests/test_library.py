@@ -142,3 +142,80 @@ def test_command_line(library, spark, capsys):
     assert main([*base, "info", "nobody"], spark) == 1
     assert main(["nonsense"], spark) == 2
     assert "novel" in capsys.readouterr().out
+
+
+def test_markdown(library):
+    text = library.get_chapters("notes", spec="1-2")["text"]
+    assert "\n\n- a link\n- b\n\n```\ncode\n```" in text and "> quoted words" in text
+
+
+def test_hyphens_and_marks(spark, tmp_path):
+    lib = Library(spark, str(tmp_path / "lib"))
+    (tmp_path / "a.txt").write_text("Chapter 1\n\n" + "A well-known harbour, they said, and well they might. " * 30 + "\n\nChapter 2\n\n" + "It was known as well as any other place by the sea. " * 30)
+    lib.ingest(str(tmp_path / "a.txt"))
+    at = lambda q: [r.n for r in lib.find(q).collect() if r.src == "chapter"]
+    assert at("well-known") == [1] and at("harbour,") == [1] and at("«harbour»") == [1] and sorted(at("well known")) == [1, 2] and at("— !") == []
+
+
+def test_index(spark, tmp_path, sources):
+    """The stored index gives the scores of the texts, reads only its terms' partitions, and follows what changes."""
+    from pyspark.sql import functions as F
+
+    from leafmill.operators import search
+
+    lib = Library(spark, str(tmp_path / "lib"))
+    lib.ingest(str(sources / "novel.txt"), str(sources / "light.epub"))
+    before = {p.name for p in lib._parts()}
+    lib.ingest(str(sources / "notes.md"))
+    assert before < {p.name for p in lib._parts()} and len(lib._parts()) == 2  # added to, not written anew
+    lib.remove("novel")
+    queries = [(0, "clocks striking"), (1, "lamp"), (2, "harbour")]
+    direct = search.bm25(lib.table("chapters"), ["book", "n"], {"title": 5.0, "text": 1.0}, search.query_terms(spark, queries))
+    indexed = lib._scored(queries)
+    assert sorted(map(tuple, indexed.collect())) == sorted(map(tuple, direct.collect())) and not indexed.filter("book = 'novel'").count()
+    assert lib.table("index").select("book", "n", "term").distinct().count() == lib.table("index").count()
+    plan = indexed._jdf.queryExecution().toString()
+    filters = [x for x in plan.split("\n") if "PartitionFilters" in x and "lead#" in x]
+    assert filters and all("lead#" in x.split("PartitionFilters")[1] and "StringStartsWith(term" in x for x in filters), filters
+    import leafmill.library as module
+
+    module.MOST_PARTS, most = 3, module.MOST_PARTS
+    try:
+        lib.ingest(str(sources / "novel.txt"))
+    finally:
+        module.MOST_PARTS = most
+    assert len(lib._parts()) == 1 and lib.table("books").count() == 3 and lib.table("outcomes").count() == 4
+    assert [r.id for r in lib.find("harbour ships").collect()][0] == "novel"
+    assert lib.table("sources").select(F.count("*")).first()[0] == 3
+
+
+def test_stale_lock(spark, tmp_path):
+    import os
+    import time
+
+    lib = Library(spark, str(tmp_path))
+    (tmp_path / "writer.lock").write_text("dead writer")
+    os.utime(tmp_path / "writer.lock", (time.time() - 7 * 3600,) * 2)
+    with lib.lock():
+        assert lib._held()
+    assert not (tmp_path / "writer.lock").exists()
+
+
+def test_tokens(spark, sources, tmp_path):
+    import public_tokenizers
+    import tiktoken
+
+    from leafmill.functions import tokens
+    from pyspark.sql import functions as F
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokens.encoder(path)._mergeable_ranks, special_tokens={})
+    texts = ["Hello, it's a well-known text.", None, "", "Жила была щука 12345  \n x"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", tokens.counter(path)(F.col("t")).alias("n")).collect()
+    assert {r.t: r.n for r in got} == {t: len(enc.encode_ordinary(t or "")) for t in texts}
+    settings = tmp_path / "own.toml"
+    settings.write_text(f'[tokens]\nranks = "{path}"\n')
+    lib = Library(spark, str(tmp_path / "lib"), config.load(str(settings)))
+    lib.ingest(str(sources / "novel.txt"))
+    rows = lib.table("chapters").collect()
+    assert [r.tokens for r in rows] == [len(enc.encode_ordinary(r.text)) for r in rows]
