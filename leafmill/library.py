@@ -186,7 +186,7 @@ class Library:
     def _ingest(self, files: DataFrame, force: bool) -> DataFrame:
         files = files.withColumn("key", self.cache_key(F.sha2("content", 256)))
         known = self.table("books").filter(F.lit(not force)).select(F.col("cache_key").alias("key"), F.col("id").alias("known_id"))
-        fresh = files.join(known, "key", "left_anti")
+        fresh = catalog.fresh(files, known)
         done = files.select("path", "key").join(known, "key").select("path", F.col("known_id").alias("id"), F.lit("skipped").alias("status"), F.lit(None).cast("double").alias("score"), F.lit("already in the library").alias("error"))
         # the bytes are read once: extraction hands them on with what it has read
         read = stored(extract.extract(fresh, content=True), "extracted")
@@ -321,12 +321,11 @@ class Library:
         words = [t.canon for t in verify.normalized(quote)]
         strong = [w for w in words if w not in T.STOP_WORDS]
         chapters = self.table("chapters")
-        if not words:
-            raise ValueError("the quote is empty")
+        refused = verify.refusal(quote)
+        if refused and (not words or not book):
+            raise ValueError(f"{refused}: it can't be looked for" + " in all books; name one" * bool(words))
         if book:
             pairs = chapters.filter(F.col("book") == book)
-        elif len(strong) < verify.LEAST_SIGNIFICANT:
-            raise ValueError("the quote is too short to look for in all books; name one")
         else:
             forms = [" ".join(v) for v in search.yo_variants(strong)]
             found = self._scored(list(enumerate(forms))).groupBy("book", "n").agg(F.max("score").alias("score")).withColumn("qid", F.lit(0))

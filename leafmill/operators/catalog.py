@@ -84,6 +84,11 @@ def deleted(known: DataFrame, current: DataFrame) -> DataFrame:
     return known.select("id").join(current.select("id"), "id", "left_anti")
 
 
+def fresh(files: DataFrame, known: DataFrame) -> DataFrame:
+    """Files whose ``key`` isn't known."""
+    return files.join(known.select("key"), "key", "left_anti")
+
+
 def changed(current: DataFrame, known: DataFrame) -> DataFrame:
     """Current ids whose fingerprint isn't the known one, null meaning new."""
     old = known.select("id", F.col("fingerprint").alias("old"))

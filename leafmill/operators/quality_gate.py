@@ -17,20 +17,27 @@ SHORT_OK = ("—", "–", "*", "―")
 MOJIBAKE = ("Ñ",)
 
 
+def lone_numbers(bare: Column) -> Column:
+    """The trimmed lines that are a number between blank lines, or the text's ends."""
+    blank = lambda i: F.coalesce(F.get(bare, i), F.lit("")) == ""
+    return F.transform(bare, lambda s, i: s.rlike("^[0-9]{1,4}$") & blank(i - 1) & blank(i + 1))
+
+
+def trimmed_lines(text: Column) -> Column:
+    return F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", ""))
+
+
 def line_counts(text: Column) -> Column:
     """struct(lines, garbage, residue) of one text: lines of one or two characters, lone numbers, hyphens left at line ends."""
-    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^[ \t\r]+|[ \t\r]+$", ""))
     short = lambda s: (F.length(s) <= 2) & ~s.isin(*SHORT_OK)
 
     def counted(bare: Column) -> Column:
-        blank = lambda i: F.coalesce(F.get(bare, i), F.lit("")) == ""
-        alone = lambda s, i: s.rlike("^[0-9]{1,4}$") & blank(i - 1) & blank(i + 1)
-        garbage = F.filter(bare, lambda s, i: (s != "") & (short(s) | alone(s, i)))
+        garbage = F.filter(F.arrays_zip(bare.alias("s"), lone_numbers(bare).alias("lone")), lambda x: (x["s"] != "") & (short(x["s"]) | x["lone"]))
         residue = F.filter(bare, lambda s: s.rlike(r"\p{L}-$"))
         return F.struct(F.size(F.filter(bare, lambda s: s != "")).cast("bigint").alias("lines"), F.size(garbage).cast("bigint").alias("garbage"), F.size(residue).cast("bigint").alias("residue"))
 
     # the lines are bound by a function of one argument, so that they are made once and not for every line again
-    return F.get(F.transform(F.array(lines), counted), 0)
+    return F.get(F.transform(F.array(trimmed_lines(text)), counted), 0)
 
 
 def bad_chars(text: Column) -> Column:

@@ -6,16 +6,21 @@ import io
 import json
 import uuid
 import zipfile
+from collections.abc import Callable
+from html import escape
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill import config
-from leafmill.library import Library
+from leafmill.functions import text as T
+from leafmill.library import VERSION, Library
+from leafmill.operators import catalog
 from leafmill.plans.inline import Inline
-from leafmill.plans.texts import CASES, count_sql
+from leafmill.plans.texts import CONTROL_SQL, count_sql
 from leafmill.session import shared_dir, table
-from leafmill.sources import extract
+from leafmill.sources import decode, detect, extract
 
 QUERIES, ORACLES = {}, {}
 
@@ -34,35 +39,40 @@ def add(name: str, duck: str | None = None, *others: str):
 LEAD = r"(?s)^(\s+|<\?.*?\?>|<!--.*?-->)+"
 
 
-def first_tag(c: Column) -> Column:
-    """Name of the first element after white space, instructions and comments."""
-    return F.lower(F.regexp_extract(F.regexp_replace(c, LEAD, ""), r"(?i)^<(!doctype\s+)?([a-z][a-z0-9:._-]*)", 2))
+def as_files(df: DataFrame, key: str, text: str, suffix: str) -> DataFrame:
+    return df.select(F.concat(F.lit("in/"), F.col(key).cast("string"), F.lit(suffix)).alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
+def mapped(f: Callable, kind: str) -> Callable:
+    """A function of one value as an Arrow function of a column."""
+    return F.pandas_udf(lambda x: x.map(f), kind)
 
 
-@add("src03_first_tag", rf"SELECT page_id, lower(regexp_extract(regexp_replace(html, '{LEAD}', ''), '(?i)^<(!doctype\s+)?([a-z][a-z0-9:._-]*)', 2)) AS tag FROM pages", "src01_detect")
+@add("src03_first_tag", rf"SELECT page_id, lower(regexp_extract(regexp_replace(html, '{LEAD}', ''), '(?i)^<(!doctype\s+)?([a-z][a-z0-9:._-]*)', 2)) AS tag FROM pages")
 def _(spark, d):
-    return table(spark, d, "pages").select("page_id", first_tag(F.col("html")).alias("tag"))
+    return table(spark, d, "pages").select("page_id", mapped(lambda x: detect.first_tag((x or "").encode()), "string")("html").alias("tag"))
 
 
-@add("src04_texty", f"SELECT doc_id, {count_sql('text', '[' + chr(92) + 'x00-' + chr(92) + 'x08' + chr(92) + 'x0E-' + chr(92) + 'x1F' + chr(92) + 'x7F]')} * 100 < greatest(1, length(text)) AS texty FROM documents")
+@add("src01_detect", rf"SELECT 'in/' || page_id || '.html' AS path, CASE WHEN lower(regexp_extract(regexp_replace(html, '{LEAD}', ''), '(?i)^<(!doctype\s+)?([a-z][a-z0-9:._-]*)', 2)) IN ('html', 'head', 'body') THEN 'html' END AS fmt FROM pages")
 def _(spark, d):
-    bad = F.regexp_count("text", F.lit(r"[\x00-\x08\x0E-\x1F\x7F]"))
-    return table(spark, d, "documents").select("doc_id", (bad * 100 < F.greatest(F.lit(1), F.length("text"))).alias("texty"))
+    return extract.extract(as_files(table(spark, d, "pages", spread=True), "page_id", "html", ".html")).select("path", "fmt")
 
 
-@add("src05_size_limit", "SELECT doc_id FROM documents WHERE strlen(text) <= 4096")
+@add("src04_texty", f"SELECT doc_id, {count_sql('text', '[' + chr(92) + 'x00-' + chr(92) + 'x08' + chr(92) + 'x0B' + chr(92) + 'x0E-' + chr(92) + 'x1F' + chr(92) + 'x7F' + chr(92) + 'x{0080}-' + chr(92) + 'x{009F}]')} * 100 < greatest(1, length(text)) AS texty FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").filter(F.octet_length("text") <= 4096).select("doc_id")
+    return table(spark, d, "documents").select("doc_id", mapped(decode.texty, "boolean")("text").alias("texty"))
 
 
-@add("src07_txt_paragraphs", rf"WITH t AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -CAST(id AS BIGINT), text FROM {CASES.sql}), p AS (SELECT id, string_split_regex(text, '\n[ \t]*\n') AS l FROM t) SELECT id, CAST(unnest(range(len(l))) AS BIGINT) AS pos, length(unnest(l)) AS n FROM p")
+@add("src05_size_limit", "SELECT 'in/' || doc_id || '.txt' AS path FROM documents WHERE strlen(text) <= 4096")
 def _(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").union(CASES.df(spark).select((-F.col("id")).cast("bigint"), "text"))
-    return docs.select("id", F.posexplode(F.split("text", "\n[ \\t]*\n")).alias("pos", "p")).select("id", F.col("pos").cast("bigint").alias("pos"), F.length("p").cast("bigint").alias("n"))
+    read = extract.extract(as_files(table(spark, d, "documents", spread=True), "doc_id", "text", ".txt"), most=4096)
+    return read.filter(~F.contains(F.coalesce("error", F.lit("")), F.lit("size limit"))).select("path")
 
 
-def as_files(df: DataFrame, key: str, text: str, suffix: str) -> DataFrame:
-    return df.select(F.concat(F.lit("in/"), F.col(key).cast("string"), F.lit(suffix)).alias("path"), F.encode(text, "UTF-8").alias("content"))
+@add("src07_txt_paragraphs", rf"SELECT 'in/' || doc_id || '.txt' AS path, CAST(len(list_filter(string_split_regex(text, '\n[ \t]*\n'), lambda p: regexp_matches(p, '[^ \t\n\r]'))) AS BIGINT) AS n FROM (SELECT doc_id, text || chr(10) || ' ' || chr(10) || 'second' || chr(10) || 'part' AS text FROM documents)")
+def _(spark, d):
+    docs = table(spark, d, "documents", spread=True).withColumn("text", F.concat("text", F.lit("\n \nsecond\npart")))
+    return extract.extract(as_files(docs, "doc_id", "text", ".txt")).select("path", F.size("blocks").cast("bigint").alias("n"))
 
 
 @add("src19_html_blocks", None, "src20_html_main", "src24_markup", "src06_dispatch")
@@ -84,16 +94,23 @@ def _(spark, d):
     return read.select("path", "status", F.sha2("ref_text", 256).alias("sha"))
 
 
-@add("src15_nav_titles", "SELECT source AS href, min(doc_id) AS first_doc, CAST(count(*) AS BIGINT) AS n FROM documents GROUP BY source")
-def _(spark, d):
-    return table(spark, d, "documents").groupBy(F.col("source").alias("href")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
+def epub_of(text: str, first: str, second: str) -> bytes:
+    """A book of two files without headings; its table of contents names them."""
+    page = f"<html><body><p>{escape(text or '')}</p></body></html>"
+    point = lambda title, href: f"<navPoint><navLabel><text>{escape(title)}</text></navLabel><content src='{href}'/></navPoint>"
+    return zipped({
+        "mimetype": "application/epub+zip", "META-INF/container.xml": '<container><rootfile full-path="O/b.opf"/></container>',
+        "O/b.opf": '<package><metadata><title>B</title></metadata><manifest><item id="n" href="t.ncx" media-type="application/x-dtbncx+xml"/><item id="x" href="x.html"/><item id="y" href="y.html"/></manifest><spine><itemref idref="x"/><itemref idref="y"/></spine></package>',
+        "O/t.ncx": f"<ncx><navMap>{point(first, 'x.html')}{point(second, 'y.html#p')}{point('again', 'y.html')}</navMap></ncx>", "O/x.html": page, "O/y.html": page,
+    })
 
 
-@add("src16_file_titles", "SELECT d.doc_id, coalesce(CASE WHEN quality = 1 THEN 'labelled' END, nullif(left(string_split(text, chr(10))[1], 60), ''), source) AS title FROM documents d LEFT JOIN labels l USING (doc_id)")
+@add("src15_nav_titles", "SELECT 'in/' || doc_id || '.epub' AS path, source || '|' || lang AS titles FROM documents", "src16_file_titles")
 def _(spark, d):
-    labels = table(spark, d, "labels").filter("quality = 1").select("doc_id", F.lit("labelled").alias("nav"))
-    first = F.nullif(F.substring(F.split("text", "\n")[0], 1, 60), F.lit(""))
-    return table(spark, d, "documents").join(labels, "doc_id", "left").select("doc_id", F.coalesce("nav", first, "source").alias("title"))
+    build = F.pandas_udf(lambda t, a, b: pd.Series([epub_of(*x) for x in zip(t, a, b, strict=True)]), "binary")
+    books = table(spark, d, "documents", spread=True).select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".epub")).alias("path"), build("text", "source", "lang").alias("content"))
+    heads = F.filter("blocks", lambda b: b["kind"] == "heading")
+    return extract.extract(books).select("path", F.array_join(F.transform(heads, lambda b: b["text"]), "|").alias("titles"))
 
 
 JSON = Inline("id int, raw string", [(1, '{"id": "a", "n": 2}'), (2, '{"id": "b"'), (3, '{"id": "c", "n": 5}'), (4, "nonsense"), (5, '{"id": "e", "n": 0}')])
@@ -118,11 +135,11 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.to_json(F.struct(F.col("source").alias("author"), F.col("doc_id").alias("id"), "lang", "n_chars")).alias("json"))
 
 
-@add("e03_cache_skip", "SELECT doc_id, sha256(text) || ':2.4' AS key FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id))")
+@add("e03_cache_skip", f"SELECT doc_id, sha256(text) || ':{VERSION}:{config.digest(config.load())}' AS key FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents JOIN labels USING (doc_id))")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.concat(F.sha2("text", 256), F.lit(":2.4")).alias("key"))
-    known = docs.join(table(spark, d, "labels"), "doc_id").select("key")
-    return docs.join(known, "key", "left_anti").select("doc_id", "key")
+    lib = Library(spark, "unused")
+    docs = table(spark, d, "documents").select("doc_id", lib.cache_key(F.sha2("text", 256)).alias("key"))
+    return catalog.fresh(docs, docs.join(table(spark, d, "labels"), "doc_id").select("key")).select("doc_id", "key")
 
 
 @add("e08_config_hash", f"SELECT sha256('{json.dumps(config.load(), sort_keys=True)}') AS hash")
@@ -178,6 +195,6 @@ def _(spark, d):
     return read.select("path", "fmt", "status", F.substring_index("error", ":", 1).alias("error"), F.size("blocks").alias("n"))
 
 
-@add("n03_controls", f"SELECT doc_id, {count_sql('text', '[' + chr(92) + 'x00-' + chr(92) + 'x08]')} AS n FROM documents")
+@add("n03_controls", f"SELECT doc_id, {count_sql('text', CONTROL_SQL)} AS n FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit(r"[\x00-\x08]")).cast("bigint").alias("n"))
+    return table(spark, d, "documents").select("doc_id", T.control_count(F.col("text")).alias("n"))

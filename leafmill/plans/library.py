@@ -9,7 +9,7 @@ from leafmill.functions import text as T
 from leafmill.operators import catalog, render
 from leafmill.plans.inline import Inline
 from leafmill.plans.reads import turns
-from leafmill.plans.texts import TOKENS_SQL, slug_sql
+from leafmill.plans.texts import CUT_SQL, TOKENS_SQL, slug_sql
 from leafmill.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -24,7 +24,7 @@ def add(name: str, duck: str):
 
 
 CHAPTERS = r"(SELECT conv_id AS book, turn AS n, role AS title, text, CAST(coalesce(len(regexp_extract_all(text, '[^ \t\n\r]+')), 0) AS BIGINT) AS tokens FROM conversations)"
-BOOKS = "(SELECT doc_id AS id, left(text, 40) AS title, source AS author, sha256(text) AS sha256, sha256(text || ':2.4') AS cache_key, CASE WHEN n_chars < 400 THEN 'review' ELSE 'ok' END AS status, CAST(least(1.0, n_chars / CAST(2000 AS DOUBLE)) AS DOUBLE) AS score FROM documents)"
+BOOKS = "(SELECT doc_id AS id, source || ' ' || CAST(doc_id AS VARCHAR) AS title, source AS author, sha256(text) AS sha256, sha256(text || ':2.4') AS cache_key, CASE WHEN n_chars < 400 THEN 'review' ELSE 'ok' END AS status, CAST(least(1.0, n_chars / CAST(2000 AS DOUBLE)) AS DOUBLE) AS score FROM documents)"
 
 
 def chapters(spark: SparkSession, d: str) -> DataFrame:
@@ -34,7 +34,7 @@ def chapters(spark: SparkSession, d: str) -> DataFrame:
 def books(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(
         F.col("doc_id").alias("id"),
-        F.substring("text", 1, 40).alias("title"),
+        F.concat_ws(" ", "source", F.col("doc_id").cast("string")).alias("title"),
         F.col("source").alias("author"),
         F.sha2("text", 256).alias("sha256"),
         F.sha2(F.concat("text", F.lit(":2.4")), 256).alias("cache_key"),
@@ -48,9 +48,9 @@ def _(spark, d):
     return catalog.listing(books(spark, d), chapters(spark, d).drop("title"))
 
 
-@add("a02_turn_listing", f"SELECT book, n, title, tokens, left(text, 60) AS summary FROM {CHAPTERS}")
+@add("a02_turn_listing", f"SELECT book, n, title, tokens, {CUT_SQL} AS summary FROM {CHAPTERS}")
 def _(spark, d):
-    return chapters(spark, d).select("book", "n", "title", "tokens", F.substring("text", 1, 60).alias("summary"))
+    return chapters(spark, d).select("book", "n", "title", "tokens", T.cut_300(F.col("text")).alias("summary"))
 
 
 @add("a03_book_lookup", f"SELECT id, title, author, status FROM {BOOKS} WHERE id = 7")
@@ -170,14 +170,14 @@ def _(spark, d):
     return pages.join(nav, "source", "left").select("page_id", "titles", "first_title")
 
 
-ID_SOURCES = f"(SELECT sha256(text) AS sha256, {slug_sql('left(text, 25)', 60)} AS slug FROM documents)"
-ID_BOOKS = f"(SELECT {slug_sql('left(text, 25)', 60)} AS id, min(sha256(text)) AS sha256 FROM documents d JOIN labels l USING (doc_id) GROUP BY 1)"
+ID_SOURCES = f"(SELECT sha256(text) AS sha256, {slug_sql('text', 60)} AS slug FROM documents)"
+ID_BOOKS = f"(SELECT {slug_sql('text', 60)} AS id, min(sha256(text)) AS sha256 FROM documents d JOIN labels l USING (doc_id) GROUP BY 1)"
 
 
 @add("j10_identity", f"WITH same AS (SELECT sha256, min(id) AS same_id FROM {ID_BOOKS} GROUP BY 1) SELECT s.sha256, s.slug, CASE WHEN same_id IS NOT NULL THEN same_id WHEN b.sha256 IS NULL OR b.sha256 = s.sha256 THEN s.slug ELSE s.slug || '-' || left(s.sha256, 6) END AS id FROM {ID_SOURCES} s LEFT JOIN same USING (sha256) LEFT JOIN {ID_BOOKS} b ON b.id = s.slug")
 def _(spark, d):
     docs = table(spark, d, "documents")
-    named = docs.select("doc_id", F.sha2("text", 256).alias("sha256"), T.slug(F.substring("text", 1, 25), 60).alias("slug"))
+    named = docs.select("doc_id", F.sha2("text", 256).alias("sha256"), T.slug(F.col("text"), 60).alias("slug"))
     known = named.join(table(spark, d, "labels"), "doc_id").groupBy(F.col("slug").alias("id")).agg(F.min("sha256").alias("sha256"))
     return catalog.identities(named.select("sha256", "slug"), known)
 
@@ -252,9 +252,9 @@ def _(spark, d):
 
 QUERIES["snk8_file_name"] = lambda spark, d: table(spark, d, "documents").select(
     "doc_id",
-    render.file_name(F.pmod("doc_id", F.lit(1000)), F.when(F.col("lang") == "en", F.concat(F.substring("text", 1, 60), F.lit(" (2/3)"))).otherwise(F.substring("text", 1, 60)), F.when(F.col("lang") == "en", 2)).alias("name"),
+    render.file_name(F.pmod("doc_id", F.lit(1000)), F.when(F.col("lang") == "en", F.concat(F.col("text"), F.lit(" (2/3)"))).otherwise(F.col("text")), F.when(F.col("lang") == "en", 2)).alias("name"),
 )
-ORACLES["snk8_file_name"] = f"SELECT doc_id, lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || '-' || {slug_sql('left(text, 60)', 50)} || CASE WHEN lang = 'en' THEN '-p2' ELSE '' END || '.md' AS name FROM documents"
+ORACLES["snk8_file_name"] = f"SELECT doc_id, lpad(CAST(doc_id % 1000 AS VARCHAR), 3, '0') || '-' || {slug_sql('text', 50)} || CASE WHEN lang = 'en' THEN '-p2' ELSE '' END || '.md' AS name FROM documents"
 
 _body = f"CASE kind WHEN 'heading' THEN repeat('#', least(6, coalesce(level, 1) + 1)) || ' ' || text WHEN 'list_item' THEN '- ' || text WHEN 'quote' THEN '> ' || replace(text, chr(10), chr(10) || '> ') WHEN 'table' THEN {_table} WHEN 'code' THEN {_fence} || chr(10) || text || chr(10) || {_fence} ELSE text END"
 ORACLES["snk5_render"] = f"""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
 from leafmill.operators import search, verify
-from leafmill.plans.texts import CANON_SQL
+from leafmill.plans.texts import CANON_SQL, STOP_SQL
 from leafmill.session import stored, table
 
 QUERIES, ORACLES = {}, {}
@@ -31,7 +31,7 @@ FOLD = lambda x: f"translate(lower({x}), '{search.ACCENTED}', '{search.PLAIN}')"
 TERMS = f"(SELECT qid, idx, {FOLD('word')} AS term, n_terms FROM (VALUES {_rows}) AS v(qid, idx, word, n_terms))"
 LIST = lambda c: rf"regexp_extract_all({FOLD(c)}, '[\p{{L}}\p{{N}}]+')"
 CHAPTER_ROWS = "(SELECT doc_id AS book_id, source AS title, text FROM documents)"
-BOOK_ROWS = "(SELECT doc_id AS book_id, left(text, 80) AS title, source AS author FROM documents)"
+BOOK_ROWS = "(SELECT doc_id AS book_id, text AS title, source AS author FROM documents)"
 
 
 def bm25_sql(rows: str, weights: dict[str, float]) -> str:
@@ -56,7 +56,7 @@ def chapter_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def book_rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.substring("text", 1, 80).alias("title"), F.col("source").alias("author"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("book_id"), F.col("text").alias("title"), F.col("source").alias("author"))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -131,9 +131,9 @@ def _(spark, d):
     return search.phrases(search.postings(chapter_rows(spark, d), ["book_id"], ["text"]), ["book_id"], ["licensed", "under", "c"])
 
 
-@add("s10_highlight", r"SELECT doc_id, regexp_replace(left(text, 200), '(^|[^\p{L}\p{N}])((?i:the)[\p{L}\p{N}]*)', '\1«\2»', 'g') AS marked FROM documents")
+@add("s10_highlight", r"SELECT doc_id, regexp_replace(text, '(^|[^\p{L}\p{N}])((?i:the)[\p{L}\p{N}]*)', '\1«\2»', 'g') AS marked FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", search.highlight(F.substring("text", 1, 200), "the").alias("marked"))
+    return table(spark, d, "documents").select("doc_id", search.highlight(F.col("text"), "the").alias("marked"))
 
 
 @add("s09_snippets")
@@ -236,13 +236,13 @@ def _(spark, d):
     return attributed(spark, d).select("key", "quote_id", F.size("diff").alias("n"), F.to_json("diff").alias("diff"))
 
 
-@add("v11_null_verdicts", rf"SELECT item_id, CASE WHEN len(regexp_extract_all(text, '[^ \t\n\r]+')) = 0 THEN 'empty quote' WHEN len(regexp_extract_all(text, '[^ \t\n\r]+')) < {verify.LEAST_SIGNIFICANT} THEN 'too short' END AS message FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT -1, ' ' UNION ALL SELECT -2, 'two words')")
-def _(spark, d):
-    from leafmill.functions.text import word_count
+_strong = f"len(list_filter(string_split(canon, ' '), lambda x: x NOT IN ({STOP_SQL})))"
+
 
-    rows = table(spark, d, "benchmark").select("item_id", "text").union(spark.createDataFrame([(-1, " "), (-2, "two words")], "item_id bigint, text string"))
-    n = word_count(F.col("text"))
-    return rows.select("item_id", F.when(n == 0, "empty quote").when(n < verify.LEAST_SIGNIFICANT, "too short").alias("message"))
+@add("v11_null_verdicts", f"SELECT item_id, CASE WHEN canon = '' THEN 'empty quote' WHEN {_strong} < {verify.LEAST_SIGNIFICANT} THEN 'too short' END AS message FROM (SELECT item_id, {CANON_TEXT('text')} AS canon FROM (SELECT item_id, text FROM benchmark UNION ALL SELECT -1, ' ' UNION ALL SELECT -2, 'two words' UNION ALL SELECT -3, 'the of and to be'))")
+def _(spark, d):
+    rows = table(spark, d, "benchmark").select("item_id", "text").union(spark.createDataFrame([(-1, " "), (-2, "two words"), (-3, "the of and to be")], "item_id bigint, text string"))
+    return rows.select("item_id", F.pandas_udf(lambda q: q.map(verify.refusal), "string")("text").alias("message"))
 
 
 for alias, of in {"v03_window_candidates": "w14_windows", "v12_batch_attribution": "v10_attribution", "v08_passages": "v10_attribution", "m04_ratio": "v05_similarity"}.items():

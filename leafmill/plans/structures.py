@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
-from leafmill.operators import quality_gate, sections, structure
+from leafmill.operators import quality_gate, sections, structure, verify
 from leafmill.plans.inline import Inline
 from leafmill.plans.library import chapters
-from leafmill.plans.texts import CONTROL_SQL, collapse_sql, count_sql, fold_sql
+from leafmill.plans.texts import CANON_LIST_SQL, CONTROL_SQL, collapse_sql, count_sql, fold_sql
 from leafmill.session import table
 
 QUERIES, ORACLES = {}, {}
@@ -214,25 +216,34 @@ def _(spark, d):
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("doc").orderBy("n", "title"))).select("doc", "n", "title", "tokens")
 
 
-@add("w06_lone_numbers", "WITH l AS (SELECT doc, pos, trim(text) AS s FROM " + LINES + "), w AS (SELECT *, coalesce(lag(s) OVER o, '') AS a, coalesce(lead(s) OVER o, '') AS b FROM l WINDOW o AS (PARTITION BY doc ORDER BY pos)) SELECT doc, CAST(count(*) FILTER (WHERE regexp_matches(s, '^[0-9]{1,4}$') AND a = '' AND b = '') AS BIGINT) AS lone FROM w GROUP BY doc")
+_more = "text || chr(10) || chr(10) || '12' || chr(10) || chr(10) || 'x' || chr(10) || '7' || chr(10) || ' 1999 '"
+_lines = rf"list_transform(string_split({_more}, chr(10)), lambda x: regexp_replace(x, '^[ \t\r]+|[ \t\r]+$', '', 'g'))"
+
+
+@add("w06_lone_numbers", f"SELECT doc_id, CAST(len(list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '^[0-9]{{1,4}}$') AND (i = 1 OR l[i - 1] = '') AND (i = len(l) OR l[i + 1] = ''))) AS BIGINT) AS lone FROM (SELECT doc_id, {_lines} AS l FROM documents)")
 def _(spark, d):
-    o = Window.partitionBy("doc").orderBy("pos")
-    rows = lines(spark, d).withColumn("s", F.trim("text"))
-    lone = F.col("s").rlike("^[0-9]{1,4}$") & (F.coalesce(F.lag("s").over(o), F.lit("")) == "") & (F.coalesce(F.lead("s").over(o), F.lit("")) == "")
-    return rows.withColumn("lone", lone).groupBy("doc").agg(F.count_if("lone").alias("lone"))
+    more = F.concat("text", F.lit("\n\n12\n\nx\n7\n 1999 "))
+    flags = F.get(F.transform(F.array(quality_gate.trimmed_lines(more)), quality_gate.lone_numbers), 0)
+    return table(spark, d, "documents").select("doc_id", F.size(F.filter(flags, lambda x: x)).cast("bigint").alias("lone"))
 
 
 @add("w14_windows", r"SELECT item_id, CAST(len(s) AS BIGINT) AS windows, array_to_string(s, ',') AS starts FROM (SELECT item_id, CASE WHEN n <= 8 THEN [0] ELSE list_sort(list_distinct(list_concat(range(0, n - 8 + 1, 2), [n - 8]))) END AS s FROM (SELECT item_id, CAST(len(regexp_extract_all(text, '[^ \t\n\r]+')) AS BIGINT) AS n FROM benchmark))")
 def _(spark, d):
-    n = T.word_count(F.col("text"))
-    starts = F.when(n <= 8, F.array(F.lit(0).cast("bigint"))).otherwise(F.array_sort(F.array_union(F.sequence(F.lit(0).cast("bigint"), n - 8, F.lit(2).cast("bigint")), F.array(n - 8))))
-    return table(spark, d, "benchmark").select("item_id", F.size(starts).cast("bigint").alias("windows"), F.array_join(F.transform(starts, lambda x: x.cast("string")), ",").alias("starts"))
+    starts = F.pandas_udf(lambda n: n.map(lambda k: verify.window_starts(k, 8).tolist()), "array<bigint>")(T.word_count(F.col("text")))
+    rows = table(spark, d, "benchmark").select("item_id", starts.alias("s"))
+    return rows.select("item_id", F.size("s").cast("bigint").alias("windows"), F.array_join(F.transform("s", lambda x: x.cast("string")), ",").alias("starts"))
+
+
+def _segments(text: str | None) -> list[tuple[int, int]]:
+    """(segment, tokens) of a text."""
+    return sorted(Counter(t.segment for t in verify.normalized(text or "")).items())
 
 
-@add("w15_segments", "SELECT doc, CAST(pos AS BIGINT) AS pos, CAST(sum(CASE WHEN regexp_matches(text, '^#{1,6} |^[^a-zA-Z]*$') THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY pos ROWS UNBOUNDED PRECEDING) AS BIGINT) AS seg FROM " + LINES)
+@add("w15_segments", f"SELECT * FROM (SELECT doc_id, unnest([1, 2]) AS seg, CAST(len({CANON_LIST_SQL}) AS BIGINT) AS n FROM (SELECT doc_id, regexp_replace(text, '(?m)^(> |- |[0-9]+\\. )+', '', 'g') AS text FROM documents)) WHERE n > 0")
 def _(spark, d):
-    run = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return lines(spark, d).select("doc", F.col("pos").cast("bigint").alias("pos"), F.sum(F.col("text").rlike("^#{1,6} |^[^a-zA-Z]*$").cast("bigint")).over(run).alias("seg"))
+    both = F.concat(F.lit("# Head\n"), "text", F.lit("\n---\n"), "text")
+    each = F.pandas_udf(lambda x: x.map(_segments), "array<struct<seg:int,n:bigint>>")(both)
+    return table(spark, d, "documents").select("doc_id", F.explode(each).alias("x")).select("doc_id", "x.seg", "x.n")
 
 
 _bare = r"regexp_replace(x, '^[ \t\r]+|[ \t\r]+$', '', 'g')"

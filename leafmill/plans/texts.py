@@ -93,14 +93,14 @@ def text() -> Column:
 
 
 def title() -> Column:
-    return F.substring("text", 1, 90)
+    return F.col("text")
 
 
-over_cases("f01_slug", lambda: {"slug": T.slug(title(), 60), "short": T.slug(title(), 50)}, f"{slug_sql('left(text, 90)', 60)} AS slug, {slug_sql('left(text, 90)', 50)} AS short")
+over_cases("f01_slug", lambda: {"slug": T.slug(title(), 60), "short": T.slug(title(), 50)}, f"{slug_sql('text', 60)} AS slug, {slug_sql('text', 50)} AS short")
 over_documents(
     "f02_make_id",
     lambda: {"with_author": T.book_id(title(), F.col("source"), F.lit("stem")), "title_only": T.book_id(title(), F.lit(None).cast("string"), F.lit("stem")), "stem_only": T.book_id(F.lit(""), F.lit(""), F.concat(F.lit("file "), F.col("doc_id").cast("string")))},
-    f"{slug_sql(chr(39) + chr(39) + ' || source || ' + chr(39) + ' ' + chr(39) + ' || left(text, 90)', 60)} AS with_author, {slug_sql('left(text, 90)', 60)} AS title_only, 'file-' || CAST(doc_id AS VARCHAR) AS stem_only",
+    f"{slug_sql(chr(39) + chr(39) + ' || source || ' + chr(39) + ' ' + chr(39) + ' || text', 60)} AS with_author, {slug_sql('text', 60)} AS title_only, 'file-' || CAST(doc_id AS VARCHAR) AS stem_only",
 )
 over_cases("f03_unicode_clean", lambda: {"clean": T.unicode_clean(text())}, r"regexp_replace(regexp_replace(text, '[\x{00AD}\x{200B}\x{200C}\x{200D}\x{FEFF}]', '', 'g'), '\r\n?', chr(10), 'g') AS clean")
 WS_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '[ \t]+\n', chr(10), 'g'), '[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g')"
@@ -129,12 +129,12 @@ RANK_SQL = (
 LINES_SQL = "(SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 QUERIES["f07_heading_rank"] = _ranked
 ORACLES["f07_heading_rank"] = f"WITH t AS (SELECT * FROM {LINES_SQL} UNION ALL SELECT -CAST(id AS BIGINT), 0, text FROM {CASES.sql}) SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST({RANK_SQL} AS BIGINT) AS rank FROM t WHERE ({RANK_SQL}) IS NOT NULL"
-placeholder_sql = f"({slug_sql('left(text, 90)', 80)} IN ({', '.join(repr(p) for p in T.PLACEHOLDERS)}) OR length(trim(left(text, 90))) < 2)"
+placeholder_sql = f"({slug_sql('text', 80)} IN ({', '.join(repr(p) for p in T.PLACEHOLDERS)}) OR length(trim(text)) < 2)"
 over_cases("f09_placeholder", lambda: {"placeholder": T.is_placeholder(title())}, f"{placeholder_sql} AS placeholder")
 over_cases(
     "f10_metadata_repair",
     lambda: {"title": T.repaired_title(title()), "repaired": (F.trim(title()) != "") & T.is_placeholder(title())},
-    f"CASE WHEN trim(left(text, 90)) <> '' AND {placeholder_sql} THEN NULL ELSE left(text, 90) END AS title, trim(left(text, 90)) <> '' AND {placeholder_sql} AS repaired",
+    f"CASE WHEN trim(text) <> '' AND {placeholder_sql} THEN NULL ELSE text END AS title, trim(text) <> '' AND {placeholder_sql} AS repaired",
 )
 _core = "regexp_replace(text, '^[^0-9A-Za-z]+|[^0-9A-Za-z]+$', '', 'g')"
 over_cases("f11_page_number", lambda: {"is_number": T.is_page_number(text())}, f"({_core} <> '' AND length({_core}) <= 4 AND regexp_matches({_core}, '^([0-9]+|[ivxlcdmIVXLCDM]+)$')) AS is_number")
@@ -143,6 +143,7 @@ over_cases("f13_canon_key", lambda: {"canon": T.canon_key(text())}, f"{fold_sql(
 QUERIES["f14_path_title"] = lambda spark, d: table(spark, d, "documents").select("doc_id", T.path_title(F.array(F.col("lang"), F.col("lang"), F.col("source"), F.lit("tail"), F.lit("tail"))).alias("title"))
 ORACLES["f14_path_title"] = "SELECT doc_id, lang || ' · ' || source || ' · tail' AS title FROM documents"
 _head = f"left({collapse_sql('text')}, 300)"
+CUT_SQL = f"CASE WHEN length({collapse_sql('text')}) <= 300 THEN {collapse_sql('text')} ELSE (CASE WHEN strpos({_head}, ' ') > 0 THEN regexp_replace({_head}, ' [^ ]*$', '') ELSE {_head} END) || '…' END"
 over_cases("f15_summary", lambda: {"summary": T.cut_300(text())}, f"CASE WHEN length({collapse_sql('text')}) <= 300 THEN {collapse_sql('text')} ELSE (CASE WHEN strpos({_head}, ' ') > 0 THEN regexp_replace({_head}, ' [^ ]*$', '') ELSE {_head} END) || '…' END AS summary")
 _n, _c, _l = (count_sql("text", p) for p in (r"\p{L}", "[А-Яа-яЁё]", "[A-Za-z]"))
 over_cases("f16_lang", lambda: {"language": T.language(text())}, f"CASE WHEN {_n} = 0 THEN NULL WHEN 2 * {_c} >= {_n} THEN 'ru' WHEN 2 * {_l} >= {_n} THEN 'en' END AS language")

@@ -22,12 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) a temporary folder is made and set.
+    Only where that is unset and all runs in one process (tests) a temporary folder is made and set; on a cluster
+    it is an error, as no other machine would see the folder.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         made = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = made.get() if made.isDefined() else None
+    if not path and spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not path:
         path = tempfile.mkdtemp(prefix="leafmill-")
         spark.sparkContext.setCheckpointDir(path)

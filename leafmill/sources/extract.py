@@ -86,9 +86,9 @@ def _all(batches: Iterator[pd.DataFrame], content: bool) -> Iterator[pd.DataFram
             yield pd.DataFrame(rows, columns=names)
 
 
-def extract(files: DataFrame, content: bool = False) -> DataFrame:
-    """One row per file, with its bytes if asked for. Blocks, titles and authors are in composed form (NFC)."""
-    small = F.when(F.octet_length("content") <= MOST_BYTES, F.col("content"))
+def extract(files: DataFrame, content: bool = False, most: int = MOST_BYTES) -> DataFrame:
+    """One row per file, with its bytes if asked for; files of more than ``most`` bytes aren't read. Blocks, titles and authors are in composed form (NFC)."""
+    small = F.when(F.octet_length("content") <= most, F.col("content"))
     rows = files.select("path", small.alias("content"), F.sha2("content", 256).alias("sha256"))
     return rows.mapInPandas(lambda batches: _all(batches, content), SCHEMA + ", content binary" * content)
 
