@@ -322,6 +322,27 @@ def test_word_collision(monkeypatch):
     assert [int(hit[t.w_first[k] : t.w_first[k + 1]].sum()) for k in range(3)] == [w[2] for w in H.decontam(rows, named, 3)]
 
 
+def test_very_long_text(spark):
+    """A text of over 2**24 bytes: what is planted near its end is found there."""
+    words = unique(1_600_000)  # about 17 MB
+    body = f"{PASSAGE} {words} {PASSAGE} tail"
+    assert len(body) > 1 << 24
+    rows = [(1, body), (2, f"{unique(30)} {PASSAGE}"), (3, "short")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    n = len(PASSAGE.split())
+    out = {r.doc_id: r for r in substring.digests(df).collect()}
+    kept = f"{words} tail"
+    assert (out[1].n_removed, out[2].n_removed, out[3].n_removed) == (2 * n, n, 0) and out[1].kept_sha256 == H.sha(kept.encode())
+    out = {r.doc_id: r for r in suffix.digests(df).collect()}
+    assert out[1].n_bytes == len(body) and out[1].n_spans == 2 and 2 * len(PASSAGE) <= out[1].n_removed <= 2 * len(PASSAGE) + 8
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id bigint, text string")
+    out = {r.doc_id: r for r in decontam.contaminated(df, items).collect()}
+    assert (out[1].n_hit, out[2].n_hit, out[1].n_words) == (2 * n, n, 2 * n + 1_600_001)
+    assert {r.doc_id: r.n_shingles for r in ngram_join.groups_of(df).collect()}[1] > 1_599_000
+    encoded = bpe.digests(df, RANKS)
+    assert {r.doc_id: r.decoded_sha256 for r in encoded.collect()}[1] == H.sha(body.encode())
+
+
 def test_chunks_of_repeated_rows(spark):
     """Rows that all repeat are dealt out over the chunks; so are rows without text."""
     for rows in ([(1, "one two three")] * 3000, [(None, None)] * 3000, [(k, None) for k in range(3000)]):

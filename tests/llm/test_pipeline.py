@@ -56,3 +56,17 @@ def test_stages(spark):
     assert all((after[d] == before[d]) == (hits[d][1] == 0) for d in after)
     assert "ids" in docs.columns and all(r.ids for r in rows if r.text)
     assert H.ordered(tuple(r) for r in corpus_pipeline.run(spark, DATA).select("doc_id", "text").collect()) == H.ordered(texts.items())
+
+
+def test_odd_rows(spark):
+    """Nulls, empty texts, repeated rows, ties, clashing columns and an empty table go through all stages."""
+    words = lambda k: ". ".join(f"word{k}x{i} and more{i * k}" for i in range(60)) + "."
+    rows = [(1, words(1)), (1, words(1)), (2, words(2)), (3, words(2)), (None, words(3)), (None, None), (4, None), (5, ""), (6, " \n "), (7, words(7) + "\n" + "x" * 5000 + "."), (8, "short text.")]
+    data = [(d, t, "en", 1, "k", None if t is None else len(t), [7]) for d, t in rows]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string, chunk int, rh string, n_chars bigint, ids array<int>")
+    none = docs.limit(0)
+    for _, f in corpus_pipeline.STAGES:
+        docs, none = stored(f(spark, docs, DATA), "odd"), stored(f(spark, none, DATA), "none")
+        assert none.count() == 0 and none.columns == docs.columns
+    out = docs.collect()
+    assert sorted(str(r.doc_id) for r in out) == ["1", "2", "7", "None"] and all(r.ids and r.lang == "en" and r.chunk == 1 and r.rh == "k" and r.n_chars == len(r.text) for r in out)
