@@ -3,6 +3,11 @@
 All stages but the last return the columns of documents. What each takes away stays away: rejected
 documents, all but one of each group of near duplicates, repeated runs of words, benchmark passages.
 The last adds the token ids.
+
+Cases, for every stage: a null text counts as empty and a null doc_id is a document like others, but links with none;
+empty texts have no words, so the first stage rejects them; texts of any length are worked on whole; of tied copies the
+one of least doc_id stays, of rows that repeat just one; an empty table stays empty; all other columns are carried, also
+those named like columns of the operators, but ``ids`` is replaced by the last stage and ``n_chars`` follows the text.
 """
 
 from __future__ import annotations
@@ -17,7 +22,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep, without their failed lines."""
+    """Documents that the quality rules keep, without their failed lines: of fifty words or more, few of them repeated, with little lost."""
     return quality.cleaned(docs)
 
 
