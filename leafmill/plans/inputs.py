@@ -81,6 +81,14 @@ def _(spark, d):
     return read.select("path", "fmt", "title", "lang", F.explode("blocks").alias("b")).groupBy("path", "fmt", "title", "lang").agg(F.count("*").alias("n_blocks"), F.count_if(F.col("b.kind") == "heading").alias("headings"), F.sum(F.length("b.text")).alias("chars"))
 
 
+@add("g12_unknown_tags", "SELECT tag, CAST(sum(n * (length(html) - length(replace(html, '</article>', ''))) // 10) AS BIGINT) AS n FROM pages, (VALUES ('odd', 2), ('x-y', 1)) AS v(tag, n) GROUP BY tag")
+def _(spark, d):
+    """Tags that are not of HTML, put into the article of each page, are counted."""
+    pages = table(spark, d, "pages", spread=True).withColumn("html", F.replace("html", F.lit("</article>"), F.lit("<odd>a</odd><odd>b</odd><x-y>c</x-y></article>")))
+    found = extract.extract(as_files(pages, "page_id", "html", ".html")).select(F.explode("unknown_tags").alias("tag", "n"))
+    return found.groupBy("tag").agg(F.sum("n").alias("n"))
+
+
 @add("src09_md_blocks")
 def _(spark, d):
     read = extract.extract(as_files(table(spark, d, "documents", spread=True), "doc_id", "text", ".md"))

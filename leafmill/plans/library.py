@@ -118,11 +118,6 @@ def _(spark, d):
     return chapters(spark, d).groupBy("book").agg(F.median("tokens").alias("median_tokens"))
 
 
-@add("g12_unknown_tags", "SELECT tag, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) GROUP BY tag")
-def _(spark, d):
-    return table(spark, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("<([a-z][a-z0-9]*)"), F.lit(1))).alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
-
-
 @add("g16_control_total", r"SELECT lang, CAST(sum(len(regexp_extract_all(text, '[\x00-\x08\x0B\x0C\x0D\x0E-\x1F\x7F\x{0080}-\x{009F}]'))) AS BIGINT) AS n FROM documents GROUP BY lang")
 def _(spark, d):
     return table(spark, d, "documents").groupBy("lang").agg(F.sum(T.control_count(F.col("text"))).alias("n"))

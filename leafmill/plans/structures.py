@@ -11,8 +11,9 @@ from leafmill.functions import text as T
 from leafmill.operators import quality_gate, sections, structure, verify
 from leafmill.plans.inline import Inline
 from leafmill.plans.library import chapters
-from leafmill.plans.texts import CANON_LIST_SQL, CONTROL_SQL, collapse_sql, count_sql, fold_sql
+from leafmill.plans.texts import CANON_LIST_SQL, CONTROL_SQL, RANK_SQL, collapse_sql, count_sql, fold_sql
 from leafmill.session import table
+from leafmill.sources import readers
 
 QUERIES, ORACLES = {}, {}
 
@@ -69,13 +70,23 @@ def _(spark, d):
 QUERIES["h01_heading_levels"], ORACLES["h01_heading_levels"] = QUERIES["w01_level_rank"], ORACLES["w01_level_rank"]
 
 
-@add("w02_pattern_levels", "WITH t AS (SELECT * FROM (VALUES (1, 1), (1, 3), (2, 3), (3, 2), (3, 3), (3, 1)) AS v(doc, rank)) SELECT doc, rank, dense_rank() OVER (PARTITION BY doc ORDER BY rank) AS level FROM t")
+_headed = "'Volume 1' || chr(10) || chr(10) || 'Chapter 2. Begin' || chr(10) || chr(10) || text || chr(10) || chr(10) || 'CAPITALS' || chr(10) || chr(10) || 'Part two'"
+
+
+def _pattern_levels(text: str) -> list[tuple[int, int]]:
+    """(place, level) of the paragraphs that become headings."""
+    blocks = readers.by_patterns([readers.Block("para", p) for p in text.split("\n\n")])
+    return [(k, b.level) for k, b in enumerate(blocks) if b.kind == "heading"]
+
+
+@add("f08_pattern_pass", f"WITH t AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split({_headed}, chr(10) || chr(10)) AS l FROM documents)), r AS (SELECT doc_id, pos, {RANK_SQL} AS rank FROM t WHERE NOT contains(line, chr(10))) SELECT doc_id, CAST(pos AS BIGINT) AS pos, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY rank) AS BIGINT) AS level FROM r WHERE rank IS NOT NULL")
 def _(spark, d):
-    rows = spark.createDataFrame([(1, 1), (1, 3), (2, 3), (3, 2), (3, 3), (3, 1)], "doc int, rank int")
-    return rows.withColumn("level", F.dense_rank().over(Window.partitionBy("doc").orderBy("rank")).cast("bigint"))
+    text = F.concat(F.lit("Volume 1\n\nChapter 2. Begin\n\n"), "text", F.lit("\n\nCAPITALS\n\nPart two"))
+    found = F.pandas_udf(lambda x: x.map(_pattern_levels), "array<struct<pos:bigint,level:bigint>>")(text)
+    return table(spark, d, "documents").select("doc_id", F.explode(found).alias("x")).select("doc_id", "x.pos", "x.level")
 
 
-QUERIES["f08_pattern_pass"], ORACLES["f08_pattern_pass"] = QUERIES["w02_pattern_levels"], ORACLES["w02_pattern_levels"]
+QUERIES["w02_pattern_levels"], ORACLES["w02_pattern_levels"] = QUERIES["f08_pattern_pass"], ORACLES["f08_pattern_pass"]
 
 
 @add("w03_paths", f"SELECT doc, pos, array_to_string(path, ' / ') AS path, CAST(parent AS BIGINT) AS parent FROM {PATHS}")
