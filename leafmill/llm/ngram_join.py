@@ -13,7 +13,9 @@ of one set are one class. A partner of a set of n shingles shares at least T = c
    linked to a group leave the index: copies by the thousand are linked once each, not pair by pair, and
    no link between groups is lost.
 
-A family of more than ``FAMILY`` shingles is searched in pairs of blocks, so that no task holds it whole.
+A family of more than ``FAMILY`` shingles is searched by parts, so that no task holds it whole: by its rare
+shingles, all sets that have one of those dealt to a task; or, if a single shingle is shared by too many for
+that, in pairs of blocks.
 
 Cases: null and empty texts have no set, no link, and are their own group; fewer than five words are
 one shingle; a row with a null doc_id links with nothing and its group is null; rows that repeat, or
@@ -264,8 +266,16 @@ def links(found: DataFrame, family: int = FAMILY) -> DataFrame:
     one = named.withColumn("salt", salt).join(size.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["family", "salt"])
     parts = one.filter("blocks = 1").select("key", small.alias("task"))
     if (most or 1) > 1:
-        many = one.filter("blocks > 1").withColumn("i", block).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).filter("i <> j")
-        parts = parts.unionByName(many.select("key", F.format_string("%s %d %d", "family", F.least("i", "j"), F.greatest("i", "j")).alias("task")))
+        many = one.filter("blocks > 1").select("key", "family", "blocks", "salt")
+        held = rare.join(many, "key").join(found.select("key", "n"), "key")
+        weight = held.groupBy("family", "token").agg(F.sum("n").alias("w")).groupBy("family").agg(F.max("w").alias("most"), F.sum("w").alias("all"))
+        tasks = weight.select("family", F.when(F.col("most") <= family // 2, F.ceil(F.col("all") / (family // 2)).cast("int")).alias("tasks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        # without a shingle that too many share: what shares a rare one meets in its task, however large the family
+        dealt = held.join(tasks.filter("tasks IS NOT NULL"), ["family", "salt"])
+        parts = parts.unionByName(dealt.select("key", F.format_string("%s shingle %d", "family", F.pmod(F.xxhash64("token"), F.col("tasks"))).alias("task")).distinct())
+        # else in pairs of blocks
+        paired = many.join(tasks.filter("tasks IS NULL").select("family", "salt"), ["family", "salt"]).withColumn("i", block).withColumn("j", F.explode(F.expr("sequence(0, blocks - 1)"))).filter("i <> j")
+        parts = parts.unionByName(paired.select("key", F.format_string("%s %d %d", "family", F.least("i", "j"), F.greatest("i", "j")).alias("task")))
     stars = parts.join(found.select("key", "tokens"), "key").groupBy("task").applyInArrow(_search, "a string, b string")
     return components(stars) if (most or 1) > 1 else stored(stars, "links")
 

@@ -188,6 +188,15 @@ def test_suffix_far():
         assert h[i] == h[j] and at[i] - one == at[j] - two
 
 
+def test_ngram_chain(spark):
+    """A chain of texts, each like the next one only, is one group, also where its family is dealt out by rare shingles."""
+    words = unique(720).split()
+    rows = [(k, " ".join(words[3 * k : 3 * k + 120])) for k in range(200)] + [(k, unique(60)) for k in range(300, 310)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r.doc_id: r.component_id for r in ngram_join.groups_of(df, family=12_000).collect()}
+    assert all(out[k] == 0 for k in range(200)) and all(out[k] == k for k in range(300, 310))
+
+
 def test_ngram_join(docs, rows, none):
     want = H.ordered(H.groups(rows))
     assert got(ngram_join.groups_of(docs), "doc_id", "n_shingles", "component_id") == want
