@@ -40,10 +40,14 @@ def slug(c: Column, most: int) -> Column:
         s = F.replace(s, F.lit(a), F.lit(b))
     s = F.regexp_replace(F.translate(s, TRANSLIT_FROM, TRANSLIT_TO), "[^a-z0-9]+", "-")
     s = F.regexp_replace(s, "^-+|-+$", "")
-    head = F.substring(s, 1, most + 1)
-    cut = F.when(F.instr(head, "-") > 0, F.regexp_replace(head, "-[^-]*$", "")).otherwise(F.substring(s, 1, most))
-    s = F.when(F.length(s) > most, F.regexp_replace(cut, "-+$", "")).otherwise(s)
-    return F.when(s == "", "text").otherwise(s)
+
+    def cut(x: Column) -> Column:
+        head = F.substring(x, 1, most + 1)
+        at_dash = F.when(F.instr(head, "-") > 0, F.regexp_replace(head, "-[^-]*$", "")).otherwise(F.substring(x, 1, most))
+        return F.when(x == "", "text").when(F.length(x) > most, F.coalesce(F.nullif(F.regexp_replace(at_dash, "-+$", ""), F.lit("")), F.lit("text"))).otherwise(x)
+
+    # bound, so that a long text is folded once
+    return F.get(F.transform(F.array(s), cut), 0)
 
 
 def book_id(title: Column, author: Column, stem: Column, most: int = 60) -> Column:
