@@ -476,6 +476,53 @@ def test_lm_buckets(spark, monkeypatch):
     assert out[0] == out[1]
 
 
+def test_lm_histories(spark):
+    """A word is expected by the two words before it, not by how they are spelt: endings are shared here, and the nearer word too."""
+    r = random.Random(8)
+    # after xx-ending p, after yy-ending q; after "one mid" u, after "two mid" v
+    runs = [["xxending", "p"], ["yyending", "q"], ["one", "mid", "u"], ["two", "mid", "v"]]
+    noise = [f"n{k}" for k in range(50)]
+    train = [" ".join(w for _ in range(60) for w in [*r.choice(runs), r.choice(noise)]) for _ in range(40)]
+    tests = ["xxending p", "xxending q", "yyending q", "yyending p", "one mid u", "one mid v", "two mid v", "two mid u"]
+    rows = list(enumerate(train, 1000)) + list(enumerate(tests))
+    score = {x.doc_id: x.score for x in lm.scores(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert all(score[k] > score[k + 1] + 0.8 for k in range(0, 8, 2)), score
+
+
+def test_lm_histories_sum_to_one():
+    """Of each history, over all known words and the unknown one, by any number of buckets."""
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    words = r.integers(0, 2**63, 30).astype(np.uint64)
+    p = 1 / np.arange(1, 31)
+    word = words[r.choice(30, 6000, p=p / p.sum())]
+    tokens = types.SimpleNamespace(word=word, one=np.append(lm.BEGIN, word[:-1]), two=np.append([lm.BEGIN, lm.BEGIN], word[:-2]), text=np.zeros(6000, int))
+    some = [(words[a], words[b]) for a, b in ((0, 0), (1, 0), (7, 3), (29, 28))]
+    more = [(w, one, two) for two, one in some for w in [*words, lm.U64(12345)]]
+    for k, c in enumerate(("word", "one", "two")):
+        setattr(tokens, c, np.append(getattr(tokens, c), np.array([m[k] for m in more], np.uint64)))
+    tokens.text = np.append(tokens.text, np.ones(len(more), int))
+    out = []
+    for n, frequent in ((1, words[:0]), (5, words[:2])):
+        h = lm.Histories(tokens, np.array([True, False]), n, frequent)
+        sent = dict(zip(*h.sent(0).select(["bucket", "data"]).to_pydict().values(), strict=True))
+        to = lambda rows: {k: sorted(r[2:0:-1] + r[3:] for r in rows if r[0] == k) for k in range(n)}
+        step = lambda x, got: to([a for k in range(n) for a in lm.bucket_step(k, [sent[k]] if k in sent else [], got[k], x, n, frequent)])
+        ids = got = step(None, {k: [] for k in range(n)})
+        for number in range(1 + lm.SAMPLES):
+            if number:
+                got = step(x, told)
+            told = to([a for k in range(n) for a in lm.parent_step(k, ids[k], got[k], number)])
+            x = lm.Whole(*sum(np.frombuffer(d, "<f8") for v in told.values() for kind, _, d in v if kind == lm.SUMS))
+        assert (x.n, x.known) == (6000, 30)
+        answers = [lm.unbundle(lm.bucket_answers([sent[k]], [0], k, told[k], x, frequent)["data"][0].as_py()) for k in sorted(sent)]
+        prob = np.concatenate([np.frombuffer(a[1], "<f4") for a in answers])[h.cell]
+        assert np.abs(prob[6000:].reshape(4, 31).astype(float).sum(1) - 1).max() < 1e-5
+        out.append(prob)
+    assert (out[0] == out[1]).all()
+
+
 def test_warc(spark, tmp_path):
     page = "<html>" + prose(400) + "</html>"
     rows = [(1, None), (2, ""), (3, page), (4, page), (9, page), (9, page), (None, page), (5, "x"), (6, "y" * 200_000)]
