@@ -523,6 +523,55 @@ def test_lm_histories_sum_to_one():
     assert (out[0] == out[1]).all()
 
 
+def test_lm_exact():
+    """Up to ``EXACT`` customers tables are drawn with their exact probabilities, and the draws of a cell don't depend on what else is drawn."""
+    import numpy as np
+
+    d, n = 0.7, 20_000
+    for strength, base in ((30.0, 0.05), (2000.0, 0.001), (100.0, 0.0001), (30.0, 0.5)):
+        for c in (5, 60, 400):
+            log = np.full(c + 1, -np.inf)
+            log[1] = 0
+            with np.errstate(divide="ignore"):
+                for m in range(1, c):
+                    log = np.logaddexp(np.append(-np.inf, log[:-1]), log + np.log(np.maximum(m - d * np.arange(c + 1), 0)))
+            t = np.arange(1, c + 1)
+            want = log[1:] + np.cumsum(np.log(strength + d * (t - 1))) + t * np.log(base)
+            want = np.exp(want - want.max())
+            want /= want.sum()
+            ids = np.random.default_rng(c).integers(0, 2**63, n).astype(np.uint64)
+            have = lm.conditional(lm.Draws(3), ids, np.full(n, c), np.full(n, strength), np.full(n, base), d)
+            mean = (want * t).sum()
+            far = 5 * np.sqrt((want * (t - mean) ** 2).sum() / n)
+            assert abs(have.mean() - mean) < far + 1e-9, (strength, base, c)
+    count = np.array([1, 2, 600, 7, 0, 3000])
+    ids, one = np.arange(9, 15).astype(np.uint64), np.ones(6)
+    both = lm.conditional(lm.Draws(3), ids, count, 50 * one, 0.01 * one, d)
+    each = [int(lm.conditional(lm.Draws(3), ids[k : k + 1], count[k : k + 1], one[:1] * 50, one[:1] * 0.01, d)[0]) for k in range(6)]
+    assert both.tolist() == each and both[0] == 1 and both[4] == 0
+
+
+def test_lm_questions_are_small():
+    """Frequent words are sent as numbers, which changes how large the questions are and no answer."""
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    words = r.integers(0, 2**63, 3000).astype(np.uint64)
+    p = 1 / np.arange(1, 3001)
+    word = words[r.choice(3000, 40_000, p=p / p.sum())]
+    tokens = types.SimpleNamespace(word=word, one=np.append(lm.BEGIN, word[:-1]), two=np.append([lm.BEGIN, lm.BEGIN], word[:-2]), text=np.zeros(40_000, int))
+    x, out = lm.Whole(40_000, 1, 30_000, 2000, 20_000, 2000, 3000, 30_000, 4000), []
+    for common in (lm.NO_WORDS, lm.Words(words[:1500]), lm.Words(np.append(words, lm.BEGIN))):
+        h = lm.Histories(tokens, np.array([True]), 1, words[:0], common)
+        sent = h.sent(0)["data"].to_pylist()
+        b = lm.Bucket(sent, words[:0], common)
+        told = [np.full(len(b.word), 9), np.full(len(b.word), 2), *(np.zeros(len(b.keys), int) for _ in range(2))]
+        b.again(lm.Draws(5), x, told)
+        out.append((len(sent[0]), b.predicted(x, told)[b.entry][h.cell]))
+    assert (out[0][1] == out[1][1]).all() and (out[0][1] == out[2][1]).all()
+    assert out[2][0] < 5 * 40_000 < 9 * 40_000 < out[0][0]
+
+
 def test_warc(spark, tmp_path):
     page = "<html>" + prose(400) + "</html>"
     rows = [(1, None), (2, ""), (3, page), (4, page), (9, page), (9, page), (None, page), (5, "x"), (6, "y" * 200_000)]
