@@ -569,6 +569,13 @@ def test_lm_questions_are_small():
         b.again(lm.Draws(5), x, told)
         out.append((len(sent[0]), b.predicted(x, told)[b.entry][h.cell]))
     assert (out[0][1] == out[1][1]).all() and (out[0][1] == out[2][1]).all()
+    import pickle
+
+    common = lm.Words(words)  # goes with the code of each task
+    again = pickle.loads(pickle.dumps(common))
+    assert len(pickle.dumps(common)) < 9 * 3000 and all((getattr(again, k) == v).all() for k, v in vars(common).items())
+    some = np.sort(np.append(words[::7], r.integers(0, 2**63, 500).astype(np.uint64)) & lm.LOW)
+    assert (common.climbed(common.steps(some)) == some.astype(np.int64)).all() and len(common.steps(some)) < len(lm.steps(some))
     assert out[2][0] < 5 * 40_000 < 9 * 40_000 < out[0][0]
 
 
