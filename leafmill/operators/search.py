@@ -8,10 +8,16 @@ is put on the hits. Query terms are a small table (their number is checked) and
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from leafmill.session import stored
 
 # Parameters of the ranking, and Latin letters with their plain forms.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -99,6 +105,141 @@ def ranked(hits: DataFrame, keys: list[str], corpus: DataFrame) -> DataFrame:
     return scored.groupBy("qid", "n_terms", *keys).agg(F.round(F.sum(part), 9).alias("score"), F.count("*").alias("matched"))
 
 
+# --- the best rows of many queries ---------------------------------------------------------------
+
+#: Rows scored together, terms of queries that are looked for in one pass over the rows, and tokens whose terms a task remembers.
+ROWS, TERMS, KNOWN = 1024, 500_000, 200_000
+
+
+def repeated(docs: DataFrame, keys: list[str]) -> bool:
+    """Whether several rows have the same key; only the keys are read."""
+    return bool(docs.groupBy(*keys).count().filter("count > 1").head(1))
+
+
+class _Terms:
+    """Terms with what must be known to find them in tokens: a token has all terms that it begins with."""
+
+    def __init__(self, terms: list[str]):
+        self.of = {t: i for i, t in enumerate(terms)}
+        self.sizes = sorted({len(t) for t in terms})
+        self.known: dict[str, list[int]] = {}
+
+    def begun(self, token: str) -> list[int]:
+        own = self.known[token] = [k for n in self.sizes if n <= len(token) and (k := self.of.get(token[:n])) is not None]
+        return own
+
+    def hits(self, batch: pa.RecordBatch, weights: list[float]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Row, term and weighted times of each term in each row, by row and term; the rows' lengths."""
+        rows, terms, times = [], [], []
+        length = np.zeros(batch.num_rows)
+        for i, weight in enumerate(weights):
+            lists = batch.column(f"_{i}")
+            sizes = np.diff(lists.offsets.to_numpy())
+            length += sizes
+            flat = lists.flatten().dictionary_encode()
+            if len(self.known) > KNOWN:
+                self.known.clear()
+            own = [self.begun(t) if (x := self.known.get(t)) is None else x for t in flat.dictionary.to_pylist()]
+            n_own = np.fromiter(map(len, own), np.int64, len(own))
+            begins = np.append(0, np.cumsum(n_own))
+            code = flat.indices.to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            kept = n_own[code] > 0
+            code, row = code[kept], row[kept]
+            rows.append(np.repeat(row, n_own[code]))
+            terms.append(np.fromiter((k for x in own for k in x), np.int64, begins[-1])[spans(begins[code], n_own[code])])
+            times.append(np.full(len(rows[-1]), weight))
+        row, term, times = map(np.concatenate, (rows, terms, times))
+        both, at = np.unique(row * len(self.of) + term, return_inverse=True)
+        return both // len(self.of), both % len(self.of), np.bincount(at, times, len(both)), length
+
+
+def spans(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of each span, one span after the other."""
+    return np.repeat(begins - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield pa.concat_batches([b.slice(at, ROWS)])  # without the offsets of a slice
+
+
+def best(docs: DataFrame, keys: list[str], weights: dict[str, float], terms: DataFrame, k: int) -> DataFrame:
+    """qid, keys, score, rank: what ``bm25`` with ``many``, the best form of each query and ``top`` give, without a row per token.
+
+    ``terms``: qid, form, idx, n_terms, term; a query counts with its best form. Where each row has a key of its own, the
+    terms that a row holds are put down beside its key, and only the ``k`` best rows of each task go on.
+    """
+    if repeated(docs, keys):  # rows of one key count together
+        found = bm25(docs, keys, weights, terms.select(F.struct("qid", "form").alias("qid"), "idx", "n_terms", "term"), many=True)
+        return top(found.groupBy(F.col("qid.qid").alias("qid"), *keys).agg(F.max("score").alias("score")), keys, k)
+    lists = docs.select(*keys, *[terms_of(F.coalesce(F.col(c), F.lit(""))).alias(f"_{i}") for i, c in enumerate(weights)])
+    terms = terms.filter("qid IS NOT NULL")
+    pieces = -(-terms.count() // TERMS)
+    out = None
+    for piece in range(pieces):  # one at a time; each holds whole queries
+        own = terms.filter(F.pmod(F.xxhash64("qid"), F.lit(pieces)) == piece).groupBy("qid", "form", "term").count()
+        some = _best(lists, keys, list(weights.values()), own, k)
+        out = some if out is None else out.unionByName(some)
+    return out if out is not None else docs.limit(0).select(F.lit(None).cast(terms.schema["qid"].dataType).alias("qid"), *keys, F.lit(0.0).alias("score"), F.lit(1).alias("rank"))
+
+
+def _best(lists: DataFrame, keys: list[str], weights: list[float], own: DataFrame, k: int) -> DataFrame:
+    spark = lists.sparkSession
+    rows = own.collect()
+    words = _Terms(sorted({r.term for r in rows}))
+    n_terms = len(words.of)
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in lists.select(*keys).schema)
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _sliced(batches):
+            row, term, f, length = words.hits(b, weights)
+            begins = pa.array(np.searchsorted(row, np.arange(b.num_rows + 1)).astype(np.int32))
+            each = [pa.ListArray.from_arrays(begins, pa.array(x)) for x in (term.astype(np.int32), f)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keys], pa.array(length), *each], [*keys, "len", "terms", "f"])
+
+    found = stored(lists.mapInArrow(held, f"{types}, len double, terms array<int>, f array<double>"), "terms")
+    corpus = found.agg(F.count("*").alias("n"), F.avg("len").alias("mean")).first()
+    told = {r.term: r.n for r in found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
+    n_docs, mean = corpus.n, corpus.mean
+    df = np.array([told.get(i, 0) for i in range(n_terms)], float)
+    idf = np.log((n_docs - df + 0.5) / (df + 0.5), out=np.full(n_terms, LEAST_IDF), where=df <= n_docs / 2)
+    idf = np.where(idf <= 0, LEAST_IDF, idf)
+    # the forms of each term, and the query of each form; forms of a query are next to each other
+    forms = sorted({(r.qid, r.form) for r in rows})
+    place = {f: i for i, f in enumerate(forms)}
+    queries = sorted({q for q, _ in forms})
+    first = np.flatnonzero([i == 0 or f[0] != forms[i - 1][0] for i, f in enumerate(forms)])
+    by_term = sorted((words.of[r.term], place[r.qid, r.form], r["count"]) for r in rows)
+    term_of, form_of, times_of = (np.array(x) for x in zip(*by_term, strict=True))
+    n_forms = np.bincount(term_of, minlength=n_terms)
+    begins = np.append(0, np.cumsum(n_forms)[:-1])
+    width = len(forms)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = np.full((len(queries), k), -1.0)  # the best scores of each query so far
+        for b in _sliced(batches):
+            b = b.sort_by([(c, "ascending") for c in keys])
+            row = np.repeat(np.arange(b.num_rows), np.diff(b.column("terms").offsets.to_numpy()))
+            term, f = (b.column(c).flatten().to_numpy() for c in ("terms", "f"))
+            part = idf[term] * f * (K1 + 1) / (f + K1 * (1 - B + B * b.column("len").to_numpy()[row] / mean))
+            each = spans(begins[term], n_forms[term])
+            at = np.repeat(row * width, n_forms[term]) + form_of[each]
+            score = np.bincount(at, np.repeat(part, n_forms[term]) * times_of[each], b.num_rows * width)
+            score = np.maximum.reduceat(np.round(score, 9).reshape(-1, width), first, axis=1).T  # a row per query
+            order = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            high = np.take_along_axis(score, order, 1)
+            query, j = np.nonzero((high > 0) & (high >= least[:, -1:]))
+            least = -np.sort(-np.concatenate([least, high], axis=1), axis=1)[:, :k]
+            yield pa.RecordBatch.from_arrays([pa.array(query), *[b.column(c).take(pa.array(order[query, j])) for c in keys], pa.array(high[query, j])], ["q", *keys, "score"])
+
+    best_found = found.mapInArrow(scored, f"q bigint, {types}, score double")
+    names = spark.createDataFrame(list(enumerate(queries)), T.StructType([T.StructField("q", T.LongType()), T.StructField("qid", own.schema["qid"].dataType)]))
+    return top(best_found.withColumnRenamed("q", "qid"), keys, k).withColumnRenamed("qid", "q").join(F.broadcast(names), "q").drop("q")
+
+
 # --- a stored index ------------------------------------------------------------------------------
 
 #: Partitions of the index, by the first character of a term.

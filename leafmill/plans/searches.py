@@ -209,12 +209,11 @@ def attributed(spark: SparkSession, d: str) -> DataFrame:
     quotes = table(spark, d, "benchmark").select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))
     docs = chapter_rows(spark, d)
     forms = quotes.select("quote_id", F.posexplode(F.pandas_udf(_forms, "array<array<string>>")("quote")).alias("form", "words"))
-    terms = forms.select(F.struct("quote_id", "form").alias("qid"), F.size("words").alias("n_terms"), F.posexplode("words").alias("idx", "word"))
-    terms = terms.select("qid", "idx", search.folded(F.col("word")).alias("term"), "n_terms")  # canonical tokens: one each
-    found = search.bm25(docs, ["book_id"], {"title": 5.0, "text": 1.0}, terms, many=True)
-    found = found.groupBy(F.col("qid.quote_id").alias("qid"), "book_id").agg(F.max("score").alias("score"))
-    best = search.top(found, ["book_id"], verify.CANDIDATES).select(F.col("qid").alias("quote_id"), F.col("book_id").alias("key"))
-    pairs = best.join(quotes, "quote_id").join(docs.select(F.col("book_id").alias("key"), "text"), "key")
+    terms = forms.select(F.col("quote_id").alias("qid"), "form", F.size("words").alias("n_terms"), F.posexplode("words").alias("idx", "word"))
+    terms = terms.select("qid", "form", "idx", search.folded(F.col("word")).alias("term"), "n_terms")  # canonical tokens: one each
+    best = search.best(docs, ["book_id"], {"title": 5.0, "text": 1.0}, terms, verify.CANDIDATES).select(F.col("qid").alias("quote_id"), F.col("book_id").alias("key"))
+    # a few rows a quote: the texts stay where they are but for those that are compared
+    pairs = docs.select(F.col("book_id").alias("key"), "text").join(F.broadcast(best), "key").join(quotes, "quote_id")
     return verify.compared(pairs, "text", "quote").filter("verdict <> 'not_found'")
 
 
