@@ -248,13 +248,35 @@ INDEX = "term string, first int, rest int, len double, at array<int>, lead int"
 
 
 def index_rows(docs: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """keys and one row per term: how often the first column has it, how often the others, where (columns after one another, with a gap between), and the row's length."""
+    """keys and one row per term: how often the first column has it, how often the others, where (columns after one another, with a gap between), and the row's length.
+
+    A row with a key of its own is sorted into its terms where it lies; only rows of one key have to meet.
+    """
+    if repeated(docs, keys):
+        rows = _met(docs, keys, columns)
+    else:
+        lists = [terms_of(F.coalesce(F.col(c), F.lit(""))).alias(f"_{i}") for i, c in enumerate(columns)]
+        size = sum((F.size(f"_{i}") for i in range(len(columns))), F.lit(0)).alias("size")
+
+        def placed(i: int) -> Column:
+            return F.transform(F.col(f"_{i}"), lambda t, p: F.struct(t.alias("term"), (p + i * (F.col("size") + 1)).alias("at"), F.lit(int(i == 0)).alias("first")))
+
+        every = F.sort_array(F.flatten(F.array(*map(placed, range(len(columns))))))
+        begins = F.filter(F.sequence(F.lit(1), F.col("size")), lambda i: (i == 1) | (F.get("every", i - 1)["term"] != F.get("every", i - 2)["term"]))
+        each = F.transform("begins", lambda b, i: F.slice("every", b, F.coalesce(F.get("begins", i + 1), F.col("size") + 1) - b))
+        rows = docs.select(*keys, *lists).select("*", size).filter("size > 0").select(*keys, "size", every.alias("every")).select("*", begins.alias("begins")).select(*keys, "size", F.explode(each).alias("own"))
+        first = F.size(F.filter("own", lambda x: x["first"] == 1))
+        rows = rows.select(*keys, F.get("own", 0)["term"].alias("term"), first.alias("first"), (F.size("own") - first).alias("rest"), F.col("size").cast("double").alias("len"), F.col("own.at").alias("at"))
+    return rows.withColumn("lead", F.pmod(F.ascii("term"), F.lit(LEADS)).cast("int"))
+
+
+def _met(docs: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """The rows of ``index_rows``, put together from a row per token."""
     tokens = postings(docs, keys, columns, length=True)
     gap = F.col("len").cast("int") + 1
     place = F.coalesce(*[F.when(F.col("col") == c, i) for i, c in enumerate(columns)], F.lit(0))
     first = (F.col("col") == columns[0]).cast("int")
-    rows = tokens.groupBy(*keys, "term").agg(F.sum(first).cast("int").alias("first"), F.sum(1 - first).cast("int").alias("rest"), F.max("len").alias("len"), F.sort_array(F.collect_list((F.col("pos") + gap * place).cast("int"))).alias("at"))
-    return rows.withColumn("lead", F.pmod(F.ascii("term"), F.lit(LEADS)).cast("int"))
+    return tokens.groupBy(*keys, "term").agg(F.sum(first).cast("int").alias("first"), F.sum(1 - first).cast("int").alias("rest"), F.max("len").alias("len"), F.sort_array(F.collect_list((F.col("pos") + gap * place).cast("int"))).alias("at"))
 
 
 def synced(index: DataFrame, known: DataFrame, docs: DataFrame, keys: list[str], columns: list[str], current: DataFrame) -> DataFrame:
