@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -247,7 +245,7 @@ def _(spark, d):
 
 def _segments(text: str | None) -> list[tuple[int, int]]:
     """(segment, tokens) of a text."""
-    return sorted(Counter(t.segment for t in verify.normalized(text or "")).items())
+    return sorted(verify.segment_sizes(text or "").items())
 
 
 @add("w15_segments", f"SELECT * FROM (SELECT doc_id, unnest([1, 2]) AS seg, CAST(len({CANON_LIST_SQL}) AS BIGINT) AS n FROM (SELECT doc_id, regexp_replace(text, '(?m)^(> |- |[0-9]+\\. )+', '', 'g') AS text FROM documents)) WHERE n > 0")
