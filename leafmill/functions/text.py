@@ -30,24 +30,33 @@ STOP_WORDS = frozenset(
 
 
 def casefold(c: Column) -> Column:
-    return F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    low = F.lower(F.replace(c, F.lit("İ"), F.lit("i")))  # which otherwise becomes an i and a dot above it
+    return F.replace(F.replace(low, F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+
+
+#: Characters of a text that are folded first for its slug.
+SLUG_HEAD = 400
 
 
 def slug(c: Column, most: int) -> Column:
     """a-z, 0-9 and dashes; cut at the last dash that keeps it within ``most``; ``text`` if nothing is left."""
-    s = casefold(c)
-    for a, b in TRANSLIT_LONG:
-        s = F.replace(s, F.lit(a), F.lit(b))
-    s = F.regexp_replace(F.translate(s, TRANSLIT_FROM, TRANSLIT_TO), "[^a-z0-9]+", "-")
-    s = F.regexp_replace(s, "^-+|-+$", "")
+
+    def dashed(s: Column) -> Column:
+        s = casefold(s)
+        for a, b in TRANSLIT_LONG:
+            s = F.replace(s, F.lit(a), F.lit(b))
+        s = F.regexp_replace(F.translate(s, TRANSLIT_FROM, TRANSLIT_TO), "[^a-z0-9]+", "-")
+        return F.regexp_replace(s, "^-+|-+$", "")
 
     def cut(x: Column) -> Column:
         head = F.substring(x, 1, most + 1)
         at_dash = F.when(F.instr(head, "-") > 0, F.regexp_replace(head, "-[^-]*$", "")).otherwise(F.substring(x, 1, most))
         return F.when(x == "", "text").when(F.length(x) > most, F.coalesce(F.nullif(F.regexp_replace(at_dash, "-+$", ""), F.lit("")), F.lit("text"))).otherwise(x)
 
+    # the beginning of a text settles what is cut if its own slug is longer; a text of which much is left out is folded whole
+    begun = F.transform(F.array(dashed(F.substring(c, 1, SLUG_HEAD))), lambda x: F.when((F.length(x) > most + 1) | (F.length(c) <= SLUG_HEAD), x).otherwise(dashed(c)))
     # bound, so that a long text is folded once
-    return F.get(F.transform(F.array(s), cut), 0)
+    return F.get(F.transform(begun, cut), 0)
 
 
 def book_id(title: Column, author: Column, stem: Column, most: int = 60) -> Column:
