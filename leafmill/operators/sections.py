@@ -7,11 +7,15 @@ the chapters before fold over one document's chapters in a grouped function; the
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.functions.batches import pieces
 from leafmill.functions.text import canon_key, casefold, word_count
 
 # Limits in tokens, ratios, and marks of imprint pages.
@@ -135,15 +139,22 @@ def split_giants(chapters: DataFrame, giant: int = GIANT, part: int = PART, limi
     limit = F.lit(giant) if limit is None else limit
     large = F.col("tokens") > limit
 
-    @F.pandas_udf("array<struct<title:string,text:string,part:int>>")
-    def cut(title: pd.Series, text: pd.Series, most: pd.Series) -> pd.Series:
-        return pd.Series([_cut(a, b, int(m), part) for a, b, m in zip(title, text, most, strict=True)])
+    rest = [c for c in chapters.columns if c not in ("title", "text", "tokens")]
+    types = {f.name: f.dataType.simpleString() for f in chapters.schema.fields}
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            cuts = [_cut(title.as_py(), text.as_py(), most.as_py(), part) for title, text, most in zip(b.column("title"), b.column("text"), b.column("_most"), strict=True)]
+            at = pa.array([k for k, own in enumerate(cuts) for _ in own], pa.int64())
+            own = [pa.array([p[c] for x in cuts for p in x], t) for c, t in (("title", pa.string()), ("text", pa.string()), ("part", pa.int32()))]
+            del cuts
+            place = pa.array([i for _, group in groupby(at.to_pylist()) for i, _ in enumerate(group)], pa.int32())
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in rest], *own, place], [*rest, "title", "text", "part", "i"])
 
     whole = chapters.filter(~large).withColumn("part", F.lit(None).cast("int")).withColumn("i", F.lit(0))
-    parts = chapters.filter(large).withColumn("pieces", cut("title", "text", limit.cast("int"))).select("*", F.posexplode("pieces").alias("i", "piece"))
-    rest = [c for c in chapters.columns if c not in ("title", "text", "tokens")]
-    parts = parts.select(*rest, F.col("piece.title").alias("title"), F.col("piece.text").alias("text"), word_count(F.col("piece.text")).alias("tokens"), F.col("piece.part").alias("part"), "i")
-    return whole.unionByName(parts)
+    schema = ", ".join([*[f"`{c}` {types[c]}" for c in rest], "title string, text string, part int, i int"])
+    parts = chapters.filter(large).select(*rest, "title", "text", limit.cast("int").alias("_most")).mapInArrow(cut, schema)
+    return whole.unionByName(parts.withColumn("tokens", word_count(F.col("text"))))
 
 
 def not_empty(chapters: DataFrame) -> DataFrame:
