@@ -6,15 +6,16 @@ import io
 import json
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from html import escape
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill import config
 from leafmill.functions import text as T
+from leafmill.functions.batches import pieces
 from leafmill.library import VERSION, Library
 from leafmill.operators import catalog
 from leafmill.plans.inline import Inline
@@ -115,8 +116,13 @@ def epub_of(text: str, first: str, second: str) -> bytes:
 
 @add("src15_nav_titles", "SELECT 'in/' || doc_id || '.epub' AS path, source || '|' || lang AS titles FROM documents", "src16_file_titles")
 def _(spark, d):
-    build = F.pandas_udf(lambda t, a, b: pd.Series([epub_of(*x) for x in zip(t, a, b, strict=True)]), "binary")
-    books = table(spark, d, "documents", spread=True).select(F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".epub")).alias("path"), build("text", "source", "lang").alias("content"))
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "text"):
+            made = [epub_of(*(x.as_py() for x in row)) for row in zip(*(b.column(c) for c in ("text", "source", "lang")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(made, pa.binary())], ["path", "content"])
+
+    path = F.concat(F.lit("in/"), F.col("doc_id").cast("string"), F.lit(".epub")).alias("path")
+    books = table(spark, d, "documents", spread=True).select(path, "text", "source", "lang").mapInArrow(built, "path string, content binary")
     heads = F.filter("blocks", lambda b: b["kind"] == "heading")
     return extract.extract(books).select("path", F.array_join(F.transform(heads, lambda b: b["text"]), "|").alias("titles"))
 

@@ -12,10 +12,11 @@ import unicodedata
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.functions.batches import pieces
 from leafmill.sources.detect import MOST_BYTES, Unknown, detect
 from leafmill.sources.readers import READERS
 
@@ -66,31 +67,27 @@ def _one(path: str, content: bytes | None, sha: str) -> dict:
     return row
 
 
-NAMES = ("path", "sha256", "fmt", "status", "error", "title", "author", "lang", "ref_text", "unknown_tags", "blocks")
-#: Bytes of sources whose rows go back together.
-TOGETHER = 4 << 20
+FIELDS = [(n, pa.string()) for n in ("path", "sha256", "fmt", "status", "error", "title", "author", "lang", "ref_text")]
+FIELDS += [("unknown_tags", pa.map_(pa.string(), pa.int32())), ("blocks", pa.list_(pa.struct([("pos", pa.int32()), ("kind", pa.string()), ("level", pa.int32()), ("text", pa.string())])))]
 
 
-def _all(batches: Iterator[pd.DataFrame], content: bool) -> Iterator[pd.DataFrame]:
-    names = [*NAMES, *["content"] * content]
-    for batch in batches:
-        rows, size = [], 0
-        for r in batch.itertuples():
-            raw = None if r.content is None else bytes(r.content)
-            rows.append(_one(r.path, raw, r.sha256) | {"content": raw})
-            size += len(raw or b"")
-            if size >= TOGETHER:
-                yield pd.DataFrame(rows, columns=names)
-                rows, size = [], 0
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
+def _all(batches: Iterator[pa.RecordBatch], content: bool) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([*FIELDS, *[("content", pa.binary())] * content])
+    for piece in pieces(batches, "content"):
+        rows = []
+        for path, raw, sha in zip(*(piece.column(c) for c in ("path", "content", "sha256")), strict=True):  # one source at a time
+            row = _one(path.as_py(), raw.as_py(), sha.as_py())
+            rows.append(row | {"unknown_tags": None if row["unknown_tags"] is None else list(row["unknown_tags"].items())})
+        columns = [pa.array([r[n] for r in rows], t) for n, t in FIELDS]
+        del rows
+        yield pa.RecordBatch.from_arrays([*columns, *[piece.column("content")] * content], schema=schema)
 
 
 def extract(files: DataFrame, content: bool = False, most: int = MOST_BYTES) -> DataFrame:
     """One row per file, with its bytes if asked for; files of more than ``most`` bytes aren't read. Blocks, titles and authors are in composed form (NFC)."""
     small = F.when(F.octet_length("content") <= most, F.col("content"))
     rows = files.select("path", small.alias("content"), F.sha2("content", 256).alias("sha256"))
-    return rows.mapInPandas(lambda batches: _all(batches, content), SCHEMA + ", content binary" * content)
+    return rows.mapInArrow(lambda batches: _all(batches, content), SCHEMA + ", content binary" * content)
 
 
 def files(spark: SparkSession, *paths: str) -> DataFrame:
